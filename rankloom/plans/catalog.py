@@ -18,6 +18,7 @@ REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 _MODULES = (
     "rankloom.plans.q_serving",
     "rankloom.plans.q_features",
+    "rankloom.plans.q_pairs",
 )
 
 
