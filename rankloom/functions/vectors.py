@@ -38,6 +38,13 @@ def scale(v, s: Column, n: int | None = None) -> Column:
     return F.transform(v, lambda x: x.cast("double") * s)
 
 
+def divide(v, d: Column, n: int | None = None) -> Column:
+    v = _c(v)
+    if n is not None:
+        return F.array(*[v[i].cast("double") / d for i in range(n)])
+    return F.transform(v, lambda x: x.cast("double") / d)
+
+
 def l2_normalize(v, n: int | None = None, mode: str = "skip_zero") -> Column:
     """L2-normalise a vector.
 
@@ -46,8 +53,8 @@ def l2_normalize(v, n: int | None = None, mode: str = "skip_zero") -> Column:
     """
     nv = norm(v, n)
     if mode == "clamp":
-        return scale(v, 1.0 / F.greatest(nv, F.lit(1e-8)), n)
-    return F.when(nv > 0, scale(v, 1.0 / nv, n)).otherwise(scale(v, F.lit(1.0), n))
+        return divide(v, F.greatest(nv, F.lit(1e-8)), n)
+    return F.when(nv > 0, divide(v, nv, n)).otherwise(scale(v, F.lit(1.0), n))
 
 
 def zeros(n: int) -> Column:

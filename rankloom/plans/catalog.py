@@ -19,6 +19,7 @@ _MODULES = (
     "rankloom.plans.q_serving",
     "rankloom.plans.q_features",
     "rankloom.plans.q_pairs",
+    "rankloom.plans.q_retrieval",
 )
 
 

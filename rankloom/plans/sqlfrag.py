@@ -132,3 +132,37 @@ pairs AS (SELECT a.user_id, a.item_id, a.label, a.rating, q.query_id,
                  CASE WHEN qr.qpos < greatest(1, floor((SELECT count(*) FROM qid) * {ratio})) THEN 'test' ELSE 'train' END AS split
           FROM allpairs a JOIN qid q ON a.user_id = q.user_id JOIN qrank qr ON q.query_id = qr.query_id)
 """
+
+
+def clamp_norm_list(v: str, n: int) -> str:
+    nrm = f"greatest(sqrt({dot(v, v, n)}), 1e-8)"
+    return lst([f"{v}[{i + 1}] / {nrm}" for i in range(n)])
+
+
+def ivf_ctes(dim: int, n_probe: int, k: int, items_cte: str, cent_sql: str, queries_cte: str) -> str:
+    """IVF search in SQL. ``items_cte(item_id, vec)`` raw vectors; ``cent_sql`` defines
+    ``cent(list_id, c)``; ``queries_cte(query_id, vec)`` raw queries. Defines
+    ``nv(item_id, u)``, ``asg(item_id, list_id)``, ``pr(query_id, list_id)`` and
+    ``hits(query_id, item_id, score, rank)``."""
+    return f""",
+nv AS (SELECT item_id, {clamp_norm_list('vec', dim)} AS u FROM {items_cte}),
+{cent_sql},
+asg AS (SELECT item_id, list_id FROM (
+          SELECT n.item_id, c.list_id, row_number() OVER (PARTITION BY n.item_id ORDER BY {dot('n.u', 'c.c', dim)} DESC, c.list_id) AS rn
+          FROM nv n CROSS JOIN cent c) WHERE rn = 1),
+qn AS (SELECT query_id, {clamp_norm_list('vec', dim)} AS qv FROM {queries_cte}),
+pr AS (SELECT query_id, list_id FROM (
+          SELECT q.query_id, c.list_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {dot('q.qv', 'c.c', dim)} DESC, c.list_id) AS rn
+          FROM qn q CROSS JOIN cent c) WHERE rn <= {n_probe}),
+cand AS (SELECT pr.query_id, a.item_id, {dot('q.qv', 'n.u', dim)} AS score
+         FROM pr JOIN asg a ON pr.list_id = a.list_id JOIN nv n ON n.item_id = a.item_id
+         JOIN qn q ON q.query_id = pr.query_id),
+hits AS (SELECT * FROM (SELECT query_id, item_id, score,
+           row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM cand) WHERE rank <= {k})
+"""
+
+
+def label_centroids_sql(dim: int, src: str = "emb") -> str:
+    return f"""lnv AS (SELECT label, {clamp_norm_list('vec', dim)} AS u FROM {src}),
+cent AS (SELECT CAST(label AS BIGINT) AS list_id, {lst([f'avg(u[{i + 1}])' for i in range(dim)])} AS c
+         FROM lnv GROUP BY label)"""
