@@ -50,3 +50,90 @@ def top_k_per_user(scored: DataFrame, k: int, score: str = "score",
     order = [F.desc(score)] + [F.desc(t) if t != "item_id" else F.asc(t) for t in tie]
     w = Window.partitionBy(part).orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+# --------------------------------------------------------------------------- batch serving
+
+from rankloom.functions.genres import DRIVER_GENRES, N_GENRES  # noqa: E402
+from rankloom.functions.vectors import dot as _dot  # noqa: E402
+from rankloom.functions.vectors import pad_or_zero  # noqa: E402
+
+# Serving-time defaults for absent features (user then item side).
+USER_DEFAULTS = {"avg_rating": 3.5, "log_rating_count": 0.0, "recency_score": 0.5,
+                 "gender_encoded": 0.0, "age_normalized": 0.3, "occupation_normalized": 0.3}
+ITEM_DEFAULTS = {"item_avg_rating": 3.5, "item_log_rating_count": 0.0, "popularity_score": 0.0,
+                 "rating_stddev": 0.0, "year_normalized": 0.5}
+
+# Weights of the linear scorer used by the registered end-to-end queries.
+DEFAULT_WEIGHTS = {"genre_affinity": 1.0, "popularity_score": 0.5, "item_avg_rating": 0.2,
+                   "rating_diff": -0.1, "year_normalized": 0.05}
+
+
+def serving_features(cands: DataFrame, user_feats: DataFrame, item_feats: DataFrame,
+                     n: int = N_GENRES) -> DataFrame:
+    """V2: the 50-column matrix for ``cands(user_id, item_id, retrieval_score)`` with
+    *serving* defaults (not the training 0.0), vectors padded to ``n`` with zeros."""
+    u = user_feats.select("user_id", *USER_DEFAULTS, F.col("genre_pref").alias("_up"))
+    i = item_feats.select("item_id", F.col("avg_rating").alias("item_avg_rating"),
+                          F.col("log_rating_count").alias("item_log_rating_count"),
+                          "popularity_score", "rating_stddev", "year_normalized", F.col("genre_vector").alias("_iv"))
+    m = cands.join(u, "user_id", "left").join(i, "item_id", "left")
+    m = m.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in {**USER_DEFAULTS, **ITEM_DEFAULTS}.items()})
+    m = m.withColumn("_up", pad_or_zero("_up", n)).withColumn("_iv", pad_or_zero("_iv", n))
+    m = m.withColumns({
+        "rating_diff": F.col("avg_rating") - F.col("item_avg_rating"),
+        "user_item_popularity_ratio": F.col("log_rating_count") / (F.col("item_log_rating_count") + F.lit(1e-8)),
+        "genre_affinity": _dot("_up", "_iv", n)})
+    m = m.withColumns({**{f"user_genre_{k}": F.col("_up")[k] for k in range(n)},
+                       **{f"item_genre_{k}": F.col("_iv")[k] for k in range(n)}})
+    return m.drop("_up", "_iv")
+
+
+def retrieve_candidates(user_vecs: DataFrame, item_vecs: DataFrame, centroids: DataFrame, dim: int,
+                        n_candidates: int = 500, n_probe: int = 10, **kw) -> DataFrame:
+    """V1: top ``n_candidates`` items per user by list-pruned inner product."""
+    from rankloom.operators import retrieval as R
+    post = R.assign_lists(item_vecs, centroids, dim)
+    q = user_vecs.select(F.col("user_id").alias("query_id"), "vec")
+    hits = R.ann_search(q, post, centroids, dim, n_candidates, n_probe, **kw)
+    return hits.select(F.col("query_id").alias("user_id"), "item_id", F.col("score").alias("retrieval_score"))
+
+
+def cold_users(users: DataFrame, user_vecs: DataFrame) -> DataFrame:
+    """V5: users with no embedding (no rating rows) -- the popularity fallback set."""
+    return users.select("user_id").join(user_vecs.select("user_id"), "user_id", "left_anti")
+
+
+def fallback_lists(users_without: DataFrame, ratings: DataFrame, k: int) -> DataFrame:
+    """V5/V6: the T3 list for each listed user (k rows, broadcast: bounded by k)."""
+    top = popularity_top_k(ratings, k).select("item_id", "rank", "score", "retrieval_score")
+    # k rows: attach them to every listed user by an array literal of structs built
+    # from the bounded top-k frame (scalar subquery) -- no join on a constant key.
+    arr = top.select(F.sort_array(F.collect_list(F.struct("rank", "item_id", "score", "retrieval_score")))).scalar()
+    return users_without.select("user_id", F.explode(arr).alias("r")).select("user_id", "r.*")
+
+
+def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, user_feats: DataFrame,
+                    item_feats: DataFrame, centroids: DataFrame, k: int = 20, n_candidates: int = 500,
+                    n_probe: int = 10, weights: dict | None = None, vocab=DRIVER_GENRES, **kw) -> DataFrame:
+    """V3 (+V1, V2, V5, T1, J8): ranked lists for all users in one job.
+
+    Warm users: content retrieval -> serving features -> linear score -> top-k;
+    cold users (no ratings): popularity top-k. Output
+    ``(user_id, rank, item_id, title, score, retrieval_score, genres, source)``.
+    """
+    from rankloom.operators.ranker import linear_score
+    from rankloom.operators.towers import content_item_vectors, content_user_vectors
+    dim = len(vocab)
+    uvec = content_user_vectors(user_feats)
+    cands = retrieve_candidates(uvec, content_item_vectors(movies, vocab), centroids, dim,
+                                n_candidates, n_probe, **kw)
+    feats = serving_features(cands, user_feats, item_feats, dim)
+    scored = linear_score(feats, weights or DEFAULT_WEIGHTS)
+    warm = top_k_per_user(scored.select("user_id", "item_id", "score", "retrieval_score"), k) \
+        .withColumn("source", F.lit("model"))
+    cold = fallback_lists(cold_users(users, uvec), ratings, k).withColumn("source", F.lit("popularity"))
+    allr = warm.select("user_id", "rank", "item_id", "score", "retrieval_score", "source") \
+        .unionByName(cold.select("user_id", "rank", "item_id", "score", "retrieval_score", "source"))
+    return enrich(allr, movies).select("user_id", "rank", "item_id", "title", "score", "retrieval_score",
+                                       "genres", "source")

@@ -27,3 +27,124 @@ def popularity_top20(spark, sf_dir):
     out = serving.enrich(top, T.movies(spark, sf_dir))
     return rounded(out.select("item_id", "rank", "n_ratings", "score", "retrieval_score", "title",
                               F.array_join("genres", "|").alias("genres")))
+
+
+from rankloom.operators import features as FE  # noqa: E402
+from rankloom.operators import metrics as ME  # noqa: E402
+from rankloom.operators import pairs as PA  # noqa: E402
+from rankloom.operators import retrieval as R  # noqa: E402
+from rankloom.operators.towers import content_item_vectors, content_user_vectors  # noqa: E402
+from rankloom.plans import sqlfrag as Q  # noqa: E402
+
+N_CAND, N_PROBE, K = 500, 10, 20
+
+
+def _feats(spark, sf_dir):
+    r, u, m = T.ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
+    return r, u, m, FE.user_features(r, u, m), FE.item_features(r, m)
+
+
+def _serving_sql():
+    return (T.sql_with("ratings", "users", "movies").rstrip() + Q.user_features_ctes() + Q.item_features_ctes()
+            + Q.serving_ctes(N_CAND, N_PROBE, K, serving.DEFAULT_WEIGHTS, serving.USER_DEFAULTS,
+                             serving.ITEM_DEFAULTS))
+
+
+def _recommend(spark, sf_dir):
+    r, u, m, uf, itf = _feats(spark, sf_dir)
+    cent = R.basis_centroids(spark, 18)
+    return serving.recommend_batch(r, u, m, uf, itf, cent, K, N_CAND, N_PROBE)
+
+
+@register("retrieve_candidates", _serving_sql() + """
+SELECT query_id AS user_id, item_id, round(score, 6) AS retrieval_score, CAST(rank AS INTEGER) AS rank FROM hits""")
+def retrieve_candidates(spark, sf_dir):
+    """V1 with M11: 500 candidates per user from 10 of 18 genre-axis lists."""
+    r, u, m, uf, itf = _feats(spark, sf_dir)
+    post = R.assign_lists(content_item_vectors(m), R.basis_centroids(spark, 18), 18)
+    q = content_user_vectors(uf).select(F.col("user_id").alias("query_id"), "vec")
+    hits = R.ann_search(q, post, R.basis_centroids(spark, 18), 18, N_CAND, N_PROBE)
+    return rounded(hits.select(F.col("query_id").alias("user_id"), "item_id",
+                               F.col("score").alias("retrieval_score"), "rank"))
+
+
+@register("serving_features", _serving_sql() + """
+SELECT user_id, item_id, """ + ", ".join(f"round({c}, 6) AS {c}" for c in FE.FEATURE_COLUMNS[:14]) + " FROM sfeat")
+def serving_features(spark, sf_dir):
+    """V2: candidate matrix with serving defaults (scalar part of the 50 columns)."""
+    r, u, m, uf, itf = _feats(spark, sf_dir)
+    cent = R.basis_centroids(spark, 18)
+    c = serving.retrieve_candidates(content_user_vectors(uf), content_item_vectors(m), cent, 18, N_CAND, N_PROBE)
+    f = serving.serving_features(c, uf, itf)
+    return rounded(f.select("user_id", "item_id", *FE.FEATURE_COLUMNS[:14]))
+
+
+@register("recommend_batch", _serving_sql() + """
+SELECT user_id, rank, item_id, title, round(score, 6) AS score, round(retrieval_score, 6) AS retrieval_score,
+       genres, source FROM recs""")
+def recommend_batch(spark, sf_dir):
+    """V3 (+V1 V2 V5 T1 J8 L13 M11): top-20 for every user in one job; cold users get popularity."""
+    out = _recommend(spark, sf_dir)
+    return rounded(out.withColumn("genres", F.array_join("genres", "|")))
+
+
+@register("response_lists", _serving_sql() + """
+SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS items, count(*) AS n_items,
+       round(max(score), 6) AS top_score FROM recs GROUP BY user_id""")
+def response_lists(spark, sf_dir):
+    """V7: one response row per user -- the ranked list in rank order."""
+    out = _recommend(spark, sf_dir)
+    g = out.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("l"),
+                                   F.count(F.lit(1)).alias("n_items"), F.max("score").alias("top_score"))
+    return rounded(g.select("user_id", F.array_join(F.transform("l", lambda s: s["item_id"].cast("string")), ",")
+                            .alias("items"), "n_items", "top_score"))
+
+
+def _eval_sql(recs_cte: str):
+    return (_serving_sql().rstrip() + """,
+hold AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY """ + Q.ORDER_KEY_DESC + """) AS rn
+         FROM ratings) WHERE rn <= (SELECT greatest(1, floor(count(*) * 0.1 / count(DISTINCT user_id))) FROM ratings)),
+truth AS (SELECT user_id, item_id FROM hold WHERE rating >= 4),
+recs_e AS (SELECT user_id, item_id, rank FROM """ + recs_cte + """ WHERE user_id IN (SELECT user_id FROM hold))"""
+            + Q.per_user_metrics_ctes("recs_e", "truth") + "\n" + Q.report_sql(catalog_expr="SELECT count(DISTINCT item_id) FROM movies"))
+
+
+def _eval(spark, sf_dir, which: str):
+    r, u, m, uf, itf = _feats(spark, sf_dir)
+    hold = PA.last_n_holdout(r)
+    truth = hold.filter(F.col("rating") >= 4).select("user_id", "item_id")
+    if which == "popularity":
+        recs = serving.fallback_lists(hold.select("user_id").distinct(), r, K)
+    elif which == "retrieval":
+        cent = R.basis_centroids(spark, 18)
+        c = serving.retrieve_candidates(content_user_vectors(uf), content_item_vectors(m), cent, 18, N_CAND, N_PROBE)
+        w = serving.Window.partitionBy("user_id").orderBy(F.desc("retrieval_score"), "item_id")
+        recs = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= K)
+    else:
+        recs = _recommend(spark, sf_dir)
+    recs = recs.select("user_id", "item_id", "rank").join(hold.select("user_id").distinct(), "user_id", "left_semi")
+    n_cat = m.select(F.count_distinct("item_id")).scalar()
+    rep = ME.evaluate_model(recs, truth, (5, 10, 20), n_cat)
+    return rounded(rep.filter(~F.col("metric").startswith("error")))
+
+
+@register("evaluate_pipeline", _eval_sql("recs"))
+def evaluate_pipeline(spark, sf_dir):
+    """V10 + E9: last-N holdout, truth = held-out ratings >= 4, retrieve 500, rank, keep 20, report.
+
+    All holdout users are evaluated (the reference samples 200: see ``evaluation_users``)."""
+    return _eval(spark, sf_dir, "full")
+
+
+@register("evaluate_popularity", _eval_sql("""(SELECT h.user_id, p.item_id, p.rank FROM (SELECT DISTINCT user_id FROM hold) h
+    CROSS JOIN popk p)"""))
+def evaluate_popularity(spark, sf_dir):
+    """E10 row 1: the popularity method evaluated like the pipeline."""
+    return _eval(spark, sf_dir, "popularity")
+
+
+@register("evaluate_retrieval", _eval_sql("""(SELECT * FROM (SELECT query_id AS user_id, item_id,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM hits) WHERE rank <= 20)"""))
+def evaluate_retrieval(spark, sf_dir):
+    """E10 row 2: retrieval only (top-20 by retrieval score)."""
+    return _eval(spark, sf_dir, "retrieval")

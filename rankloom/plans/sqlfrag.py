@@ -166,3 +166,100 @@ def label_centroids_sql(dim: int, src: str = "emb") -> str:
     return f"""lnv AS (SELECT label, {clamp_norm_list('vec', dim)} AS u FROM {src}),
 cent AS (SELECT CAST(label AS BIGINT) AS list_id, {lst([f'avg(u[{i + 1}])' for i in range(dim)])} AS c
          FROM lnv GROUP BY label)"""
+
+
+def basis_cent_sql(dim: int = N) -> str:
+    rows = ", ".join("(" + str(j) + ", " + lst(["1.0" if i == j else "0.0" for i in range(dim)]) + ")"
+                     for j in range(dim))
+    return f"cent(list_id, c) AS (SELECT CAST(col0 AS BIGINT), CAST(col1 AS DOUBLE[]) FROM (VALUES {rows}))"
+
+
+def serving_ctes(n_cand: int, n_probe: int, k: int, weights: dict, user_defaults: dict, item_defaults: dict) -> str:
+    """After ``ratings, users, movies`` + user/item feature CTEs. Defines
+    ``hits``, ``sfeat`` (serving matrix), ``scored``, ``warm`` (top-k) and ``recs``
+    (warm + cold popularity lists, enriched)."""
+    zeros = lst(["0.0"] * N)
+    ucols = ",\n".join(f"coalesce(CAST(u.{c} AS DOUBLE), CAST({v!r} AS DOUBLE)) AS {c}" for c, v in user_defaults.items())
+    imap = {"item_avg_rating": "avg_rating", "item_log_rating_count": "log_rating_count",
+            "popularity_score": "popularity_score", "rating_stddev": "rating_stddev",
+            "year_normalized": "year_normalized"}
+    icols = ",\n".join(f"coalesce(CAST(i.{imap[c]} AS DOUBLE), CAST({v!r} AS DOUBLE)) AS {c}"
+                       for c, v in item_defaults.items())
+    score = "CAST(0.0 AS DOUBLE)" + "".join(f" + CAST({w!r} AS DOUBLE) * {c}" for c, w in weights.items())
+    return f""",
+ivec AS (SELECT item_id, {multi_hot('genres')} AS vec FROM movies),
+uvec AS (SELECT user_id AS query_id, genre_pref AS vec FROM uf)""" + ivf_ctes(
+        N, n_probe, n_cand, "ivec", basis_cent_sql(), "uvec") + f""",
+sf0 AS (SELECT h.query_id AS user_id, h.item_id, h.score AS retrieval_score,
+{ucols},
+{icols},
+          coalesce(u.genre_pref, {zeros}) AS up, coalesce(i.genre_vector, {zeros}) AS iv
+        FROM hits h LEFT JOIN uf u ON h.query_id = u.user_id LEFT JOIN itf i ON h.item_id = i.item_id),
+sfeat AS (SELECT *, avg_rating - item_avg_rating AS rating_diff,
+                 log_rating_count / (item_log_rating_count + 1e-8) AS user_item_popularity_ratio,
+                 {dot('up', 'iv')} AS genre_affinity FROM sf0),
+scored AS (SELECT *, {score} AS score FROM sfeat),
+warm AS (SELECT * FROM (SELECT user_id, item_id, score, retrieval_score,
+           row_number() OVER (PARTITION BY user_id ORDER BY score DESC, retrieval_score DESC, item_id) AS rank
+         FROM scored) WHERE rank <= {k}),
+popk AS (SELECT item_id, row_number() OVER (ORDER BY n DESC, item_id) AS rank FROM
+           (SELECT item_id, count(*) AS n FROM ratings GROUP BY item_id) ORDER BY n DESC, item_id LIMIT {k}),
+cold AS (SELECT us.user_id, p.item_id, p.rank, 1.0 - p.rank / {float(k + 1)!r} AS score, 0.0 AS retrieval_score
+         FROM users us CROSS JOIN popk p WHERE us.user_id NOT IN (SELECT user_id FROM uf)),
+recs AS (SELECT r.user_id, CAST(r.rank AS INTEGER) AS rank, r.item_id,
+                coalesce(m.title, 'Item ' || CAST(r.item_id AS VARCHAR)) AS title, r.score, r.retrieval_score,
+                coalesce(m.genres, '') AS genres, r.source
+         FROM (SELECT user_id, rank, item_id, score, retrieval_score, 'model' AS source FROM warm
+               UNION ALL SELECT user_id, rank, item_id, score, retrieval_score, 'popularity' AS source FROM cold) r
+         LEFT JOIN movies m ON r.item_id = m.item_id)
+"""
+
+
+def per_user_metrics_ctes(recs: str, truth: str, ks=(5, 10, 20)) -> str:
+    """Defines ``pum(user_id, has_truth, ndcg_k, recall_k, precision_k, mrr, ap)``."""
+    import math
+    idcg = [0.0]
+    for i in range(1, max(ks) + 1):
+        idcg.append(idcg[-1] + 1.0 / math.log2(i + 1))
+    idcg_list = lst([repr(x) for x in idcg])
+    parts = []
+    for k in ks:
+        parts.append(f"sum(CASE WHEN rank <= {k} AND hit = 1 THEN 1.0 / log2(rank + 1.0) ELSE 0.0 END) AS dcg{k}")
+        parts.append(f"sum(CASE WHEN rank <= {k} AND hit = 1 THEN 1 ELSE 0 END) AS hits{k}")
+    outs = []
+    for k in ks:
+        ideal = f"({idcg_list})[least(coalesce(t.n_rel, 0), {k}) + 1]"
+        outs.append(f"CASE WHEN {ideal} > 0 THEN a.dcg{k} / {ideal} ELSE 0.0 END AS ndcg_{k}")
+        outs.append(f"CASE WHEN coalesce(t.n_dis, 0) > 0 THEN a.hits{k} / t.n_dis ELSE 0.0 END AS recall_{k}")
+        outs.append(f"a.hits{k} / {float(k)!r} AS precision_{k}")
+    return f""",
+tset AS (SELECT DISTINCT user_id, item_id FROM {truth}),
+tst AS (SELECT user_id, count(*) AS n_rel, count(DISTINCT item_id) AS n_dis FROM {truth} GROUP BY user_id),
+rh AS (SELECT r.user_id, r.item_id, r.rank, CASE WHEN s.item_id IS NULL THEN 0 ELSE 1 END AS hit
+       FROM {recs} r LEFT JOIN tset s ON r.user_id = s.user_id AND r.item_id = s.item_id),
+rh2 AS (SELECT *, sum(hit) OVER (PARTITION BY user_id ORDER BY rank, item_id ROWS UNBOUNDED PRECEDING) AS hno FROM rh),
+agg AS (SELECT user_id, min(CASE WHEN hit = 1 THEN rank END) AS first_hit,
+               sum(CASE WHEN hit = 1 THEN hno / rank ELSE 0.0 END) AS ap_sum, {", ".join(parts)}
+        FROM rh2 GROUP BY user_id),
+pum AS (SELECT a.user_id, coalesce(t.n_rel, 0) > 0 AS has_truth, {", ".join(outs)},
+               coalesce(1.0 / a.first_hit, 0.0) AS mrr,
+               CASE WHEN coalesce(t.n_dis, 0) > 0 THEN a.ap_sum / t.n_dis ELSE 0.0 END AS ap
+        FROM agg a LEFT JOIN tst t ON a.user_id = t.user_id)
+"""
+
+
+def report_sql(ks=(5, 10, 20), catalog_expr: str | None = None, recs: str = "recs_e") -> str:
+    """Final SELECT of the E9 report over ``pum`` (+ coverage over ``recs``)."""
+    sel = []
+    for k in ks:
+        for m in ("ndcg", "recall", "precision"):
+            sel.append(f"SELECT '{m}@{k}' AS metric, {k} AS k, round(coalesce(avg({m}_{k}), 0.0), 6) AS value FROM pum WHERE has_truth")
+    sel.append("SELECT 'mrr', NULL, round(coalesce(avg(mrr), 0.0), 6) FROM pum WHERE has_truth")
+    sel.append("SELECT 'map', NULL, round(coalesce(avg(ap), 0.0), 6) FROM pum WHERE has_truth")
+    sel.append("SELECT 'n_users', NULL, CAST(count(*) AS DOUBLE) FROM pum")
+    sel.append("SELECT 'n_evaluated', NULL, CAST(coalesce(sum(CASE WHEN has_truth THEN 1 ELSE 0 END), 0) AS DOUBLE) FROM pum")
+    if catalog_expr:
+        sel.append(f"""SELECT 'coverage', NULL, round(CASE WHEN ({catalog_expr}) > 0 THEN
+            (SELECT count(DISTINCT item_id) FROM {recs} WHERE user_id IN (SELECT user_id FROM pum WHERE has_truth))
+            / CAST(({catalog_expr}) AS DOUBLE) ELSE 0.0 END, 6)""")
+    return "\nUNION ALL ".join(sel)
