@@ -20,6 +20,7 @@ _MODULES = (
     "rankloom.plans.q_features",
     "rankloom.plans.q_pairs",
     "rankloom.plans.q_retrieval",
+    "rankloom.plans.q_eda",
 )
 
 
