@@ -21,6 +21,8 @@ _MODULES = (
     "rankloom.plans.q_pairs",
     "rankloom.plans.q_retrieval",
     "rankloom.plans.q_eda",
+    "rankloom.plans.q_metrics",
+    "rankloom.plans.q_drift",
 )
 
 
