@@ -15,7 +15,7 @@ top AS (SELECT item_id, n_ratings,
                row_number() OVER (ORDER BY n_ratings DESC, item_id) AS rank
         FROM pop ORDER BY n_ratings DESC, item_id LIMIT 20)
 SELECT t.item_id, CAST(t.rank AS INTEGER) AS rank, t.n_ratings,
-       round(1.0 - t.rank / 21.0, 6) AS score, 0.0 AS retrieval_score,
+       round(1.0 - t.rank / 21.0, 6) AS score, CAST(0.0 AS DOUBLE) AS retrieval_score,
        coalesce(m.title, 'Item ' || CAST(t.item_id AS VARCHAR)) AS title,
        coalesce(m.genres, '') AS genres
 FROM top t LEFT JOIN movies m ON t.item_id = m.item_id

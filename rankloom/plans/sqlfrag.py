@@ -40,7 +40,7 @@ st AS (SELECT user_id, avg(rating) AS avg_rating, count(*) AS rating_count,
 rc AS (SELECT st.*, CASE WHEN (SELECT max(last_us) - min(last_us) FROM st) > 0
               THEN (last_us - (SELECT min(last_us) FROM st)) / CAST((SELECT max(last_us) - min(last_us) FROM st) AS DOUBLE)
               ELSE 1.0 END AS recency_score, ln(1 + rating_count) AS log_rating_count FROM st),
-demo AS (SELECT user_id, CASE WHEN gender = 'F' THEN 1.0 ELSE 0.0 END AS gender_encoded,
+demo AS (SELECT user_id, CASE WHEN gender = 'F' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS gender_encoded,
                 age / (SELECT max(age) FROM users) AS age_normalized,
                 occupation / (SELECT max(occupation) FROM users) AS occupation_normalized FROM users),
 liked AS (SELECT r.user_id, r.rating - 3.0 AS w, gv.genre_vector AS v
