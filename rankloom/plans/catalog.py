@@ -23,6 +23,7 @@ _MODULES = (
     "rankloom.plans.q_eda",
     "rankloom.plans.q_metrics",
     "rankloom.plans.q_drift",
+    "rankloom.plans.q_telemetry",
 )
 
 
