@@ -137,3 +137,30 @@ def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, use
         .unionByName(cold.select("user_id", "rank", "item_id", "score", "retrieval_score", "source"))
     return enrich(allr, movies).select("user_id", "rank", "item_id", "title", "score", "retrieval_score",
                                        "genres", "source")
+
+
+def serve_with_cache(requests: DataFrame, cached: DataFrame, compute, strict: bool = True) -> DataFrame:
+    """V4: split requests ``(request_id, user_id, k)`` into cache hits and misses.
+
+    A cached list is a hit only if it can answer k (``size >= k`` or built with
+    ``k_built >= k``; ``strict=False`` accepts any live list, as the reference
+    does). Hits are truncated to k; misses are computed by
+    ``compute(users) -> recs(user_id, rank, item_id, title, score, retrieval_score, genres)``
+    for the largest k asked and cut per request. The result can be written
+    back with ``store.cache_recs`` (the reference never fills the cache).
+    """
+    j = requests.join(cached, "user_id", "left")
+    size_ok = F.size("recs") >= F.col("k")
+    if "k_built" in cached.columns:
+        size_ok = size_ok | (F.col("k_built") >= F.col("k"))
+    hit = F.col("recs").isNotNull() & (size_ok if strict else F.lit(True))
+    j = j.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    hits = j.filter("_hit").select("request_id", "user_id", "k",
+                                   F.explode(F.slice("recs", 1, F.col("k"))).alias("r")) \
+        .select("request_id", "user_id", "r.*").withColumn("source", F.lit("cache"))
+    misses = j.filter(~F.col("_hit")).select("request_id", "user_id", "k")
+    fresh = compute(misses.select("user_id").distinct())
+    served = misses.join(fresh, "user_id", "inner").filter(F.col("rank") <= F.col("k")).drop("k") \
+        .withColumn("source", F.lit("model"))
+    cols = ["request_id", "user_id", "rank", "item_id", "title", "score", "retrieval_score", "genres", "source"]
+    return hits.select(*cols).unionByName(served.select(*cols))

@@ -24,6 +24,7 @@ _MODULES = (
     "rankloom.plans.q_metrics",
     "rankloom.plans.q_drift",
     "rankloom.plans.q_telemetry",
+    "rankloom.plans.q_store",
 )
 
 

@@ -174,7 +174,8 @@ def basis_cent_sql(dim: int = N) -> str:
     return f"cent(list_id, c) AS (SELECT CAST(col0 AS BIGINT), CAST(col1 AS DOUBLE[]) FROM (VALUES {rows}))"
 
 
-def serving_ctes(n_cand: int, n_probe: int, k: int, weights: dict, user_defaults: dict, item_defaults: dict) -> str:
+def serving_ctes(n_cand: int, n_probe: int, k: int, weights: dict, user_defaults: dict, item_defaults: dict,
+                 query_users: str = "uf", cold_users: str = "users") -> str:
     """After ``ratings, users, movies`` + user/item feature CTEs. Defines
     ``hits``, ``sfeat`` (serving matrix), ``scored``, ``warm`` (top-k) and ``recs``
     (warm + cold popularity lists, enriched)."""
@@ -188,7 +189,7 @@ def serving_ctes(n_cand: int, n_probe: int, k: int, weights: dict, user_defaults
     score = "CAST(0.0 AS DOUBLE)" + "".join(f" + CAST({w!r} AS DOUBLE) * {c}" for c, w in weights.items())
     return f""",
 ivec AS (SELECT item_id, {multi_hot('genres')} AS vec FROM movies),
-uvec AS (SELECT user_id AS query_id, genre_pref AS vec FROM uf)""" + ivf_ctes(
+uvec AS (SELECT user_id AS query_id, genre_pref AS vec FROM {query_users})""" + ivf_ctes(
         N, n_probe, n_cand, "ivec", basis_cent_sql(), "uvec") + f""",
 sf0 AS (SELECT h.query_id AS user_id, h.item_id, h.score AS retrieval_score,
 {ucols},
@@ -205,7 +206,7 @@ warm AS (SELECT * FROM (SELECT user_id, item_id, score, retrieval_score,
 popk AS (SELECT item_id, row_number() OVER (ORDER BY n DESC, item_id) AS rank FROM
            (SELECT item_id, count(*) AS n FROM ratings GROUP BY item_id) ORDER BY n DESC, item_id LIMIT {k}),
 cold AS (SELECT us.user_id, p.item_id, p.rank, 1.0 - p.rank / {float(k + 1)!r} AS score, 0.0 AS retrieval_score
-         FROM users us CROSS JOIN popk p WHERE us.user_id NOT IN (SELECT user_id FROM uf)),
+         FROM {cold_users} us CROSS JOIN popk p WHERE us.user_id NOT IN (SELECT user_id FROM uf)),
 recs AS (SELECT r.user_id, CAST(r.rank AS INTEGER) AS rank, r.item_id,
                 coalesce(m.title, 'Item ' || CAST(r.item_id AS VARCHAR)) AS title, r.score, r.retrieval_score,
                 coalesce(m.genres, '') AS genres, r.source
