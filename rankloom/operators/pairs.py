@@ -89,7 +89,7 @@ def positives(ratings: DataFrame, min_rating: float = 4.0) -> DataFrame:
 
 
 def training_pairs(ratings: DataFrame, n_negatives: int = 4, seed: int = 42,
-                   min_rating: float = 4.0) -> DataFrame:
+                   min_rating: float = 4.0, return_queries: bool = False):
     """P1 (before the split): positives ∪ ``n_neg x n_pos`` portable negatives.
 
     Users without a positive, or with fewer than ``n_negatives`` unrated items,
@@ -109,26 +109,34 @@ def training_pairs(ratings: DataFrame, n_negatives: int = 4, seed: int = 42,
         "user_id", "item_id", F.lit(0).alias("label"), F.lit(0.0).alias("rating"))
     pos = positives(ratings, min_rating).join(eligible.select("user_id"), "user_id", "left_semi")
     pairs = pos.unionByName(neg)
-    qid = global_index(eligible.select("user_id"), ["user_id"], "query_id")
-    return pairs.join(qid, "user_id", "inner")
+    qid = global_index(eligible.select("user_id"), ["user_id"], "query_id")  # checkpointed, one row per user
+    out = pairs.join(qid, "user_id", "inner")
+    return (out, qid.select("query_id")) if return_queries else out
 
 
-def split_queries(pairs: DataFrame, test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    """Group-level split; ``max(1, int(n_queries x ratio))`` queries with the
-    smallest ``hash('q' query_id '-' seed)`` go to test. Adds ``split``."""
-    q = pairs.select("query_id").distinct()
-    n_q = q.count()
+def query_split(queries: DataFrame, test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
+    """W4 on the query table: ``max(1, int(n_queries x ratio))`` queries with the
+    smallest ``hash('q' query_id '-' seed)`` are ``test``, the rest ``train``."""
+    n_q = queries.count()
     n_test = max(1, int(n_q * test_ratio))
-    ranked = global_index(q.withColumn("_h", portable_hash(F.lit("q"), F.col("query_id"), F.lit(f"-{seed}"))),
+    ranked = global_index(queries.withColumn("_h", portable_hash(F.lit("q"), F.col("query_id"), F.lit(f"-{seed}"))),
                           ["_h", "query_id"], "_qpos")
-    test = ranked.filter(F.col("_qpos") < n_test).select("query_id", F.lit("test").alias("split"))
-    return pairs.join(test, "query_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    return ranked.select("query_id", F.when(F.col("_qpos") < n_test, "test").otherwise("train").alias("split"))
+
+
+def split_queries(pairs: DataFrame, test_ratio: float = 0.1, seed: int = 42,
+                  queries: DataFrame | None = None) -> DataFrame:
+    """Group-level split of a pair table; adds ``split``. Pass the query table
+    (from ``training_pairs(..., return_queries=True)``) to avoid re-deriving it."""
+    q = queries if queries is not None else pairs.select("query_id").distinct()
+    return pairs.join(query_split(q, test_ratio, seed), "query_id", "inner")
 
 
 def build_training_pairs(ratings: DataFrame, n_negatives: int = 4, test_ratio: float = 0.1,
                          seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """``(train, test)`` pair tables ``(user_id, item_id, label, rating, query_id)``."""
-    s = split_queries(training_pairs(ratings, n_negatives, seed), test_ratio, seed)
+    p, q = training_pairs(ratings, n_negatives, seed, return_queries=True)
+    s = split_queries(p, test_ratio, seed, q)
     cols = ["user_id", "item_id", "label", "rating", "query_id"]
     return s.filter(F.col("split") == "train").select(*cols), s.filter(F.col("split") == "test").select(*cols)
 

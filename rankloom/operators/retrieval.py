@@ -42,6 +42,13 @@ QUERY_BATCH = 256
 UNFILLED_SCORE = -3.4028234663852886e38  # -FLT_MAX, what an IVF search reports for empty slots
 
 
+def spread(queries: DataFrame, per_task: int = 4) -> DataFrame:
+    """Hash-spread the (usually tiny, AQE-coalesced) query frame over the cluster
+    before the CPU-heavy scoring; an explicit partition count is not coalesced."""
+    n = queries.sparkSession.sparkContext.defaultParallelism * per_task
+    return queries.repartition(n, "query_id")
+
+
 # ----------------------------------------------------------------------- numpy kernels
 
 def seq_norm(x: np.ndarray) -> np.ndarray:
@@ -184,7 +191,7 @@ def probe(queries: DataFrame, centroids: DataFrame, dim: int, n_probe: int) -> D
                 "qvec": [v for v in q for _ in range(npb)]})
 
     schema = "query_id long, list_id long, probe_rank int, qvec array<double>"
-    return queries.select(F.col("query_id").cast("long"), "vec").mapInPandas(_probe, schema)
+    return spread(queries.select(F.col("query_id").cast("long"), "vec")).mapInPandas(_probe, schema)
 
 
 def _search_broadcast(queries, postings, centroids, dim, k, n_probe):
@@ -221,7 +228,7 @@ def _search_broadcast(queries, postings, centroids, dim, k, n_probe):
                                         "rank": np.concatenate(out_r).astype(np.int32)})
 
     schema = "query_id long, item_id long, score double, rank int"
-    return queries.select(F.col("query_id").cast("long"), "vec").mapInPandas(_search, schema)
+    return spread(queries.select(F.col("query_id").cast("long"), "vec")).mapInPandas(_search, schema)
 
 
 def _search_blocked(queries, postings, centroids, dim, k, n_probe, user_block, item_block):

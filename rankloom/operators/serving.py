@@ -72,14 +72,20 @@ DEFAULT_WEIGHTS = {"genre_affinity": 1.0, "popularity_score": 0.5, "item_avg_rat
 def serving_features(cands: DataFrame, user_feats: DataFrame, item_feats: DataFrame,
                      n: int = N_GENRES) -> DataFrame:
     """V2: the 50-column matrix for ``cands(user_id, item_id, retrieval_score)`` with
-    *serving* defaults (not the training 0.0), vectors padded to ``n`` with zeros."""
-    u = user_feats.select("user_id", *USER_DEFAULTS, F.col("genre_pref").alias("_up"))
+    *serving* defaults (not the training 0.0), vectors padded to ``n`` with zeros.
+
+    Per-entity work (vector padding) runs on the user / item tables before the
+    fan-out join; per-candidate work is only defaults, differences and the dot.
+    """
+    from rankloom.functions.vectors import zeros
+    u = user_feats.select("user_id", *USER_DEFAULTS, pad_or_zero("genre_pref", n).alias("_up"))
     i = item_feats.select("item_id", F.col("avg_rating").alias("item_avg_rating"),
                           F.col("log_rating_count").alias("item_log_rating_count"),
-                          "popularity_score", "rating_stddev", "year_normalized", F.col("genre_vector").alias("_iv"))
+                          "popularity_score", "rating_stddev", "year_normalized",
+                          pad_or_zero("genre_vector", n).alias("_iv"))
     m = cands.join(u, "user_id", "left").join(i, "item_id", "left")
     m = m.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in {**USER_DEFAULTS, **ITEM_DEFAULTS}.items()})
-    m = m.withColumn("_up", pad_or_zero("_up", n)).withColumn("_iv", pad_or_zero("_iv", n))
+    m = m.withColumn("_up", F.coalesce("_up", zeros(n))).withColumn("_iv", F.coalesce("_iv", zeros(n)))
     m = m.withColumns({
         "rating_diff": F.col("avg_rating") - F.col("item_avg_rating"),
         "user_item_popularity_ratio": F.col("log_rating_count") / (F.col("item_log_rating_count") + F.lit(1e-8)),

@@ -6,6 +6,7 @@ Oracle SQL runs in DuckDB over the raw driver tables; views are inlined as CTEs.
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
@@ -32,7 +33,15 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, sql)
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            from rankloom.session import ensure_checkpoint_dir, ship_package
+            ensure_checkpoint_dir(spark)
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = (run, sql)
         return fn
     return deco
 

@@ -11,9 +11,16 @@ from rankloom.plans.catalog import register, rounded
 from rankloom.sources import tables as T
 
 
-def _pairs(spark, sf_dir):
-    r = T.ratings(spark, sf_dir)
-    return PA.split_queries(PA.training_pairs(r, 4, 42), 0.1, 42)
+def _ratings(spark, sf_dir):
+    """The ratings base table of a training job, written once (it is scanned ~6 times)."""
+    from rankloom.session import materialize
+    return materialize(T.ratings(spark, sf_dir), "ratings")
+
+
+def _pairs(spark, sf_dir, r=None):
+    r = _ratings(spark, sf_dir) if r is None else r
+    p, q = PA.training_pairs(r, 4, 42, return_queries=True)
+    return PA.split_queries(p, 0.1, 42, q)
 
 
 @register("training_pairs", T.sql_with("ratings").rstrip() + Q.training_pairs_ctes() + """
@@ -92,8 +99,8 @@ SELECT user_id, item_id, CAST(label AS INTEGER) AS label, CAST(query_id AS BIGIN
 FROM m""")
 def pair_features(spark, sf_dir):
     """J3 + F10-F14: the 50-column training matrix over all P1 pairs."""
-    r, u, m = T.ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
-    p = _pairs(spark, sf_dir)
+    r, u, m = _ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
+    p = _pairs(spark, sf_dir, r)
     pf = FE.pair_features(p, FE.user_features(r, u, m), FE.item_features(r, m))
     return rounded(pf.select("user_id", "item_id", F.col("label").cast("int"),
                              F.col("query_id").cast("bigint"), *FE.FEATURE_COLUMNS))

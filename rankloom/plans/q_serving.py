@@ -40,8 +40,12 @@ N_CAND, N_PROBE, K = 500, 10, 20
 
 
 def _feats(spark, sf_dir):
+    """Views plus the two feature tables, written once to the shared scratch area
+    (the feature job's output is the serving job's input)."""
+    from rankloom.session import materialize
     r, u, m = T.ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
-    return r, u, m, FE.user_features(r, u, m), FE.item_features(r, m)
+    return r, u, m, materialize(FE.user_features(r, u, m), "user_features"), \
+        materialize(FE.item_features(r, m), "item_features")
 
 
 def _serving_sql():

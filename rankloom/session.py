@@ -30,6 +30,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "16g"  # local mode: the driver JVM is the only executor
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -37,6 +39,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -62,3 +65,49 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables next to the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "rankloom-tables", name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rankloom`` importable in Python workers (pandas UDFs) by adding a
+    zip of the package to the context, once per application. The zip is built
+    in the shared scratch area, like ``--py-files``."""
+    import hashlib
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = []
+    for root, _dirs, names in os.walk(pkg):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                files.append(os.path.join(root, n))
+    h = hashlib.sha1()
+    for f in sorted(files):
+        with open(f, "rb") as fh:
+            h.update(f.encode() + fh.read())
+    out_dir = scratch_dir(spark, "pyfiles")
+    os.makedirs(out_dir, exist_ok=True)
+    zpath = os.path.join(out_dir, f"rankloom-{h.hexdigest()[:12]}.zip")
+    if not os.path.exists(zpath):
+        tmp = zpath + f".{os.getpid()}.tmp"
+        with zipfile.ZipFile(tmp, "w") as z:
+            for f in files:
+                z.write(f, os.path.relpath(f, os.path.dirname(pkg)))
+        os.replace(tmp, zpath)
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared scratch area and read it back:
+    a durable lineage cut at natural materialisation points (features, postings)."""
+    import uuid
+    path = os.path.join(scratch_dir(df.sparkSession, name), uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
