@@ -1,15 +1,316 @@
-"""Learning to rank (L1-L13): linear scorer, lambda gradients, boosted trees, holdout evaluation."""
+"""Learning to rank.
+
+* ``linear_score`` (L13): caller-given weights, exact and oracle-checkable.
+* ``lambda_gradients`` (L3): LambdaMART first/second-order terms per row.
+  Pairs are formed only between a query's current top ``truncation`` rows and
+  the query's other rows (LightGBM's default truncation level is 30), so the
+  pair count is at most ``truncation x rows`` per query -- linear, never all
+  pairs.
+* ``fit_ranker`` (L1, L4-L6): boosting loop. Each round fits one weighted
+  regression tree with MLlib (target ``-g/h``, weight ``h``: weighted variance
+  reduction is the second-order split gain), recomputes leaf values as
+  ``-sign(G) max(|G| - l1, 0) / (H + l2)`` from grouped sums, and adds
+  ``lr x leaf`` to the scores. Trees are compiled to ``CASE WHEN`` expressions,
+  so scoring stays JVM-side. The scored frame is checkpointed to the shared
+  checkpoint folder every round.
+"""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# LambdaMART settings of the reference ranker.
+LGBM_PARAMS = {"n_rounds": 500, "num_leaves": 63, "learning_rate": 0.05, "min_child_samples": 20,
+               "colsample_bytree": 0.8, "reg_alpha": 0.1, "reg_lambda": 0.1, "label_gain": (0, 1, 3, 7, 15),
+               "eval_at": (5, 10, 20), "early_stopping_rounds": 30}
+TRUNCATION = 30
+SIGMOID = 1.0
+
 
 def linear_score(df: DataFrame, weights: dict, bias: float = 0.0, out: str = "score") -> DataFrame:
     """``score = bias + sum(w_f * f)`` over caller-given weights (missing features -> 0)."""
     terms = [F.lit(float(bias))] + [F.lit(float(w)) * (F.col(c) if c in df.columns else F.lit(0.0))
                                     for c, w in weights.items()]
     return df.withColumn(out, reduce(lambda a, b: a + b, terms))
+
+
+def _gain(label: Column, label_gain) -> Column:
+    expr = F.lit(float(label_gain[-1]))
+    for i in reversed(range(len(label_gain))):
+        expr = F.when(label == i, F.lit(float(label_gain[i]))).otherwise(expr)
+    return expr
+
+
+def lambda_gradients(scored: DataFrame, truncation: int = TRUNCATION, sigmoid: float = SIGMOID,
+                     label_gain=LGBM_PARAMS["label_gain"], normalize: bool = True, tie=("row_id",)) -> DataFrame:
+    """L3: ``(row_id, g, h)`` for ``scored(row_id, query_id, label, score)``.
+
+    Rows are ranked by score inside their query (ties: row id). For every pair
+    with one side in the top ``truncation`` and different labels:
+    ``dNDCG = |gain_hi - gain_lo| * |disc_hi - disc_lo| / maxDCG@truncation``,
+    ``rho = 1 / (1 + exp(sigmoid (s_hi - s_lo)))``; the higher-labelled row gets
+    ``g -= sigmoid rho dNDCG`` and the other ``g += ...``; both get
+    ``h += sigmoid^2 rho (1 - rho) dNDCG``. With ``normalize`` a query's terms are
+    scaled by ``log2(1 + S) / S`` where S is its sum of |lambda|.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), *tie)
+    r = scored.select(*dict.fromkeys(["row_id", "query_id", "label", "score", *tie])) \
+        .withColumn("pos", F.row_number().over(w) - 1) \
+        .withColumn("gain", _gain(F.col("label"), label_gain)) \
+        .withColumn("disc", F.lit(1.0) / F.log2(F.col("pos") + 2.0))
+    # ideal DCG at the truncation level, per query, from its gains sorted descending
+    wi = Window.partitionBy("query_id").orderBy(F.desc("gain"), "row_id")
+    ideal = r.withColumn("_ip", F.row_number().over(wi) - 1).filter(F.col("_ip") < truncation) \
+        .groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("_ip") + 2.0)).alias("max_dcg"))
+    top = r.filter(F.col("pos") < truncation).select(
+        "query_id", F.col("row_id").alias("a_id"), F.col("label").alias("a_label"), F.col("score").alias("a_score"),
+        F.col("gain").alias("a_gain"), F.col("disc").alias("a_disc"), F.col("pos").alias("a_pos"))
+    other = r.select("query_id", F.col("row_id").alias("b_id"), F.col("label").alias("b_label"),
+                     F.col("score").alias("b_score"), F.col("gain").alias("b_gain"), F.col("disc").alias("b_disc"),
+                     F.col("pos").alias("b_pos"))
+    # each unordered pair once: b ranked below a (both top rows are counted from the higher one)
+    p = top.join(other, "query_id").filter((F.col("b_pos") > F.col("a_pos")) & (F.col("a_label") != F.col("b_label")))
+    p = p.join(ideal, "query_id").filter(F.col("max_dcg") > 0)
+    a_hi = F.col("a_label") > F.col("b_label")
+    s_hi = F.when(a_hi, F.col("a_score")).otherwise(F.col("b_score"))
+    s_lo = F.when(a_hi, F.col("b_score")).otherwise(F.col("a_score"))
+    dndcg = F.abs(F.col("a_gain") - F.col("b_gain")) * F.abs(F.col("a_disc") - F.col("b_disc")) / F.col("max_dcg")
+    rho = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(sigmoid) * (s_hi - s_lo)))
+    p = p.withColumn("_lam", F.lit(sigmoid) * rho * dndcg).withColumn(
+        "_hes", F.lit(sigmoid * sigmoid) * rho * (F.lit(1.0) - rho) * dndcg)
+    hi_id = F.when(a_hi, F.col("a_id")).otherwise(F.col("b_id"))
+    lo_id = F.when(a_hi, F.col("b_id")).otherwise(F.col("a_id"))
+    terms = p.select("query_id", F.explode(F.array(
+        F.struct(hi_id.alias("row_id"), (-F.col("_lam")).alias("g"), F.col("_hes").alias("h")),
+        F.struct(lo_id.alias("row_id"), F.col("_lam").alias("g"), F.col("_hes").alias("h")))).alias("t")) \
+        .select("query_id", "t.*")
+    per_row = terms.groupBy("query_id", "row_id").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    if normalize:
+        qs = per_row.groupBy("query_id").agg(F.sum(F.abs("g")).alias("_s"))
+        f = F.when(F.col("_s") > 0, F.log2(F.lit(1.0) + F.col("_s")) / F.col("_s")).otherwise(F.lit(1.0))
+        per_row = per_row.join(qs, "query_id").select("query_id", "row_id", (F.col("g") * f).alias("g"),
+                                                     (F.col("h") * f).alias("h"))
+    return per_row.select("row_id", "g", "h")
+
+
+# --------------------------------------------------------------------------- trees
+
+
+@dataclass
+class Tree:
+    """One regression tree: nodes ``(node_id, feature, threshold, left, right, leaf)``;
+    ``leaf`` is the leaf index (left-to-right) or -1 for a split node."""
+    nodes: list
+    values: dict = field(default_factory=dict)  # leaf index -> output
+
+    def expr(self, features, leaf_values: dict | None = None) -> Column:
+        vals = self.values if leaf_values is None else leaf_values
+        by_id = {n[0]: n for n in self.nodes}
+
+        def build(nid):
+            _, feat, thr, left, right, leaf = by_id[nid]
+            if leaf >= 0:
+                return F.lit(float(vals.get(leaf, 0.0))) if vals is not None else F.lit(leaf)
+            return F.when(F.col(features[feat]) <= F.lit(float(thr)), build(left)).otherwise(build(right))
+        return build(0)
+
+    def leaf_expr(self, features) -> Column:
+        by_id = {n[0]: n for n in self.nodes}
+
+        def build(nid):
+            _, feat, thr, left, right, leaf = by_id[nid]
+            if leaf >= 0:
+                return F.lit(leaf)
+            return F.when(F.col(features[feat]) <= F.lit(float(thr)), build(left)).otherwise(build(right))
+        return build(0)
+
+
+def tree_from_mllib(model) -> tuple[Tree, list]:
+    """Read an MLlib tree's structure (driver-side; bounded by 2^(depth+1) nodes).
+
+    Returns the tree and per-split ``(feature, gain x weighted count)`` for L8."""
+    nodes, splits = [], []
+    counter = {"node": 0, "leaf": 0}
+
+    def walk(jnode):
+        nid = counter["node"]
+        counter["node"] += 1
+        if jnode.getClass().getSimpleName() == "InternalNode":
+            sp = jnode.split()
+            feat, thr = int(sp.featureIndex()), float(sp.threshold())
+            splits.append((feat, float(jnode.gain()) * float(jnode.impurityStats().count())))
+            slot = len(nodes)
+            nodes.append(None)
+            left = walk(jnode.leftChild())
+            right = walk(jnode.rightChild())
+            nodes[slot] = (nid, feat, thr, left, right, -1)
+        else:
+            nodes.append((nid, -1, 0.0, -1, -1, counter["leaf"]))
+            counter["leaf"] += 1
+        return nid
+    jm = model._java_obj
+    root = jm.trees()[0].rootNode() if hasattr(jm, "trees") else jm.rootNode()
+    walk(root)
+    return Tree(nodes), splits
+
+
+def leaf_values(stats: DataFrame, l1: float, l2: float) -> dict:
+    """L4: ``-sign(G) max(|G| - l1, 0) / (H + l2)`` per leaf (rows = leaves, bounded)."""
+    out = {}
+    for row in stats.collect():
+        g, h = float(row["G"]), float(row["H"])
+        out[int(row["leaf"])] = -math.copysign(max(abs(g) - l1, 0.0), g) / (h + l2)
+    return out
+
+
+@dataclass
+class RankerModel:
+    features: list
+    trees: list = field(default_factory=list)
+    learning_rate: float = 0.05
+    best_round: int = 0
+    history: list = field(default_factory=list)     # (round, split, k, ndcg)
+    importance: dict = field(default_factory=dict)   # feature -> [gain, splits]
+
+    def score_expr(self, n_rounds: int | None = None) -> Column:
+        trees = self.trees[: (n_rounds or len(self.trees))]
+        if not trees:
+            raise RuntimeError("ranker is not trained")
+        return reduce(lambda a, b: a + b, [F.lit(self.learning_rate) * t.expr(self.features) for t in trees])
+
+    def predict(self, df: DataFrame, out: str = "score", chunk: int = 25) -> DataFrame:
+        """Sum of tree outputs (features in stored order; missing ones added as 0.0).
+        Trees are added in chunks so each projection stays compact."""
+        from rankloom.operators.features import add_missing_features
+        if not self.trees:
+            raise RuntimeError("ranker is not trained")
+        n = self.best_round or len(self.trees)
+        d = add_missing_features(df, self.features).withColumn(out, F.lit(0.0))
+        for s in range(0, n, chunk):
+            part = reduce(lambda a, b: a + b,
+                          [F.lit(self.learning_rate) * t.expr(self.features) for t in self.trees[s:min(n, s + chunk)]])
+            d = d.withColumn(out, F.col(out) + part)
+        return d
+
+    def feature_importance(self, kind: str = "gain") -> list:
+        """``(feature, importance)`` sorted descending."""
+        i = 0 if kind == "gain" else 1
+        return sorted(((f, v[i]) for f, v in self.importance.items()), key=lambda x: -x[1])
+
+    def top_features(self, n: int = 10, kind: str = "gain") -> list:
+        """T5."""
+        return self.feature_importance(kind)[:n]
+
+    def to_frames(self, spark):
+        """Node table and metadata table (write them with ``.write.parquet``)."""
+        rows = [(r, *n, float(t.values.get(n[5], 0.0)) if n[5] >= 0 else None)
+                for r, t in enumerate(self.trees) for n in t.nodes]
+        nodes = spark.createDataFrame(rows, "round int, node_id int, feature int, threshold double, left int, "
+                                            "right int, leaf int, value double")
+        meta = spark.createDataFrame([(self.features, self.learning_rate, self.best_round, len(self.trees))],
+                                     "features array<string>, learning_rate double, best_round int, n_trees int")
+        return nodes, meta
+
+    @staticmethod
+    def from_frames(nodes: DataFrame, meta: DataFrame) -> "RankerModel":
+        m = meta.first()
+        model = RankerModel(list(m["features"]), learning_rate=m["learning_rate"], best_round=m["best_round"])
+        by_round = {}
+        for r in nodes.orderBy("round", "node_id").collect():   # model-sized, not data-sized
+            t = by_round.setdefault(r["round"], Tree([], {}))
+            t.nodes.append((r["node_id"], r["feature"], r["threshold"], r["left"], r["right"], r["leaf"]))
+            if r["leaf"] >= 0:
+                t.values[r["leaf"]] = r["value"]
+        model.trees = [by_round[k] for k in sorted(by_round)]
+        return model
+
+    def info(self) -> dict:
+        """L10."""
+        return {"n_features": len(self.features), "best_iteration": self.best_round, "n_trees": len(self.trees),
+                "num_leaves": LGBM_PARAMS["num_leaves"], "learning_rate": self.learning_rate,
+                "eval_at": list(LGBM_PARAMS["eval_at"]), "top_features": self.top_features(10)}
+
+
+def query_ndcg(scored: DataFrame, k_values=(5, 10, 20), tie=("row_id",)) -> DataFrame:
+    """L5/L11 helper: mean binary NDCG@k over queries with at least one positive."""
+    from rankloom.operators.metrics import per_user_metrics
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), *tie)
+    recs = scored.withColumn("rank", F.row_number().over(w)).select(
+        F.col("query_id").alias("user_id"), F.col("row_id").alias("item_id"), "rank")
+    truth = scored.filter(F.col("label") > 0).select(F.col("query_id").alias("user_id"), F.col("row_id").alias("item_id"))
+    per = per_user_metrics(recs, truth, k_values).filter("has_truth")
+    return per.agg(*[F.avg(f"ndcg_{k}").alias(f"ndcg_{k}") for k in k_values],
+                   F.avg(f"recall_{max(k_values)}").alias(f"recall_{max(k_values)}"),
+                   F.count(F.lit(1)).alias("n_queries"))
+
+
+def fit_ranker(train: DataFrame, features, valid: DataFrame | None = None, n_rounds: int = 20,
+               learning_rate: float = LGBM_PARAMS["learning_rate"], max_depth: int = 6,
+               min_child_samples: int = LGBM_PARAMS["min_child_samples"],
+               colsample: float = LGBM_PARAMS["colsample_bytree"], l1: float = LGBM_PARAMS["reg_alpha"],
+               l2: float = LGBM_PARAMS["reg_lambda"], early_stopping: int = LGBM_PARAMS["early_stopping_rounds"],
+               seed: int = 42, eval_k: int = 10) -> RankerModel:
+    """L1 + L5 + L6: LambdaMART boosting on ``(query_id, label, features...)`` frames."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from rankloom.session import cut_lineage
+    features = list(features)
+    model = RankerModel(features, learning_rate=learning_rate)
+    cols = ["query_id", "label", *features]
+    s = cut_lineage(train.select(*cols).withColumn("row_id", F.monotonically_increasing_id())
+                    .withColumn("score", F.lit(0.0)))
+    v = None
+    if valid is not None:
+        v = cut_lineage(valid.select(*cols).withColumn("row_id", F.monotonically_increasing_id())
+                        .withColumn("score", F.lit(0.0)))
+    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
+    best, best_round, since = -1.0, 0, 0
+    for rnd in range(n_rounds):
+        grads = lambda_gradients(s)
+        fit_rows = s.join(grads, "row_id").filter(F.col("h") > 1e-12) \
+            .withColumn("_y", -F.col("g") / F.col("h"))
+        rf = RandomForestRegressor(featuresCol="_x", labelCol="_y", weightCol="h", numTrees=1, bootstrap=False,
+                                   subsamplingRate=1.0, featureSubsetStrategy=str(colsample), maxDepth=max_depth,
+                                   minInstancesPerNode=min_child_samples, seed=seed + rnd, maxBins=64)
+        fitted = rf.fit(assembler.transform(fit_rows))
+        tree, splits = tree_from_mllib(fitted)
+        stats = s.join(grads, "row_id").withColumn("leaf", tree.leaf_expr(features)) \
+            .groupBy("leaf").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+        tree.values = leaf_values(stats, l1, l2)
+        model.trees.append(tree)
+        for f_idx, gain in splits:
+            imp = model.importance.setdefault(features[f_idx], [0.0, 0])
+            imp[0] += gain
+            imp[1] += 1
+        upd = F.col("score") + F.lit(learning_rate) * tree.expr(features)
+        old_s = s
+        s = cut_lineage(s.withColumn("score", upd))
+        old_s.unpersist()
+        tr = query_ndcg(s, (eval_k,)).first()
+        model.history.append((rnd + 1, "train", eval_k, float(tr[f"ndcg_{eval_k}"] or 0.0)))
+        metric = model.history[-1][3]
+        if v is not None:
+            v = cut_lineage(v.withColumn("score", upd))
+            va = query_ndcg(v, (eval_k,)).first()
+            model.history.append((rnd + 1, "valid", eval_k, float(va[f"ndcg_{eval_k}"] or 0.0)))
+            metric = model.history[-1][3]
+        if metric > best:
+            best, best_round, since = metric, rnd + 1, 0
+        else:
+            since += 1
+            if since >= early_stopping:
+                break
+    model.best_round = best_round
+    return model
+
+
+def holdout_eval(scored: DataFrame, tie=("row_id",)) -> DataFrame:
+    """Per query rank by score; mean NDCG@10, NDCG@20, Recall@20 and query
+    count over queries with a positive. ``scored(query_id, row_id, label, score)``."""
+    return query_ndcg(scored, (10, 20), tie).select("ndcg_10", "ndcg_20", "recall_20", "n_queries")

@@ -26,6 +26,7 @@ _MODULES = (
     "rankloom.plans.q_drift",
     "rankloom.plans.q_telemetry",
     "rankloom.plans.q_store",
+    "rankloom.plans.q_ranker",
 )
 
 

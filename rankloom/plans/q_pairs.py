@@ -81,22 +81,40 @@ def item_universe(spark, sf_dir):
     return PA.item_universe(T.ratings(spark, sf_dir))
 
 
-@register("pair_features", T.sql_with("ratings", "users", "movies").rstrip() + Q.user_features_ctes()
-          + Q.item_features_ctes() + Q.training_pairs_ctes() + """,
-m AS (SELECT p.user_id, p.item_id, p.label, p.query_id,
+def pair_matrix_sql() -> str:
+    """CTE chain ending in ``pfm``: every P1 pair with its 50 features and split."""
+    return (T.sql_with("ratings", "users", "movies").rstrip() + Q.user_features_ctes() + Q.item_features_ctes()
+            + Q.training_pairs_ctes() + """,
+m AS (SELECT p.user_id, p.item_id, p.label, p.query_id, p.split,
              u.avg_rating, u.log_rating_count, u.recency_score, u.gender_encoded, u.age_normalized,
              u.occupation_normalized, u.genre_pref,
              i.avg_rating AS item_avg_rating, i.log_rating_count AS item_log_rating_count,
              i.popularity_score, i.rating_stddev, i.year_normalized, i.genre_vector
-      FROM pairs p LEFT JOIN uf u ON p.user_id = u.user_id LEFT JOIN itf i ON p.item_id = i.item_id)
-SELECT user_id, item_id, CAST(label AS INTEGER) AS label, CAST(query_id AS BIGINT) AS query_id,
-""" + ",\n".join(f"round(coalesce({c}, 0.0), 6) AS {c}" for c in FE.USER_SCALARS + FE.ITEM_SCALARS) + """,
-  round(coalesce(avg_rating - item_avg_rating, 0.0), 6) AS rating_diff,
-  round(coalesce(log_rating_count / (item_log_rating_count + 1e-8), 0.0), 6) AS user_item_popularity_ratio,
-  round(coalesce(""" + Q.dot("genre_pref", "genre_vector") + """, 0.0), 6) AS genre_affinity,
-""" + ",\n".join(f"round(coalesce(genre_pref[{k + 1}], 0.0), 6) AS user_genre_{k}" for k in range(18)) + ",\n"
-          + ",\n".join(f"round(coalesce(genre_vector[{k + 1}], 0.0), 6) AS item_genre_{k}" for k in range(18)) + """
-FROM m""")
+      FROM pairs p LEFT JOIN uf u ON p.user_id = u.user_id LEFT JOIN itf i ON p.item_id = i.item_id),
+pfm AS (SELECT user_id, item_id, CAST(label AS INTEGER) AS label, CAST(query_id AS BIGINT) AS query_id, split,
+""" + ",\n".join(f"coalesce({c}, 0.0) AS {c}" for c in FE.USER_SCALARS + FE.ITEM_SCALARS) + """,
+  coalesce(avg_rating - item_avg_rating, 0.0) AS rating_diff,
+  coalesce(log_rating_count / (item_log_rating_count + 1e-8), 0.0) AS user_item_popularity_ratio,
+  coalesce(""" + Q.dot("genre_pref", "genre_vector") + """, 0.0) AS genre_affinity,
+""" + ",\n".join(f"coalesce(genre_pref[{k + 1}], 0.0) AS user_genre_{k}" for k in range(18)) + ",\n"
+            + ",\n".join(f"coalesce(genre_vector[{k + 1}], 0.0) AS item_genre_{k}" for k in range(18)) + """
+FROM m)
+""")
+
+
+def pair_matrix(spark, sf_dir):
+    """The materialised P1 pair matrix with ``split`` (shared by the ranker queries)."""
+    from rankloom.session import materialize
+    r, u, m = _ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
+    p = _pairs(spark, sf_dir, r)
+    pf = FE.pair_features(p, FE.user_features(r, u, m), FE.item_features(r, m))
+    keyed = pf.join(p.select("user_id", "item_id", "query_id", "split").distinct(), ["user_id", "item_id", "query_id"])
+    return materialize(keyed.select("user_id", "item_id", F.col("label").cast("int"), F.col("query_id").cast("bigint"),
+                                    "split", *FE.FEATURE_COLUMNS), "pair_matrix")
+
+
+@register("pair_features", pair_matrix_sql() + "SELECT user_id, item_id, label, query_id, "
+          + ", ".join(f"round({c}, 6) AS {c}" for c in FE.FEATURE_COLUMNS) + " FROM pfm")
 def pair_features(spark, sf_dir):
     """J3 + F10-F14: the 50-column training matrix over all P1 pairs."""
     r, u, m = _ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
