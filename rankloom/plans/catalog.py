@@ -27,6 +27,7 @@ _MODULES = (
     "rankloom.plans.q_telemetry",
     "rankloom.plans.q_store",
     "rankloom.plans.q_ranker",
+    "rankloom.plans.q_models",
 )
 
 
