@@ -65,7 +65,11 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log view over ``events`` (event type -> endpoint path, k from props)."""
-    e = table(spark, sf_dir, "events")
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def requests_of(e: DataFrame) -> DataFrame:
+    """The request-log projection of an events frame (batch or streaming)."""
     k = F.get_json_object("props", "$.k").cast("int")
     path = (F.when(F.col("event_type") == "view", F.lit("/recommend"))
             .when(F.col("event_type") == "click",
