@@ -44,10 +44,25 @@ def _stamp(df: DataFrame, kind: str, id_col: str, as_of, ttl_s: int) -> DataFram
         F.struct(*[c for c in df.columns if c != id_col]).alias("payload"))
 
 
+def _save_schema(spark: SparkSession, p: str, schema) -> None:
+    spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(
+        os.path.join(p, "_schema"))
+
+
+def _read_table(spark: SparkSession, p: str) -> DataFrame:
+    """Read a store table with its saved schema (works when a flush left no data files)."""
+    import json
+    from pyspark.sql.types import StructType
+    schema = StructType.fromJson(json.loads(spark.read.text(os.path.join(p, "_schema")).first()[0]))
+    return spark.read.schema(schema).parquet(p)
+
+
 def put(df: DataFrame, path: str, kind: str, id_col: str, as_of, ttl_s: int = FEATURE_TTL_S) -> None:
     """Append (upsert by newest-wins) rows of one kind."""
-    _stamp(df, kind, id_col, as_of, ttl_s).write.mode("append").partitionBy("kind", "bucket") \
-        .parquet(os.path.join(path, kind))
+    rows = _stamp(df, kind, id_col, as_of, ttl_s)
+    p = os.path.join(path, kind)
+    rows.write.mode("append").partitionBy("kind", "bucket").parquet(p)
+    _save_schema(df.sparkSession, p, rows.select(*META, "payload").schema)
 
 
 def publish_features(user_feats: DataFrame, item_feats: DataFrame, path: str, as_of,
@@ -61,7 +76,7 @@ def read_live(spark: SparkSession, path: str, kind: str, as_of) -> DataFrame:
     """Newest row per key among rows not yet expired at ``as_of``."""
     p = os.path.join(path, kind)
     t = F.lit(as_of).cast("timestamp")
-    rows = spark.read.parquet(p).filter((F.col("kind") == kind) & (F.col("expires_at") > t)
+    rows = _read_table(spark, p).filter((F.col("kind") == kind) & (F.col("expires_at") > t)
                                         & (F.col("written_at") <= t))
     newest = rows.groupBy("key").agg(F.max_by(F.struct(*META, "payload"), "written_at").alias("r"))
     return newest.select("r.*")
@@ -79,8 +94,9 @@ def lookup(spark: SparkSession, path: str, kind: str, ids: DataFrame, id_col: st
 def flush(spark: SparkSession, path: str, kind: str) -> None:
     """Replace the table by an empty frame of the same schema."""
     p = os.path.join(path, kind)
-    schema = spark.read.parquet(p).schema
+    schema = _read_table(spark, p).schema
     spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("kind", "bucket").parquet(p)
+    _save_schema(spark, p, schema)
 
 
 def compact(spark: SparkSession, path: str, kind: str, as_of) -> str:
