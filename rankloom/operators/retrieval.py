@@ -314,3 +314,16 @@ def ann_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
     tot = e.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"))
     return tot.join(hits, "query_id", "left").select(
         "query_id", (F.coalesce("found", F.lit(0)) / F.col("n_exact")).alias("recall"))
+
+
+def save_index(centroids: DataFrame, postings: DataFrame, path: str) -> None:
+    """The index is two Parquet tables; postings are partitioned by list so a
+    probe reads only its lists' files."""
+    import os
+    centroids.write.mode("overwrite").parquet(os.path.join(path, "centroids"))
+    postings.write.mode("overwrite").partitionBy("list_id").parquet(os.path.join(path, "postings"))
+
+
+def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    import os
+    return spark.read.parquet(os.path.join(path, "centroids")), spark.read.parquet(os.path.join(path, "postings"))

@@ -121,7 +121,8 @@ def fallback_lists(users_without: DataFrame, ratings: DataFrame, k: int) -> Data
 
 def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, user_feats: DataFrame,
                     item_feats: DataFrame, centroids: DataFrame, k: int = 20, n_candidates: int = 500,
-                    n_probe: int = 10, weights: dict | None = None, vocab=DRIVER_GENRES, **kw) -> DataFrame:
+                    n_probe: int = 10, weights: dict | None = None, vocab=DRIVER_GENRES,
+                    exclude_seen: DataFrame | None = None, **kw) -> DataFrame:
     """V3 (+V1, V2, V5, T1, J8): ranked lists for all users in one job.
 
     Warm users: content retrieval -> serving features -> linear score -> top-k;
@@ -134,13 +135,20 @@ def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, use
     uvec = content_user_vectors(user_feats)
     cands = retrieve_candidates(uvec, content_item_vectors(movies, vocab), centroids, dim,
                                 n_candidates, n_probe, **kw)
+    if exclude_seen is not None:   # J12 (extension): drop items the user rated in *training* rows
+        cands = cands.join(exclude_seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
     feats = serving_features(cands, user_feats, item_feats, dim)
     scored = linear_score(feats, weights or DEFAULT_WEIGHTS)
     warm = top_k_per_user(scored.select("user_id", "item_id", "score", "retrieval_score"), k) \
         .withColumn("source", F.lit("model"))
     cold = fallback_lists(cold_users(users, uvec), ratings, k).withColumn("source", F.lit("popularity"))
+    # V6: warm users for whom the model produced no row also get the fallback list
+    empty = uvec.select("user_id").join(users.select("user_id"), "user_id", "left_semi") \
+        .join(warm.select("user_id"), "user_id", "left_anti")
+    degraded = fallback_lists(empty, ratings, k).withColumn("source", F.lit("fallback"))
     allr = warm.select("user_id", "rank", "item_id", "score", "retrieval_score", "source") \
-        .unionByName(cold.select("user_id", "rank", "item_id", "score", "retrieval_score", "source"))
+        .unionByName(cold.select("user_id", "rank", "item_id", "score", "retrieval_score", "source")) \
+        .unionByName(degraded.select("user_id", "rank", "item_id", "score", "retrieval_score", "source"))
     return enrich(allr, movies).select("user_id", "rank", "item_id", "title", "score", "retrieval_score",
                                        "genres", "source")
 
@@ -170,3 +178,23 @@ def serve_with_cache(requests: DataFrame, cached: DataFrame, compute, strict: bo
         .withColumn("source", F.lit("model"))
     cols = ["request_id", "user_id", "rank", "item_id", "title", "score", "retrieval_score", "genres", "source"]
     return hits.select(*cols).unionByName(served.select(*cols))
+
+
+def responses(recs: DataFrame, digits: int = 6) -> DataFrame:
+    """V7 + F22: one response per user -- the rank-ordered list of served rows, scores
+    rounded to 6 places, plus the candidate count."""
+    items = F.sort_array(F.collect_list(F.struct(
+        "rank", "item_id", "title", F.round("score", digits).alias("score"),
+        F.round("retrieval_score", digits).alias("retrieval_score"), "genres")))
+    return recs.groupBy("user_id").agg(items.alias("recommendations"), F.first("source").alias("source"),
+                                       F.count(F.lit(1)).alias("n_results"))
+
+
+def request_records(served: DataFrame, latency: DataFrame | None = None) -> DataFrame:
+    """One record per served request (latency, stage times, candidates, cache hit),
+    ready for an append sink (``df.write.mode('append')`` or a stream's foreachBatch)."""
+    per = served.groupBy("request_id", "user_id").agg(
+        F.count(F.lit(1)).alias("n_results"), F.max(F.col("source") == "cache").alias("cache_hit"))
+    if latency is not None:
+        per = per.join(latency, "request_id", "left")
+    return per

@@ -152,3 +152,28 @@ def evaluate_popularity(spark, sf_dir):
 def evaluate_retrieval(spark, sf_dir):
     """E10 row 2: retrieval only (top-20 by retrieval score)."""
     return _eval(spark, sf_dir, "retrieval")
+
+
+@register("method_comparison", "SELECT * FROM (SELECT 'popularity' AS method, * FROM (" + _eval_sql("""(SELECT h.user_id, p.item_id, p.rank FROM (SELECT DISTINCT user_id FROM hold) h
+    CROSS JOIN popk p)""") + """)) UNION ALL SELECT * FROM (SELECT 'retrieval' AS method, * FROM (""" + _eval_sql("""(SELECT * FROM (SELECT query_id AS user_id, item_id,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM hits) WHERE rank <= 20)""")
+          + ")) UNION ALL SELECT * FROM (SELECT 'retrieval+ranker' AS method, * FROM (" + _eval_sql("recs") + "))")
+def method_comparison(spark, sf_dir):
+    """The three methods (popularity, retrieval only, retrieval + linear ranker)
+    evaluated on the same holdout, one table."""
+    out = None
+    for name, which in (("popularity", "popularity"), ("retrieval", "retrieval"), ("retrieval+ranker", "full")):
+        rep = _eval(spark, sf_dir, which).select(F.lit(name).alias("method"), "*")
+        out = rep if out is None else out.unionByName(rep)
+    return out
+
+
+@register("served_responses", _serving_sql() + """
+SELECT user_id, count(*) AS n_results, string_agg(CAST(item_id AS VARCHAR) || ':' || CAST(round(score, 6) AS VARCHAR), ','
+       ORDER BY rank) AS items, min(source) AS source FROM recs GROUP BY user_id""")
+def served_responses(spark, sf_dir):
+    """V7 + F22: per-user response with the list in rank order and scores rounded to 6 places."""
+    resp = serving.responses(_recommend(spark, sf_dir))
+    items = F.array_join(F.transform("recommendations", lambda s: F.concat(
+        s["item_id"].cast("string"), F.lit(":"), s["score"].cast("string"))), ",")
+    return resp.select("user_id", "n_results", items.alias("items"), "source")
