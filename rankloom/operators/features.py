@@ -85,8 +85,11 @@ def genre_preference(ratings: DataFrame, genre_vecs: DataFrame, n: int = N_GENRE
 def user_features(ratings: DataFrame, users: DataFrame, movies: DataFrame,
                   vocab=DRIVER_GENRES, as_of=None) -> DataFrame:
     """Stats ⟕ demographics ⟕ genre preference; one row per rated user."""
+    from rankloom.session import materialize
     r = _as_of(ratings, as_of)
-    st = recency(user_stats(r)).withColumn("log_rating_count", F.log1p("rating_count"))
+    # one row per user, written once: the scalar subqueries of F3 then scan this
+    # small table instead of re-running the ratings join and aggregation
+    st = recency(materialize(user_stats(r), "user_stats")).withColumn("log_rating_count", F.log1p("rating_count"))
     pref = genre_preference(r, item_genre_vectors(movies, vocab), len(vocab))
     out = (st.drop("last_ts")
            .join(demographics(users), "user_id", "left")
@@ -115,7 +118,8 @@ def catalogue_years(movies: DataFrame) -> DataFrame:
 
 def item_features(ratings: DataFrame, movies: DataFrame, vocab=DRIVER_GENRES, as_of=None) -> DataFrame:
     """Item stats ⟕ catalogue (title, genre vector, year); one row per rated item."""
-    st = item_stats(_as_of(ratings, as_of)).withColumn("log_rating_count", F.log1p("rating_count"))
+    from rankloom.session import materialize
+    st = materialize(item_stats(_as_of(ratings, as_of)), "item_stats").withColumn("log_rating_count", F.log1p("rating_count"))
     max_log = st.select(F.max("log_rating_count")).scalar()
     st = st.withColumn("popularity_score", F.col("log_rating_count") / max_log)
     cat = catalogue_years(movies).select(

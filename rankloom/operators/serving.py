@@ -99,7 +99,8 @@ def retrieve_candidates(user_vecs: DataFrame, item_vecs: DataFrame, centroids: D
                         n_candidates: int = 500, n_probe: int = 10, **kw) -> DataFrame:
     """V1: top ``n_candidates`` items per user by list-pruned inner product."""
     from rankloom.operators import retrieval as R
-    post = R.assign_lists(item_vecs, centroids, dim)
+    from rankloom.session import materialize
+    post = materialize(R.assign_lists(item_vecs, centroids, dim), "postings")
     q = user_vecs.select(F.col("user_id").alias("query_id"), "vec")
     hits = R.ann_search(q, post, centroids, dim, n_candidates, n_probe, **kw)
     return hits.select(F.col("query_id").alias("user_id"), "item_id", F.col("score").alias("retrieval_score"))
@@ -139,8 +140,10 @@ def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, use
         cands = cands.join(exclude_seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
     feats = serving_features(cands, user_feats, item_feats, dim)
     scored = linear_score(feats, weights or DEFAULT_WEIGHTS)
-    warm = top_k_per_user(scored.select("user_id", "item_id", "score", "retrieval_score"), k) \
-        .withColumn("source", F.lit("model"))
+    from rankloom.session import materialize
+    # written once (k rows per user): read by the output and by the V6 check below
+    warm = materialize(top_k_per_user(scored.select("user_id", "item_id", "score", "retrieval_score"), k)
+                       .withColumn("source", F.lit("model")), "warm_lists")
     cold = fallback_lists(cold_users(users, uvec), ratings, k).withColumn("source", F.lit("popularity"))
     # V6: warm users for whom the model produced no row also get the fallback list
     empty = uvec.select("user_id").join(users.select("user_id"), "user_id", "left_semi") \

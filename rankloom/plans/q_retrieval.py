@@ -20,9 +20,12 @@ K = 100
 
 
 def _index(spark, sf_dir):
+    """Index build; centroids and postings are written once (the index's natural
+    materialisation point) and read by every search."""
+    from rankloom.session import materialize
     e = T.embeddings(spark, sf_dir)
-    cent = R.label_centroids(e, DIM)
-    return e, cent, R.assign_lists(e, cent, DIM)
+    cent = materialize(R.label_centroids(e, DIM), "centroids")
+    return e, cent, materialize(R.assign_lists(e, cent, DIM), "postings")
 
 
 def _queries(e):

@@ -57,8 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder (survives executor
     loss, unlike a local checkpoint) and return the truncated-lineage frame."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)   # else the checkpoint job recomputes the plan
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
