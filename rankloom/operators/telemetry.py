@@ -176,9 +176,10 @@ def recent_latency(requests: DataFrame, value: str = "latency_ms", window: int =
     d = labelled(requests)
     w = Window.partitionBy(part).orderBy(F.desc("ts"), F.desc("request_id"))
     last = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= window)
+    from rankloom.functions.scalars import round_binary
     return last.groupBy(part).agg(
-        F.round(F.coalesce(F.percentile(value, 0.5), F.lit(0.0)), 2).alias("p50"),
-        F.round(F.coalesce(F.percentile(value, 0.99), F.lit(0.0)), 2).alias("p99"),
+        round_binary(F.coalesce(F.percentile(value, 0.5), F.lit(0.0)), 2).alias("p50"),
+        round_binary(F.coalesce(F.percentile(value, 0.99), F.lit(0.0)), 2).alias("p99"),
         F.count(F.lit(1)).alias("n_samples"))
 
 
@@ -189,3 +190,32 @@ def cache_stats(requests: DataFrame) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("total_requests"), F.coalesce(hits, F.lit(0)).alias("cache_hits")) \
         .withColumn("cache_misses", F.col("total_requests") - F.col("cache_hits")) \
         .withColumn("cache_hit_rate", F.col("cache_hits") / F.greatest(F.col("total_requests"), F.lit(1)))
+
+
+def rolling_latency(requests: DataFrame, value: str = "latency_ms", window: int = 1000,
+                    chunk: int = 50_000, part: str = "endpoint") -> DataFrame:
+    """W9 history: for every request, p50 / p99 (linear interpolation, unrounded) of the
+    latest ``window`` samples of its endpoint up to and including it.
+
+    A plain ``OVER (PARTITION BY endpoint ...)`` would put a whole endpoint -- a
+    handful of labels, one of which may carry most traffic -- into one task.
+    Instead each endpoint's timeline is cut into ``chunk``-row pieces (positions
+    from ``global_index``), every piece also receives the last ``window - 1`` rows
+    of the piece before it as a halo, and the sliding frame runs per piece.
+    The result does not depend on ``chunk`` (>= ``window``).
+    """
+    from rankloom.operators.indexing import global_index
+    if chunk < window:
+        raise ValueError("chunk must be at least the window length")
+    d = labelled(requests).select(part, "ts", "request_id", value)
+    g = global_index(d, [part, "ts", "request_id"], "_g")
+    starts = g.groupBy(part).agg(F.min("_g").alias("_s"))           # one row per endpoint label
+    x = g.join(F.broadcast(starts), part).withColumn("_p", F.col("_g") - F.col("_s")) \
+        .withColumn("_c", F.floor(F.col("_p") / chunk))
+    own = x.withColumn("_halo", F.lit(False))
+    halo = x.filter(F.col("_p") % chunk >= chunk - (window - 1)) \
+        .withColumn("_c", F.col("_c") + 1).withColumn("_halo", F.lit(True))
+    w = Window.partitionBy(part, "_c").orderBy("_p").rowsBetween(-(window - 1), 0)
+    out = own.unionByName(halo).withColumn("p50", F.percentile(value, 0.5).over(w)) \
+        .withColumn("p99", F.percentile(value, 0.99).over(w))
+    return out.filter(~F.col("_halo")).select("request_id", part, "ts", "p50", "p99")

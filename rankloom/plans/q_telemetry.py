@@ -175,3 +175,13 @@ def cache_stats(spark, sf_dir):
     out = TM.cache_stats(_req(spark, sf_dir))
     return rounded(out.select("total_requests", F.col("cache_hits").cast("bigint"),
                               F.col("cache_misses").cast("bigint"), "cache_hit_rate"))
+
+
+@register("rolling_latency", _LAB + """
+SELECT request_id, endpoint, ts,
+       round(quantile_cont(latency_ms, 0.5) OVER w, 6) AS p50, round(quantile_cont(latency_ms, 0.99) OVER w, 6) AS p99
+FROM lab WINDOW w AS (PARTITION BY endpoint ORDER BY ts, request_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""")
+def rolling_latency(spark, sf_dir):
+    """W9 history: per-request rolling p50 / p99 over the endpoint's last 1000 samples
+    (timelines cut into 2500-row pieces with a 999-row halo; the result is piece-size independent)."""
+    return rounded(TM.rolling_latency(_req(spark, sf_dir), chunk=2500))

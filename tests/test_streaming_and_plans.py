@@ -66,3 +66,11 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 80
+
+
+def test_rolling_latency_independent_of_chunk(spark, sf):
+    from rankloom.sources import tables as T
+    req = T.requests(spark, sf)
+    a = TM.rolling_latency(req, window=50, chunk=50).select("request_id", "p50", "p99")
+    b = TM.rolling_latency(req, window=50, chunk=100000).select("request_id", "p50", "p99")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
