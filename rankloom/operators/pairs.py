@@ -45,7 +45,8 @@ def numbered_catalogue(ratings: DataFrame, seed: int) -> DataFrame:
 
 
 def portable_negatives(ratings: DataFrame, need: DataFrame, seed: int = 42,
-                       catalogue: DataFrame | None = None, n_items: int | None = None) -> DataFrame:
+                       catalogue: DataFrame | None = None, n_items: int | None = None,
+                       ranked: bool = False) -> DataFrame:
     """Exactly ``need`` distinct unrated items per user (or the whole unrated pool).
 
     ``need(user_id, need)``. User ``u`` walks the catalogue permutation from
@@ -72,10 +73,18 @@ def portable_negatives(ratings: DataFrame, need: DataFrame, seed: int = 42,
         F.explode(F.sequence(F.col("c") * DRAW_CHUNK,
                              F.least((F.col("c") + 1) * DRAW_CHUNK, F.col("m")) - 1)).alias("draw"))
     draws = draws.withColumn("pos", F.pmod(F.col("start") + F.col("draw") * F.lit(step), F.lit(n_items)))
-    cand = draws.join(cat, "pos", "inner").join(rated, ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy("draw")
-    kept = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("need"))
-    return kept.select("user_id", "item_id", "draw")
+    cand = draws.join(cat, "pos", "inner").join(rated, ["user_id", "item_id"], "left_anti") \
+        .withColumn("c", F.floor(F.col("draw") / DRAW_CHUNK))
+    # keep the first `need` surviving draws per user without a per-user window:
+    # survivors per (user, chunk) -> running offset over the user's chunks (one row
+    # per chunk) -> rank inside the chunk (bounded by the chunk size)
+    per_chunk = cand.groupBy("user_id", "c").agg(F.count(F.lit(1)).alias("_n"))
+    wc = Window.partitionBy("user_id").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.withColumn("_off", F.coalesce(F.sum("_n").over(wc), F.lit(0))).select("user_id", "c", "_off")
+    w = Window.partitionBy("user_id", "c").orderBy("draw")
+    kept = cand.join(offsets, ["user_id", "c"], "inner") \
+        .withColumn("_r", F.col("_off") + F.row_number().over(w)).filter(F.col("_r") <= F.col("need"))
+    return kept.select("user_id", "item_id", "draw", *(["_r"] if ranked else []))
 
 
 def positives(ratings: DataFrame, min_rating: float = 4.0) -> DataFrame:
@@ -148,20 +157,25 @@ def epoch_negatives(ratings: DataFrame, epoch: int, min_rating: float = 4.0) ->
     pairs with the i-th kept draw.
     """
     liked = ratings.filter(F.col("rating") >= min_rating)
-    wpos = Window.partitionBy("user_id").orderBy(*order_key())
-    pos = liked.select("user_id", F.col("item_id").alias("pos_item"),
-                       F.row_number().over(wpos).alias("_i"))
+    # i-th positive of a user in time order: dense global positions (range-partitioned,
+    # so a heavy user spans many tasks) minus the user's first position
+    keys = ["user_id", "ts", *RATING_ORDER_KEY]
+    g = global_index(liked.select(*keys, "item_id"), keys, "_g")
+    first = g.groupBy("user_id").agg(F.min("_g").alias("_s"))
+    pos = g.join(first, "user_id").select("user_id", F.col("item_id").alias("pos_item"),
+                                          (F.col("_g") - F.col("_s") + 1).alias("_i"))
     need = liked.groupBy("user_id").agg(F.count(F.lit(1)).alias("need"))
-    neg = portable_negatives(ratings, need, seed=epoch)
-    wneg = Window.partitionBy("user_id").orderBy("draw")
-    neg = neg.select("user_id", F.col("item_id").alias("neg_item"), F.row_number().over(wneg).alias("_i"))
+    neg = portable_negatives(ratings, need, seed=epoch, ranked=True)
+    neg = neg.select("user_id", F.col("item_id").alias("neg_item"), F.col("_r").alias("_i"))
     return pos.join(neg, ["user_id", "_i"], "inner").drop("_i")
 
 
 def last_n_holdout(ratings: DataFrame, ratio: float = 0.1) -> DataFrame:
     """The last ``N = max(1, int(rows x ratio / users))`` ratings of every user."""
-    n = ratings.select(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(ratio)
-                                                    / F.count_distinct("user_id"))).cast("int")).scalar()
+    # N as a literal (one number to the driver), so `row_number() <= N` is planned with a
+    # partial WindowGroupLimit: each map task forwards at most N rows per user
+    n = int(ratings.select(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(ratio)
+                                                        / F.count_distinct("user_id"))).cast("int")).first()[0])
     w = Window.partitionBy("user_id").orderBy(*[c.desc() for c in order_key()])
     return ratings.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
