@@ -39,6 +39,16 @@ def linear_score(df: DataFrame, weights: dict, bias: float = 0.0, out: str = "sc
     return df.withColumn(out, reduce(lambda a, b: a + b, terms))
 
 
+def rank_within_query(scored: DataFrame, tie=("row_id",)) -> DataFrame:
+    """0-based ``pos`` by score (desc) inside each query, without a per-query window:
+    dense global positions over ``(query_id, -score, tie)`` (range-partitioned, so a
+    query holding a large share of rows spans many tasks) minus the query's start."""
+    from rankloom.operators.indexing import global_index
+    g = global_index(scored.withColumn("_neg", -F.col("score")), ["query_id", "_neg", *tie], "_g").drop("_neg")
+    start = g.groupBy("query_id").agg(F.min("_g").alias("_s"))
+    return g.join(start, "query_id").withColumn("pos", F.col("_g") - F.col("_s")).drop("_g", "_s")
+
+
 def _gain(label: Column, label_gain) -> Column:
     expr = F.lit(float(label_gain[-1]))
     for i in reversed(range(len(label_gain))):
@@ -58,15 +68,14 @@ def lambda_gradients(scored: DataFrame, truncation: int = TRUNCATION, sigmoid: f
     ``h += sigmoid^2 rho (1 - rho) dNDCG``. With ``normalize`` a query's terms are
     scaled by ``log2(1 + S) / S`` where S is its sum of |lambda|.
     """
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), *tie)
-    r = scored.select(*dict.fromkeys(["row_id", "query_id", "label", "score", *tie])) \
-        .withColumn("pos", F.row_number().over(w) - 1) \
+    r = rank_within_query(scored.select(*dict.fromkeys(["row_id", "query_id", "label", "score", *tie])), tie) \
         .withColumn("gain", _gain(F.col("label"), label_gain)) \
         .withColumn("disc", F.lit(1.0) / F.log2(F.col("pos") + 2.0))
     # ideal DCG at the truncation level, per query, from its gains sorted descending
+    # (literal limit -> partial WindowGroupLimit: at most `truncation` rows per query leave a map task)
     wi = Window.partitionBy("query_id").orderBy(F.desc("gain"), "row_id")
-    ideal = r.withColumn("_ip", F.row_number().over(wi) - 1).filter(F.col("_ip") < truncation) \
-        .groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("_ip") + 2.0)).alias("max_dcg"))
+    ideal = r.withColumn("_ip", F.row_number().over(wi)).filter(F.col("_ip") <= truncation) \
+        .groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("_ip") + 1.0)).alias("max_dcg"))
     top = r.filter(F.col("pos") < truncation).select(
         "query_id", F.col("row_id").alias("a_id"), F.col("label").alias("a_label"), F.col("score").alias("a_score"),
         F.col("gain").alias("a_gain"), F.col("disc").alias("a_disc"), F.col("pos").alias("a_pos"))
@@ -239,9 +248,10 @@ class RankerModel:
 def query_ndcg(scored: DataFrame, k_values=(5, 10, 20), tie=("row_id",)) -> DataFrame:
     """L5/L11 helper: mean binary NDCG@k over queries with at least one positive."""
     from rankloom.operators.metrics import per_user_metrics
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), *tie)
-    recs = scored.withColumn("rank", F.row_number().over(w)).select(
-        F.col("query_id").alias("user_id"), F.col("row_id").alias("item_id"), "rank")
+    ranked = rank_within_query(scored.select(*dict.fromkeys(["row_id", "query_id", "label", "score", *tie])), tie)
+    # NDCG@k / recall@k only look at the first max(k) rows of a query
+    recs = ranked.filter(F.col("pos") < max(k_values)).select(
+        F.col("query_id").alias("user_id"), F.col("row_id").alias("item_id"), (F.col("pos") + 1).alias("rank"))
     truth = scored.filter(F.col("label") > 0).select(F.col("query_id").alias("user_id"), F.col("row_id").alias("item_id"))
     per = per_user_metrics(recs, truth, k_values).filter("has_truth")
     return per.agg(*[F.avg(f"ndcg_{k}").alias(f"ndcg_{k}") for k in k_values],
