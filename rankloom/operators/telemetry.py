@@ -160,8 +160,41 @@ def last_gauge(requests: DataFrame, value: str = "k", duration: str = "1 minute"
         F.max_by(value, F.struct("ts", "request_id")).alias("last_value"))
 
 
-def sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Activity sessions per user (events closer than ``gap`` merge)."""
+def sessions(requests: DataFrame, gap_minutes: int = 30, chunk: int = 50_000) -> DataFrame:
+    """Activity sessions per user; an event starts a new session when it comes
+    ``gap`` or more after the previous one (``session_window`` semantics:
+    end = last event + gap).
+
+    Gaps and islands on global positions, so a user with a large share of all
+    events spans many tasks: each user's timeline is cut into ``chunk``-row pieces,
+    the previous event comes from a one-row halo of the piece before, and session
+    numbers are piece-local running sums plus per-piece offsets (one row per piece).
+    """
+    from rankloom.operators.indexing import global_index
+    gap = F.expr(f"INTERVAL {int(gap_minutes)} MINUTES")
+    g = global_index(requests.select("user_id", "ts", "request_id"), ["user_id", "ts", "request_id"], "_g")
+    start = g.groupBy("user_id").agg(F.min("_g").alias("_s"))
+    x = g.join(start, "user_id").withColumn("_p", F.col("_g") - F.col("_s")) \
+        .withColumn("_c", F.floor(F.col("_p") / chunk))
+    halo = x.filter(F.col("_p") % chunk == chunk - 1).select(
+        "user_id", (F.col("_c") + 1).alias("_c"), F.col("ts").alias("_halo_ts"))
+    w = Window.partitionBy("user_id", "_c").orderBy("_p")
+    x = x.withColumn("_prev", F.lag("ts").over(w)).join(halo, ["user_id", "_c"], "left") \
+        .withColumn("_prev", F.coalesce("_prev", "_halo_ts"))
+    x = x.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("ts") >= F.col("_prev") + gap), 1).otherwise(0))
+    x = x.withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    tot = x.groupBy("user_id", "_c").agg(F.sum("_new").alias("_t"))
+    wc = Window.partitionBy("user_id").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("_o", F.coalesce(F.sum("_t").over(wc), F.lit(0))).select("user_id", "_c", "_o")
+    x = x.join(off, ["user_id", "_c"]).withColumn("_sid", F.col("_o") + F.col("_local"))
+    g2 = x.groupBy("user_id", "_sid").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts"),
+                                          F.max("ts").alias("last_ts"))
+    return g2.select("user_id", F.col("first_ts").alias("session_start"), (F.col("last_ts") + gap).alias("session_end"),
+                     "n_events", "first_ts", "last_ts")
+
+
+def sessions_windowed(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """O13 with the built-in ``session_window`` (used by the streaming form)."""
     g = requests.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(
         F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return g.select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),

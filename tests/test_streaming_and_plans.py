@@ -74,3 +74,11 @@ def test_rolling_latency_independent_of_chunk(spark, sf):
     a = TM.rolling_latency(req, window=50, chunk=50).select("request_id", "p50", "p99")
     b = TM.rolling_latency(req, window=50, chunk=100000).select("request_id", "p50", "p99")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_sessions_chunked_equal_session_window(spark, sf):
+    from rankloom.sources import tables as T
+    req = T.requests(spark, sf)
+    a = TM.sessions(req, 30, chunk=3)
+    b = TM.sessions_windowed(req, "30 minutes")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
