@@ -123,7 +123,7 @@ def fallback_lists(users_without: DataFrame, ratings: DataFrame, k: int) -> Data
 def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, user_feats: DataFrame,
                     item_feats: DataFrame, centroids: DataFrame, k: int = 20, n_candidates: int = 500,
                     n_probe: int = 10, weights: dict | None = None, vocab=DRIVER_GENRES,
-                    exclude_seen: DataFrame | None = None, **kw) -> DataFrame:
+                    exclude_seen: DataFrame | None = None, candidates: DataFrame | None = None, **kw) -> DataFrame:
     """V3 (+V1, V2, V5, T1, J8): ranked lists for all users in one job.
 
     Warm users: content retrieval -> serving features -> linear score -> top-k;
@@ -134,8 +134,8 @@ def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, use
     from rankloom.operators.towers import content_item_vectors, content_user_vectors
     dim = len(vocab)
     uvec = content_user_vectors(user_feats)
-    cands = retrieve_candidates(uvec, content_item_vectors(movies, vocab), centroids, dim,
-                                n_candidates, n_probe, **kw)
+    cands = candidates if candidates is not None else retrieve_candidates(
+        uvec, content_item_vectors(movies, vocab), centroids, dim, n_candidates, n_probe, **kw)
     if exclude_seen is not None:   # J12 (extension): drop items the user rated in *training* rows
         cands = cands.join(exclude_seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
     feats = serving_features(cands, user_feats, item_feats, dim)

@@ -113,19 +113,27 @@ recs_e AS (SELECT user_id, item_id, rank FROM """ + recs_cte + """ WHERE user_id
             + Q.per_user_metrics_ctes("recs_e", "truth") + "\n" + Q.report_sql(catalog_expr="SELECT count(DISTINCT item_id) FROM movies"))
 
 
-def _eval(spark, sf_dir, which: str):
-    r, u, m, uf, itf = _feats(spark, sf_dir)
+def _eval(spark, sf_dir, which: str, shared: dict | None = None):
+    """E9 report for one method; ``shared`` carries features / candidates computed once
+    when several methods are evaluated on the same split."""
+    from rankloom.session import materialize
+    sh = shared if shared is not None else {}
+    if "feats" not in sh:
+        sh["feats"] = _feats(spark, sf_dir)
+    r, u, m, uf, itf = sh["feats"]
+    cent = R.basis_centroids(spark, 18)
     hold = PA.last_n_holdout(r)
     truth = hold.filter(F.col("rating") >= 4).select("user_id", "item_id")
+    if which != "popularity" and "cands" not in sh:
+        sh["cands"] = materialize(serving.retrieve_candidates(content_user_vectors(uf), content_item_vectors(m), cent, 18,
+                                                              N_CAND, N_PROBE), "candidates")
     if which == "popularity":
         recs = serving.fallback_lists(hold.select("user_id").distinct(), r, K)
     elif which == "retrieval":
-        cent = R.basis_centroids(spark, 18)
-        c = serving.retrieve_candidates(content_user_vectors(uf), content_item_vectors(m), cent, 18, N_CAND, N_PROBE)
         w = serving.Window.partitionBy("user_id").orderBy(F.desc("retrieval_score"), "item_id")
-        recs = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= K)
+        recs = sh["cands"].withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= K)
     else:
-        recs = _recommend(spark, sf_dir)
+        recs = serving.recommend_batch(r, u, m, uf, itf, cent, K, N_CAND, N_PROBE, candidates=sh["cands"])
     recs = recs.select("user_id", "item_id", "rank").join(hold.select("user_id").distinct(), "user_id", "left_semi")
     n_cat = m.select(F.count_distinct("item_id")).scalar()
     rep = ME.evaluate_model(recs, truth, (5, 10, 20), n_cat)
@@ -161,9 +169,9 @@ def evaluate_retrieval(spark, sf_dir):
 def method_comparison(spark, sf_dir):
     """The three methods (popularity, retrieval only, retrieval + linear ranker)
     evaluated on the same holdout, one table."""
-    out = None
+    out, shared = None, {}
     for name, which in (("popularity", "popularity"), ("retrieval", "retrieval"), ("retrieval+ranker", "full")):
-        rep = _eval(spark, sf_dir, which).select(F.lit(name).alias("method"), "*")
+        rep = _eval(spark, sf_dir, which, shared).select(F.lit(name).alias("method"), "*")
         out = rep if out is None else out.unionByName(rep)
     return out
 
