@@ -64,7 +64,9 @@ def _recommend(spark, sf_dir):
 SELECT query_id AS user_id, item_id, round(score, 6) AS retrieval_score, CAST(rank AS INTEGER) AS rank FROM hits""")
 def retrieve_candidates(spark, sf_dir):
     """V1 with M11: 500 candidates per user from 10 of 18 genre-axis lists."""
-    r, u, m, uf, itf = _feats(spark, sf_dir)
+    from rankloom.session import materialize
+    r, u, m = T.ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
+    uf = materialize(FE.user_features(r, u, m), "user_features")
     post = R.assign_lists(content_item_vectors(m), R.basis_centroids(spark, 18), 18)
     q = content_user_vectors(uf).select(F.col("user_id").alias("query_id"), "vec")
     hits = R.ann_search(q, post, R.basis_centroids(spark, 18), 18, N_CAND, N_PROBE)
