@@ -14,3 +14,17 @@ def round_binary(x: Column, digits: int) -> Column:
     2-decimal latencies)."""
     p = float(10 ** digits)
     return F.signum(x) * F.floor(F.abs(x) * p + 0.5) / p
+
+
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of a ``TIMESTAMP_NTZ`` wall-clock value,
+    independent of the session time zone (no cast to a zoned timestamp)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
+def from_epoch_seconds(x: Column) -> Column:
+    """Epoch seconds -> ``TIMESTAMP_NTZ`` holding the UTC wall clock, zone-independent."""
+    return F.timestamp_add("SECOND", x, F.lit(EPOCH_NTZ).cast("timestamp_ntz"))

@@ -48,7 +48,8 @@ def user_stats(ratings: DataFrame) -> DataFrame:
 
 def recency(stats: DataFrame) -> DataFrame:
     """last activity min-max scaled over users; constant range -> 1.0."""
-    t = F.unix_micros(F.col("last_ts").cast("timestamp"))
+    from rankloom.functions.scalars import epoch_micros
+    t = epoch_micros(F.col("last_ts"))
     lo = stats.select(F.min(t)).scalar()
     hi = stats.select(F.max(t)).scalar()
     rng = (hi - lo).cast("double")

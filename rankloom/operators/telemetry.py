@@ -141,7 +141,8 @@ def active_requests(requests: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     double decrement on errors is fixed). Net change per bucket is a grouped
     aggregate; the running sum runs over the small bucket frame only.
     """
-    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    from rankloom.functions.scalars import epoch_micros
+    start = epoch_micros(F.col("ts"))
     end = start + (F.col("latency_ms") * 1000).cast("long")
     b = F.lit(bucket_seconds * 1_000_000)
     ev = requests.select(F.explode(F.array(

@@ -30,8 +30,9 @@ def _t(seconds: int) -> datetime:
 SELECT user_id, item_id, rating, ts FROM ratings""")
 def dat_ratings_roundtrip(spark, sf_dir):
     """S1 + S2: ratings written as ``user::item::rating::epoch`` text and read back."""
+    from rankloom.functions.scalars import epoch_micros
     r = T.ratings(spark, sf_dir).select("user_id", "item_id", "rating",
-                                        F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"))
+                                        F.floor(epoch_micros(F.col("ts")) / 1_000_000).alias("epoch"))
     p = os.path.join(store.new_store_path(spark, "dat"), "ratings.dat")
     dat.write_dat(r, p, ["user_id", "item_id", "rating", "epoch"])
     return dat.read_ratings(spark, p)

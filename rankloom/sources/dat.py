@@ -22,8 +22,8 @@ def _read(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8")
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """S1 + S2: ``user::item::rating::epoch`` -> ``(user_id, item_id, rating, ts)``."""
     r = _read(spark, path, RATINGS_SCHEMA)
-    return r.select("user_id", "item_id", "rating",
-                    F.timestamp_seconds("epoch").cast("timestamp_ntz").alias("ts"))
+    from rankloom.functions.scalars import from_epoch_seconds
+    return r.select("user_id", "item_id", "rating", from_epoch_seconds(F.col("epoch")).alias("ts"))
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
