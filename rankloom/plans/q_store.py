@@ -169,9 +169,17 @@ def cached_serving(spark, sf_dir):
         .select("request_id", "user_id", F.col("k_eff").alias("k"))
     req_users = reqs.select("user_id").distinct()
 
+    from rankloom.operators.towers import content_item_vectors, content_user_vectors
+    from rankloom.session import materialize
+    # one retrieval for every requesting user; warm lists and misses are ranked from it
+    ufr = uf.join(req_users, "user_id", "left_semi")
+    cands = materialize(serving.retrieve_candidates(content_user_vectors(ufr), content_item_vectors(m), cent, 18,
+                                                    serving_n_cand(), 10), "candidates")
+
     def compute(users, k):
         ufs = uf.join(users, "user_id", "left_semi")
-        return serving.recommend_batch(r, users, m, ufs, itf, cent, k, serving_n_cand(), 10)
+        return serving.recommend_batch(r, users, m, ufs, itf, cent, k, serving_n_cand(), 10,
+                                       candidates=cands.join(users, "user_id", "left_semi"))
 
     path = store.new_store_path(spark, "recs")
     warm_lists = compute(req_users, 10).filter(F.col("source") == "model")
