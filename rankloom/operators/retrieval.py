@@ -39,6 +39,7 @@ MAX_CENTROID_BYTES = 16 << 20
 USER_BLOCK = 2048
 ITEM_BLOCK = 4096
 QUERY_BATCH = 256
+SCORE_BUDGET_BYTES = 64 << 20   # per-task score matrix (query batch x items) budget
 UNFILLED_SCORE = -3.4028234663852886e38  # -FLT_MAX, what an IVF search reports for empty slots
 
 
@@ -203,12 +204,14 @@ def _search_broadcast(queries, postings, centroids, dim, k, n_probe):
     bc = queries.sparkSession.sparkContext.broadcast((list_ids, cmat, item_ids, item_list, _stack(pdf["vec"], dim)))
     n_lists = len(list_ids)
     npb = min(n_probe, n_lists)
+    # queries per scoring step so that the (queries x items) float64 matrix stays in budget
+    qb = max(1, min(QUERY_BATCH, SCORE_BUDGET_BYTES // max(1, len(item_ids) * 8)))
 
     def _search(batches):
         lids, c, ids, il, x = bc.value
         for pdf_q in batches:
-            for s0 in range(0, len(pdf_q), QUERY_BATCH):
-                part = pdf_q.iloc[s0:s0 + QUERY_BATCH]
+            for s0 in range(0, len(pdf_q), qb):
+                part = pdf_q.iloc[s0:s0 + qb]
                 q = clamp_normalize(_stack(part["vec"], dim))
                 probed = np.argsort(-seq_dot(q, c), axis=1, kind="stable")[:, :npb]
                 allow = np.zeros((len(part), n_lists), dtype=bool)
