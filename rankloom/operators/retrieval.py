@@ -198,17 +198,21 @@ def probe(queries: DataFrame, centroids: DataFrame, dim: int, n_probe: int) -> D
 def _search_broadcast(queries, postings, centroids, dim, k, n_probe):
     list_ids, cmat = _centroid_matrix(centroids, dim)
     pdf = postings.select("list_id", "item_id", "vec").toPandas()
-    item_ids = pdf["item_id"].to_numpy(np.int64)
     lpos = {int(l): i for i, l in enumerate(list_ids)}
     item_list = np.array([lpos[int(x)] for x in pdf["list_id"]], dtype=np.int64)
-    bc = queries.sparkSession.sparkContext.broadcast((list_ids, cmat, item_ids, item_list, _stack(pdf["vec"], dim)))
+    order = np.argsort(item_list, kind="stable")           # items grouped by list: contiguous ranges
+    item_list = item_list[order]
+    item_ids = pdf["item_id"].to_numpy(np.int64)[order]
+    xmat = _stack(pdf["vec"], dim)[order] if len(order) else np.zeros((0, dim))
+    bounds = np.searchsorted(item_list, np.arange(len(list_ids) + 1))
+    bc = queries.sparkSession.sparkContext.broadcast((list_ids, cmat, item_ids, bounds, xmat))
     n_lists = len(list_ids)
     npb = min(n_probe, n_lists)
     # queries per scoring step so that the (queries x items) float64 matrix stays in budget
     qb = max(1, min(QUERY_BATCH, SCORE_BUDGET_BYTES // max(1, len(item_ids) * 8)))
 
     def _search(batches):
-        lids, c, ids, il, x = bc.value
+        lids, c, ids, bounds, x = bc.value
         for pdf_q in batches:
             for s0 in range(0, len(pdf_q), qb):
                 part = pdf_q.iloc[s0:s0 + qb]
@@ -216,8 +220,13 @@ def _search_broadcast(queries, postings, centroids, dim, k, n_probe):
                 probed = np.argsort(-seq_dot(q, c), axis=1, kind="stable")[:, :npb]
                 allow = np.zeros((len(part), n_lists), dtype=bool)
                 allow[np.arange(len(part))[:, None], probed] = True
-                s = seq_dot(q, x) if len(ids) else np.zeros((len(part), 0))
-                s[~allow[:, il]] = -np.inf
+                # score each list only against the queries that probe it
+                s = np.full((len(part), len(ids)), -np.inf)
+                for li in range(n_lists):
+                    lo, hi = bounds[li], bounds[li + 1]
+                    rows = np.nonzero(allow[:, li])[0]
+                    if hi > lo and len(rows):
+                        s[rows, lo:hi] = seq_dot(q[rows], x[lo:hi])
                 qids = part["query_id"].to_numpy(np.int64)
                 out_q, out_i, out_s, out_r = [], [], [], []
                 for r, cols in top_k_rows(s, ids, k):
