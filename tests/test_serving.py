@@ -86,3 +86,30 @@ def test_top_k_plan_has_partial_window_limit(spark, parts):
 def test_ratings_view_prunes_columns(spark, sf):
     plan = T.ratings(spark, sf).select("user_id", "rating")._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_comment" not in plan
+
+
+def test_planted_taste_clusters(spark):
+    """Two user groups like disjoint genre sets; content retrieval keeps each group in its cluster."""
+    from datetime import datetime as dt
+    items = [(i, f"Item {i} (2000)", "red|bolt|PROMO" if i <= 50 else "blue|gear|ECONOMY") for i in range(1, 101)]
+    movies = spark.createDataFrame(items, "item_id long, title string, genres string")
+    rows = []
+    for u in range(1, 21):
+        base = 1 if u <= 10 else 51
+        for j in range(5):
+            rows.append((u, base + (u * 7 + j * 3) % 50, 5.0, dt(2024, 1, 1, 0, j + u)))
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double, ts timestamp_ntz")
+    for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"):
+        ratings = ratings.withColumn(c, F.lit(0))
+    users = spark.createDataFrame([(u, "F", 25, 1, "0") for u in range(1, 21)],
+                                  "user_id long, gender string, age int, occupation int, zip_code string")
+    uf, itf = FE.user_features(ratings, users, movies), FE.item_features(ratings, movies)
+    from rankloom.operators.towers import content_item_vectors, content_user_vectors
+    cent = R.basis_centroids(spark, 18)
+    cands = serving.retrieve_candidates(content_user_vectors(uf), content_item_vectors(movies), cent, 18, 10, 18)
+    wrong = cands.filter(((F.col("user_id") <= 10) & (F.col("item_id") > 50)) |
+                         ((F.col("user_id") > 10) & (F.col("item_id") <= 50)))
+    assert cands.count() == 200 and wrong.count() == 0
+    recs = serving.recommend_batch(ratings, users, movies, uf, itf, cent, 5, 20, 18)
+    assert recs.filter(((F.col("user_id") <= 10) & (F.col("item_id") > 50)) |
+                       ((F.col("user_id") > 10) & (F.col("item_id") <= 50))).count() == 0
