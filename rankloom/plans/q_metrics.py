@@ -13,7 +13,7 @@ from rankloom.operators import serving
 from rankloom.operators.towers import content_item_vectors, content_user_vectors
 from rankloom.plans import sqlfrag as Q
 from rankloom.plans.catalog import register, rounded
-from rankloom.plans.q_serving import N_CAND, N_PROBE, _eval_sql, _feats, _recommend, _serving_sql
+from rankloom.plans.q_serving import N_CAND, N_PROBE, _eval_sql, _recommend, _serving_sql
 from rankloom.sources import tables as T
 
 _RET20 = """(SELECT * FROM (SELECT query_id AS user_id, item_id,
