@@ -79,3 +79,22 @@ def test_two_tower_one_epoch(spark, sf):
     assert len(model.history) == 1 and np.isfinite(model.history[0][1]) and model.history[0][1] > 0
     n = model.embed_items(gv).agg(F.min(norm("vec", 64)).alias("a"), F.max(norm("vec", 64)).alias("b")).first()
     assert n["a"] == pytest.approx(1.0, abs=1e-5) and n["b"] == pytest.approx(1.0, abs=1e-5)
+
+
+def test_kmeans_lists_cover_all_vectors(spark, sf):
+    from rankloom.operators import retrieval as R
+    from rankloom.sources import tables as T
+    e = T.embeddings(spark, sf)
+    n = e.count()
+    k = R.list_count_rule(n, 100)
+    cent = R.fit_coarse(e, k, 64)
+    post = R.assign_lists(e, cent, 64)
+    assert cent.count() == k and post.count() == n
+    assert post.select("list_id").distinct().count() <= k
+
+
+def test_als_report_shape(spark, sf):
+    import __spark_entry__ as E
+    rep = {r["metric"]: r["value"] for r in E.queries()["als_factors"](spark, sf).collect()}
+    assert {"ndcg@10", "recall@20", "mrr", "n_users"} <= set(rep)
+    assert all(0.0 <= rep[m] <= 1.0 for m in ("ndcg@10", "recall@20", "mrr"))
