@@ -18,10 +18,14 @@ from rankloom.operators.indexing import global_index
 AGE_LABELS = ((1, "<18"), (18, "18-24"), (25, "25-34"), (35, "35-44"), (45, "45-49"), (50, "50-55"), (56, "56+"))
 
 
-def dataset_summary(ratings: DataFrame) -> DataFrame:
-    """A6 + A8: rows, distinct users/items, sparsity ``1 - n/(users x items)``."""
-    return ratings.agg(F.count(F.lit(1)).alias("n_ratings"), F.count_distinct("user_id").alias("n_users"),
-                       F.count_distinct("item_id").alias("n_items")).withColumn(
+def dataset_summary(ratings: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """A6 + A8: rows, distinct users/items, sparsity ``1 - n/(users x items)``.
+
+    ``approx=True`` uses HyperLogLog++ sketches (``approx_count_distinct``, relative
+    standard deviation ``rsd``): constant memory per task instead of a distinct shuffle."""
+    cd = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
+    return ratings.agg(F.count(F.lit(1)).alias("n_ratings"), cd("user_id").alias("n_users"),
+                       cd("item_id").alias("n_items")).withColumn(
         "sparsity", F.lit(1.0) - F.col("n_ratings") / (F.col("n_users") * F.col("n_items")))
 
 

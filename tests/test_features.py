@@ -113,3 +113,12 @@ def test_feature_parquet_roundtrip(spark, feats):
     a = {r["user_id"]: r["genre_pref"] for r in uf.collect()}
     b = {r["user_id"]: r["genre_pref"] for r in u2.collect()}
     assert a == b
+
+
+def test_dataset_summary_approx_close(spark, sf):
+    from rankloom.operators import eda
+    r = T.ratings(spark, sf)
+    a, b = eda.dataset_summary(r).first(), eda.dataset_summary(r, approx=True).first()
+    assert a["n_ratings"] == b["n_ratings"]
+    assert abs(a["n_users"] - b["n_users"]) <= 0.05 * a["n_users"]
+    assert abs(a["n_items"] - b["n_items"]) <= 0.05 * a["n_items"]
