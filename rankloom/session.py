@@ -45,10 +45,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Only a ``local`` master
+    may run without it (tests): there a fresh scratch folder is set."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="rankloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -66,10 +69,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+_SCRATCH: dict = {}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder for intermediate tables next to the shared checkpoint dir."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "rankloom-tables", name)
+    """A folder for intermediate tables next to the shared checkpoint dir. Each
+    application has its own root, which is deleted when the driver exits."""
+    import atexit
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _SCRATCH:
+        root = f"{base}/rankloom-tables/{key[0]}-{uuid.uuid4().hex[:8]}"
+        _SCRATCH[key] = root
+        atexit.register(_drop_tree, spark, root)
+    return f"{_SCRATCH[key]}/{name}"
+
+
+def _drop_tree(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder through Hadoop's file system (any scheme)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the context is gone: the cluster's own cleaning takes over
+        pass
 
 
 _SHIPPED: set = set()
@@ -77,9 +102,9 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``rankloom`` importable in Python workers (pandas UDFs) by adding a
-    zip of the package to the context, once per application. The zip is built
-    in the shared scratch area, like ``--py-files``."""
-    import hashlib
+    zip of the package to the context, once per application. The zip is code,
+    not data: it is built in the driver's own temp folder and Spark sends it
+    to the executors, like ``--py-files``."""
     import zipfile
 
     sc = spark.sparkContext
@@ -87,24 +112,13 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    files = []
-    for root, _dirs, names in os.walk(pkg):
-        for n in sorted(names):
-            if n.endswith(".py"):
-                files.append(os.path.join(root, n))
-    h = hashlib.sha1()
-    for f in sorted(files):
-        with open(f, "rb") as fh:
-            h.update(f.encode() + fh.read())
-    out_dir = scratch_dir(spark, "pyfiles")
-    os.makedirs(out_dir, exist_ok=True)
-    zpath = os.path.join(out_dir, f"rankloom-{h.hexdigest()[:12]}.zip")
-    if not os.path.exists(zpath):
-        tmp = zpath + f".{os.getpid()}.tmp"
-        with zipfile.ZipFile(tmp, "w") as z:
-            for f in files:
-                z.write(f, os.path.relpath(f, os.path.dirname(pkg)))
-        os.replace(tmp, zpath)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="rankloom-code-"), "rankloom.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _dirs, names in os.walk(pkg):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    f = os.path.join(root, n)
+                    z.write(f, os.path.relpath(f, os.path.dirname(pkg)))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
 
@@ -113,6 +127,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared scratch area and read it back:
     a durable lineage cut at natural materialisation points (features, postings)."""
     import uuid
-    path = os.path.join(scratch_dir(df.sparkSession, name), uuid.uuid4().hex)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    path = f"{scratch_dir(df.sparkSession, name)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
