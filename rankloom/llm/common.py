@@ -18,14 +18,22 @@ from rankloom import session
 from rankloom.session import materialize  # noqa: F401  (used by the operators)
 
 KEY = ("doc_id", "_tk")
-MAX_LONG = 9223372036854775807
+_CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def prepare(spark: SparkSession) -> None:
-    """What every operator needs of a session: the shared scratch folder, and
-    this package on the workers."""
+    """What every operator needs of a session: the shared scratch folder, this
+    package on the workers, Arrow batches of bounded bytes (long texts), and
+    shuffle files that go when the query that made them is over (an operator
+    writes its intermediate tables, so no later query reads those files)."""
     session.ensure_checkpoint_dir(spark)
     session.ship_package(spark)
+    for k, v in _CONF.items():
+        spark.conf.set(k, v)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
