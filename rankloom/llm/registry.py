@@ -7,6 +7,7 @@ import importlib
 #: query name -> module that holds the function of that name, and ``SQL`` where DuckDB can express it
 _QUERIES = {
     "op1_substring_sam": "rankloom.llm.substring_sam",
+    "op10_quality_mcd": "rankloom.llm.quality_mcd",
     "op6_suffix_bwt": "rankloom.llm.suffix_bwt",
 }
 
