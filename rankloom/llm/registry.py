@@ -8,6 +8,7 @@ import importlib
 _QUERIES = {
     "op1_substring_sam": "rankloom.llm.substring_sam",
     "op10_quality_mcd": "rankloom.llm.quality_mcd",
+    "op5_mix_sources": "rankloom.llm.mixing",
     "op6_suffix_bwt": "rankloom.llm.suffix_bwt",
 }
 
