@@ -10,6 +10,7 @@ _QUERIES = {
     "op10_quality_mcd": "rankloom.llm.quality_mcd",
     "op5_mix_sources": "rankloom.llm.mixing",
     "op6_suffix_bwt": "rankloom.llm.suffix_bwt",
+    "op9_minhash_join": "rankloom.llm.minhash_join",
 }
 
 
