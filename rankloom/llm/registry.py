@@ -11,6 +11,7 @@ _QUERIES = {
     "op5_mix_sources": "rankloom.llm.mixing",
     "op6_suffix_bwt": "rankloom.llm.suffix_bwt",
     "op9_minhash_join": "rankloom.llm.minhash_join",
+    "op8_pack_documents": "rankloom.llm.packing",
 }
 
 
