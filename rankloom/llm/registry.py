@@ -12,6 +12,7 @@ _QUERIES = {
     "op6_suffix_bwt": "rankloom.llm.suffix_bwt",
     "op9_minhash_join": "rankloom.llm.minhash_join",
     "op8_pack_documents": "rankloom.llm.packing",
+    "op2_warc_zip": "rankloom.llm.warc_zip",
 }
 
 
