@@ -13,6 +13,7 @@ _QUERIES = {
     "op9_minhash_join": "rankloom.llm.minhash_join",
     "op8_pack_documents": "rankloom.llm.packing",
     "op2_warc_zip": "rankloom.llm.warc_zip",
+    "op3_imatch": "rankloom.llm.imatch",
 }
 
 
