@@ -14,6 +14,7 @@ _QUERIES = {
     "op8_pack_documents": "rankloom.llm.packing",
     "op2_warc_zip": "rankloom.llm.warc_zip",
     "op3_imatch": "rankloom.llm.imatch",
+    "op7_chat_format": "rankloom.llm.chat_format",
 }
 
 
