@@ -15,6 +15,7 @@ _QUERIES = {
     "op2_warc_zip": "rankloom.llm.warc_zip",
     "op3_imatch": "rankloom.llm.imatch",
     "op7_chat_format": "rankloom.llm.chat_format",
+    "op4_pii_crf": "rankloom.llm.pii_crf",
 }
 
 
