@@ -1,3 +1,64 @@
-"""Corpus pipeline (filled in with its stages)."""
-STAGES = []
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``. All stages but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rankloom.llm import common, minhash_join, mixing, packing, pii_crf, quality_mcd
+from rankloom.session import scratch_dir
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the robust outlier test reject go."""
+    return quality_mcd.quality_filter(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest id) of each near-duplicate class stays."""
+    return minhash_join.near_filter(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind."""
+    return pii_crf.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out towards the sources' weights."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of 2048 (columns of the packing operator)."""
+    return packing.pack(docs, packing.tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+
+#: fitted models and a tokenizer are not expressible in SQL; the stages are tested against brute force
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    common.prepare(spark)
+    docs = common.documents(spark, sf_dir)
+    root = scratch_dir(spark, f"pipeline-{uuid.uuid4().hex}")
+    for name, stage in STAGES:
+        path = f"{root}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
