@@ -7,15 +7,15 @@ import importlib
 #: query name -> module that holds the function of that name, and ``SQL`` where DuckDB can express it
 _QUERIES = {
     "op1_substring_sam": "rankloom.llm.substring_sam",
-    "op10_quality_mcd": "rankloom.llm.quality_mcd",
-    "op5_mix_sources": "rankloom.llm.mixing",
-    "op6_suffix_bwt": "rankloom.llm.suffix_bwt",
-    "op9_minhash_join": "rankloom.llm.minhash_join",
-    "op8_pack_documents": "rankloom.llm.packing",
     "op2_warc_zip": "rankloom.llm.warc_zip",
     "op3_imatch": "rankloom.llm.imatch",
-    "op7_chat_format": "rankloom.llm.chat_format",
     "op4_pii_crf": "rankloom.llm.pii_crf",
+    "op5_mix_sources": "rankloom.llm.mixing",
+    "op6_suffix_bwt": "rankloom.llm.suffix_bwt",
+    "op7_chat_format": "rankloom.llm.chat_format",
+    "op8_pack_documents": "rankloom.llm.packing",
+    "op9_minhash_join": "rankloom.llm.minhash_join",
+    "op10_quality_mcd": "rankloom.llm.quality_mcd",
 }
 
 
@@ -24,4 +24,6 @@ def load_all() -> dict:
     for name, module in _QUERIES.items():
         m = importlib.import_module(module)
         out[name] = (getattr(m, name), getattr(m, "SQL", None))
+    pipeline = importlib.import_module("corpus_pipeline")
+    out["pipeline"] = (pipeline.run, pipeline.ORACLE_SQL)
     return out
