@@ -5,8 +5,8 @@ by code point (null last) and take the weights of ``WEIGHTS`` in turn. Targets
 share the total by weight; a target stops at ``MAX_REPEAT`` times its source,
 and what that frees is shared again by weight until no target is above. That
 fixpoint is found in closed form: sources are ordered by limit per unit of
-weight, and the capped ones are the longest prefix whose limits lie below the
-level that the rest would get. Both windows run over one row per source.
+weight, and the level is the highest that any prefix of capped sources leaves
+to the rest. Both windows run over one row per source.
 
 Each document is then emitted floor(rate) times, plus once more if a hash of
 the seed and its id, as a number in [0, 1), lies below the fraction.
@@ -49,14 +49,13 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
     per = per.withColumn("_cap", cap.cast("double")).withColumn("_ratio", F.col("_cap") / F.col("_w"))
     before = Window.orderBy("_ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("_ratio").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # level that the rest would share if all sources of a smaller ratio were capped
+    # level that the rest would get if all sources of a smaller ratio were capped: it rises as long as that is
+    # right, and falls from there on, so its maximum is the fixpoint
     per = per.withColumn("_total", F.sum("source_size").over(every)).withColumn("_all_w", F.sum("_w").over(every))
     per = per.withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
                          / (F.col("_all_w") - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    per = per.withColumn("_open", F.min(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(every))
-    return per.select("source", "source_size",
-                      F.when((F.col("_ratio") < F.col("_level")) | F.col("_open").isNull(), F.col("_cap"))
-                      .otherwise(F.col("_open") * F.col("_w")).alias("target"))
+    per = per.withColumn("_top", F.max("_level").over(every))
+    return per.select("source", "source_size", F.least("_cap", F.col("_top") * F.col("_w")).alias("target"))
 
 
 def _draw(seed: int):
@@ -107,8 +106,7 @@ capped AS (SELECT *, (source_size * 3)::DOUBLE AS cap, (source_size * 3)::DOUBLE
 levels AS (
   SELECT *, (SUM(source_size) OVER () - COALESCE(SUM(cap) OVER b, 0)) / (SUM(w) OVER () - COALESCE(SUM(w) OVER b, 0)) AS level
   FROM capped WINDOW b AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-opened AS (SELECT *, MIN(CASE WHEN ratio >= level THEN level END) OVER () AS lv FROM levels),
-targets AS (SELECT source, source_size, CASE WHEN ratio < level OR lv IS NULL THEN cap ELSE lv * w END AS target FROM opened),
+targets AS (SELECT source, source_size, LEAST(cap, MAX(level) OVER () * w) AS target FROM levels),
 rated AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
