@@ -115,16 +115,30 @@ def latency_quantiles(requests: DataFrame, duration: str = "5 minutes", phis=(0.
                           .otherwise("red"))
 
 
-def exact_latency_percentiles(requests: DataFrame, phis=(0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles (linear interpolation) per endpoint."""
-    return labelled(requests).groupBy("endpoint").agg(
-        *[F.percentile("latency_ms", p).alias(f"p{int(p * 100)}") for p in phis], F.count(F.lit(1)).alias("n"))
+def exact_latency_percentiles(requests: DataFrame, phis=(0.5, 0.95, 0.99), value: str = "latency_ms",
+                              part: str = "endpoint") -> DataFrame:
+    """Exact percentiles (linear interpolation) per endpoint.
 
-
-def approx_latency_percentiles(requests: DataFrame, phis=(0.5, 0.95, 0.99), accuracy: int = 10000) -> DataFrame:
-    """O5 at scale: mergeable sketch quantiles (bounded state per group)."""
-    return labelled(requests).groupBy("endpoint").agg(
-        F.percentile_approx("latency_ms", list(phis), accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
+    Rows get dense positions in ``(endpoint, value)`` order, so an endpoint with a
+    large share of all requests spans many tasks; only the two rows around each
+    percentile are then looked up by position. Null values are passed over."""
+    from rankloom.operators.indexing import global_index
+    d = labelled(requests).filter(F.col(value).isNotNull()).select(part, value, "request_id")
+    g = global_index(d, [part, value, "request_id"], "_g")
+    stats = g.groupBy(part).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("n"))
+    want = stats.select(part, "n", "_s", F.explode(F.array(
+        *[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(phis)])).alias("w"))
+    want = want.select(part, "n", F.col("w.i").alias("i"), (F.col("w.at") - F.floor("w.at")).alias("frac"), F.explode(F.array(
+        *[F.struct(F.lit(k).alias("hi"), (F.col("_s") + f(F.col("w.at"))).cast("long").alias("_g"))
+          for k, f in enumerate((F.floor, F.ceil))])).alias("p")).select(part, "n", "i", "frac", "p.hi", "p._g")
+    got = want.join(g.select("_g", F.col(value).alias("_v")), "_g")
+
+    def pick(i, hi):
+        return F.max(F.when((F.col("i") == i) & (F.col("hi") == hi), F.col("_v")))
+    out = got.groupBy(part).agg(F.max("n").alias("n"), *[x for i in range(len(phis)) for x in (
+        pick(i, 0).alias(f"_l{i}"), pick(i, 1).alias(f"_h{i}"), F.max(F.when(F.col("i") == i, F.col("frac"))).alias(f"_f{i}"))])
+    return out.select(part, *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(f"p{int(p * 100)}")
+                              for i, p in enumerate(phis)], "n")
 
 
 def error_rate(requests: DataFrame, duration: str = "1 minute", seconds: float = 60.0) -> DataFrame:
@@ -203,14 +217,22 @@ def sessions_windowed(requests: DataFrame, gap: str = "30 minutes") -> DataFrame
 
 
 def recent_latency(requests: DataFrame, value: str = "latency_ms", window: int = 1000,
-                   part: str = "endpoint") -> DataFrame:
+                   part: str = "endpoint", bucket_seconds: int = 60) -> DataFrame:
     """p50 and p99 over the latest ``window`` samples per endpoint, rounded
-    to 2 places (0.0 when empty). ``row_number() <= window`` keeps at most
-    ``window`` rows per endpoint per map task before the shuffle."""
-    d = labelled(requests)
+    to 2 places (0.0 when empty).
+
+    Counts per endpoint and time bucket tell from which bucket on the latest
+    ``window`` rows lie; only rows from there are ranked, whatever the number of
+    map tasks."""
+    from rankloom.functions.scalars import epoch_micros, round_binary
+    d = labelled(requests).withColumn("_b", F.floor(epoch_micros(F.col("ts")) / F.lit(bucket_seconds * 1_000_000)).cast("long"))
+    counts = d.groupBy(part, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    newer = Window.partitionBy(part).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    cut = counts.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0))).filter(F.col("_before") < window) \
+        .groupBy(part).agg(F.min("_b").alias("_from")).withColumnRenamed(part, "_part")
+    d = d.join(cut, d[part].eqNullSafe(F.col("_part"))).filter(F.col("_b").isNull() | (F.col("_b") >= F.col("_from")))
     w = Window.partitionBy(part).orderBy(F.desc("ts"), F.desc("request_id"))
     last = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= window)
-    from rankloom.functions.scalars import round_binary
     return last.groupBy(part).agg(
         round_binary(F.coalesce(F.percentile(value, 0.5), F.lit(0.0)), 2).alias("p50"),
         round_binary(F.coalesce(F.percentile(value, 0.99), F.lit(0.0)), 2).alias("p99"),
@@ -243,8 +265,8 @@ def rolling_latency(requests: DataFrame, value: str = "latency_ms", window: int
         raise ValueError("chunk must be at least the window length")
     d = labelled(requests).select(part, "ts", "request_id", value)
     g = global_index(d, [part, "ts", "request_id"], "_g")
-    starts = g.groupBy(part).agg(F.min("_g").alias("_s"))           # one row per endpoint label
-    x = g.join(F.broadcast(starts), part).withColumn("_p", F.col("_g") - F.col("_s")) \
+    starts = g.groupBy(part).agg(F.min("_g").alias("_s"))           # one row per value of part
+    x = g.join(starts, part).withColumn("_p", F.col("_g") - F.col("_s")) \
         .withColumn("_c", F.floor(F.col("_p") / chunk))
     own = x.withColumn("_halo", F.lit(False))
     halo = x.filter(F.col("_p") % chunk >= chunk - (window - 1)) \

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -87,6 +89,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{_SCRATCH[key]}/{name}"
 
 
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """``file``, ``dir`` or None for a path on any Hadoop file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    return "dir" if fs.getFileStatus(p).isDirectory() else "file"
+
+
 def _drop_tree(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system (any scheme)."""
     try:

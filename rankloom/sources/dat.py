@@ -36,7 +36,10 @@ def read_movies(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, MOVIES_SCHEMA, "ISO-8859-1")
 
 
-def write_dat(df: DataFrame, path: str, cols) -> None:
-    """Write ``cols`` joined by ``::`` as UTF-8 text (one line per row)."""
+def write_dat(df: DataFrame, path: str, cols, encoding: str = "ISO-8859-1") -> None:
+    """Write ``cols`` joined by ``::``, one line per row, in the encoding the
+    readers expect (one CSV column without quoting, so the text stays as it is)."""
     df.select(F.concat_ws("::", *[F.col(c).cast("string") for c in cols]).alias("value")) \
-        .write.mode("overwrite").text(path)
+        .write.mode("overwrite").option("encoding", encoding).option("sep", "\u0001").option("quote", "") \
+        .option("escapeQuotes", "false").option("ignoreLeadingWhiteSpace", "false") \
+        .option("ignoreTrailingWhiteSpace", "false").csv(path)

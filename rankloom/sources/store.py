@@ -10,18 +10,19 @@ lookups prune files.
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.genres import N_GENRES
-from rankloom.session import scratch_dir
+from rankloom.session import path_kind, scratch_dir
 
 FEATURE_TTL_S = 3600
 RECS_TTL_S = 300
 N_BUCKETS = 64
-META = ("kind", "bucket", "key", "entity_id", "written_at", "expires_at")
+META = ("kind", "bucket", "key", "entity_id", "written_at", "expires_at", "seq")
 
 
 def new_store_path(spark: SparkSession, name: str = "store") -> str:
@@ -35,12 +36,18 @@ def entity_key(kind: str, entity_id) -> F.Column:
     return F.concat(F.lit(prefix), F.col(entity_id).cast("string"))
 
 
+def _bucket(id_col) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(N_BUCKETS)).cast("int")
+
+
 def _stamp(df: DataFrame, kind: str, id_col: str, as_of, ttl_s: int) -> DataFrame:
+    """``seq`` orders puts of the same stamp: the later call wins."""
     t = F.lit(as_of).cast("timestamp")
     return df.select(
-        F.lit(kind).alias("kind"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(N_BUCKETS)).cast("int").alias("bucket"),
+        F.lit(kind).alias("kind"), _bucket(id_col).alias("bucket"),
         entity_key(kind, id_col).alias("key"), F.col(id_col).cast("long").alias("entity_id"),
         t.alias("written_at"), (t + F.make_dt_interval(secs=F.lit(ttl_s))).alias("expires_at"),
+        F.lit(time.time_ns()).alias("seq"),
         F.struct(*[c for c in df.columns if c != id_col]).alias("payload"))
 
 
@@ -72,22 +79,39 @@ def publish_features(user_feats: DataFrame, item_feats: DataFrame, path: str, as
     put(item_feats.drop("title"), path, "item", "item_id", as_of, ttl_s)
 
 
-def read_live(spark: SparkSession, path: str, kind: str, as_of) -> DataFrame:
-    """Newest row per key among rows not yet expired at ``as_of``."""
+def read_live(spark: SparkSession, path: str, kind: str, as_of, buckets=None, ids: DataFrame | None = None) -> DataFrame:
+    """Newest row per key among rows not yet expired at ``as_of``.
+
+    ``buckets`` (a partition column) prunes files; ``ids(entity_id)`` keeps only
+    the requested entities before the newest row per key is chosen."""
     p = os.path.join(path, kind)
     t = F.lit(as_of).cast("timestamp")
     rows = _read_table(spark, p).filter((F.col("kind") == kind) & (F.col("expires_at") > t)
                                         & (F.col("written_at") <= t))
-    newest = rows.groupBy("key").agg(F.max_by(F.struct(*META, "payload"), "written_at").alias("r"))
+    if buckets is not None:
+        rows = rows.filter(F.col("bucket").isin(list(buckets)))
+    if ids is not None:
+        rows = rows.join(ids, "entity_id", "left_semi")
+    newest = rows.groupBy("key").agg(F.max_by(F.struct(*META, "payload"), F.struct("written_at", "seq")).alias("r"))
     return newest.select("r.*")
 
 
+def get(spark: SparkSession, path: str, kind: str, entity_id: int, as_of) -> DataFrame:
+    """The live row of one key (none if absent or expired); reads one bucket."""
+    one = spark.range(1).select(F.lit(entity_id).cast("long").alias("entity_id"))
+    bucket = one.select(_bucket("entity_id")).first()[0]
+    return read_live(spark, path, kind, as_of, [bucket], one).select("entity_id", "payload")
+
+
 def lookup(spark: SparkSession, path: str, kind: str, ids: DataFrame, id_col: str, as_of) -> DataFrame:
     """One row per requested id; absent or expired keys give a null payload.
 
-    The requested ids are the preserved side of a left join on the entity id.
+    Only the buckets of the requested ids are read (at most ``N_BUCKETS`` numbers
+    reach the driver). The ids are the preserved side of a left join.
     """
-    live = read_live(spark, path, kind, as_of).select(F.col("entity_id").alias(id_col), "payload")
+    want = ids.select(F.col(id_col).cast("long").alias("entity_id")).distinct()
+    buckets = [r[0] for r in want.select(_bucket("entity_id")).distinct().collect()]
+    live = read_live(spark, path, kind, as_of, buckets, want).select(F.col("entity_id").alias(id_col), "payload")
     return ids.select(id_col).join(live, id_col, "left").withColumn("found", F.col("payload").isNotNull())
 
 
@@ -161,7 +185,7 @@ def table_audit(spark: SparkSession, sf_dir: str, expected) -> DataFrame:
     rows = []
     for name in expected:
         p = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(p):
+        if path_kind(spark, p):
             rows.append(spark.read.parquet(p).agg(F.count(F.lit(1)).alias("rows"))
                         .select(F.lit(name).alias("table"), F.lit(True).alias("present"), "rows"))
         else:

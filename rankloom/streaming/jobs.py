@@ -18,17 +18,20 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.binning import equal_width_bin
 from rankloom.operators import telemetry as TM
-from rankloom.session import scratch_dir
+from rankloom.session import path_kind, scratch_dir
 from rankloom.sources import tables as T
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
     """Stream the driver table ``name`` (schema taken from the batch table, never inferred)."""
     schema = T.table(spark, sf_dir, name).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    if path_kind(spark, path) == "dir":     # an ordinary table folder
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _paths(spark: SparkSession, name: str):
@@ -48,6 +51,8 @@ def run_upsert(df: DataFrame, name: str, mode: str = "update", trigger_available
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
     q = w.start()
     q.awaitTermination()
+    if path_kind(spark, out) is None:       # no batch ran: an empty table of the right columns
+        spark.createDataFrame([], df.schema.add("_batch", "long")).write.parquet(out)
     return out
 
 
@@ -69,8 +74,6 @@ def request_rate_stream(spark: SparkSession, sf_dir: str, watermark: str = "10 m
 
 def user_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live A1 statistics from a line-item stream joined to static orders."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     li = file_stream(spark, sf_dir, "lineitem")
     od = T.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     r = li.join(od, li.l_orderkey == od.o_orderkey, "inner").select(
