@@ -150,11 +150,16 @@ def build_training_pairs(ratings: DataFrame, n_negatives: int = 4, test_ratio: f
     return s.filter(F.col("split") == "train").select(*cols), s.filter(F.col("split") == "test").select(*cols)
 
 
-def epoch_negatives(ratings: DataFrame, epoch: int, min_rating: float = 4.0) -> DataFrame:
-    """One unrated negative per positive row, re-drawn each epoch (seed = epoch).
-
-    Returns ``(user_id, pos_item, neg_item)``: the i-th positive (time order)
-    pairs with the i-th kept draw.
+def epoch_negatives(ratings: DataFrame, epoch: int, min_rating: float = 4.0, catalogue: DataFrame | None = None,
+                    index: str | None = None) -> DataFrame:
+    """One unrated negative for every positive row, re-drawn each epoch (seed = epoch).
+
+    Returns ``(user_id, pos_item, neg_item)``: the i-th positive (time order) pairs
+    with draw ``i mod pool`` of the user's ``pool`` unrated items, so a user with
+    more positives than unrated items repeats negatives and loses no positive.
+    Negatives come from ``catalogue(item_id)`` and the rated items. Users who rated
+    the whole catalogue have no negative and no row. ``index`` names an extra
+    column with the positive's 1-based position.
     """
     liked = ratings.filter(F.col("rating") >= min_rating)
     # i-th positive of a user in time order: dense global positions (range-partitioned,
@@ -164,10 +169,19 @@ def epoch_negatives(ratings: DataFrame, epoch: int, min_rating: float = 4.0) ->
     first = g.groupBy("user_id").agg(F.min("_g").alias("_s"))
     pos = g.join(first, "user_id").select("user_id", F.col("item_id").alias("pos_item"),
                                           (F.col("_g") - F.col("_s") + 1).alias("_i"))
+    items = ratings.select("item_id")
+    if catalogue is not None:
+        items = items.unionByName(catalogue.select("item_id"))
+    cat = numbered_catalogue(items, epoch)
+    n_items = cat.count()
     need = liked.groupBy("user_id").agg(F.count(F.lit(1)).alias("need"))
-    neg = portable_negatives(ratings, need, seed=epoch, ranked=True)
-    neg = neg.select("user_id", F.col("item_id").alias("neg_item"), F.col("_r").alias("_i"))
-    return pos.join(neg, ["user_id", "_i"], "inner").drop("_i")
+    pool = need.join(ratings.groupBy("user_id").agg(F.count_distinct("item_id").alias("_n")), "user_id").select(
+        "user_id", F.least("need", F.lit(n_items) - F.col("_n")).alias("_pool")).filter(F.col("_pool") > 0)
+    neg = portable_negatives(ratings, need, epoch, cat, n_items, ranked=True)
+    neg = neg.select("user_id", F.col("item_id").alias("neg_item"), F.col("_r").alias("_d"))
+    pos = pos.join(pool, "user_id").withColumn("_d", (F.col("_i") - 1) % F.col("_pool") + 1)
+    out = pos.join(neg, ["user_id", "_d"], "inner")
+    return out.select("user_id", "pos_item", "neg_item", *([F.col("_i").alias(index)] if index else []))
 
 
 def last_n_holdout(ratings: DataFrame, ratio: float = 0.1) -> DataFrame:

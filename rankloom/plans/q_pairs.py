@@ -41,16 +41,11 @@ def pair_group_sizes(spark, sf_dir):
                                               F.sum("label").cast("bigint").alias("n_pos"))
 
 
-@register("epoch_negatives", T.sql_with("ratings").rstrip() + """,
-liked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY """ + Q.ORDER_KEY + """) AS i
-          FROM ratings WHERE rating >= 4),
-eneed AS (SELECT user_id, count(*) AS need FROM liked GROUP BY user_id)""" + Q.negatives_ctes("eneed", seed=3) + """,
-negi AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY draw) AS i FROM neg)
-SELECT l.user_id, l.item_id AS pos_item, n.item_id AS neg_item
-FROM liked l JOIN negi n ON l.user_id = n.user_id AND l.i = n.i""")
+@register("epoch_negatives", T.sql_with("ratings", "movies").rstrip() + Q.epoch_triples_ctes(3) + """
+SELECT user_id, pos_item, neg_item FROM tri""")
 def epoch_negatives(spark, sf_dir):
-    """One unrated negative per positive, drawn for epoch 3."""
-    return PA.epoch_negatives(T.ratings(spark, sf_dir), epoch=3)
+    """One unrated catalogue item for every positive, drawn for epoch 3."""
+    return PA.epoch_negatives(T.ratings(spark, sf_dir), epoch=3, catalogue=T.movies(spark, sf_dir))
 
 
 @register("last_n_holdout", T.sql_with("ratings") + """

@@ -86,12 +86,13 @@ def stride(n_expr: str) -> str:
     return "CASE " + " ".join(f"WHEN gcd({p}, {n_expr}) = 1 THEN {p}" for p in primes) + " END"
 
 
-def negatives_ctes(need_cte: str, seed: int = 42, suffix: str = "") -> str:
+def negatives_ctes(need_cte: str, seed: int = 42, suffix: str = "",
+                   universe: str = "SELECT DISTINCT item_id FROM ratings") -> str:
     """Portable negatives in SQL: needs ``ratings`` and a CTE ``need_cte(user_id, need)``;
-    defines ``neg{suffix}(user_id, item_id, draw)``."""
+    defines ``neg{suffix}(user_id, item_id, draw)``. ``universe`` selects the distinct items to draw from."""
     s = suffix or "_n"
     return f""",
-items{s} AS (SELECT DISTINCT item_id FROM ratings),
+items{s} AS ({universe}),
 ncat{s} AS (SELECT count(*) AS n_items FROM items{s}),
 cat{s} AS (SELECT item_id, row_number() OVER (ORDER BY h, item_id) - 1 AS pos
            FROM (SELECT item_id, {phash(f"CAST(item_id AS VARCHAR) || '-{seed}'")} AS h FROM items{s})),
@@ -264,3 +265,15 @@ def report_sql(ks=(5, 10, 20), catalog_expr: str | None = None, recs: str = "rec
             (SELECT count(DISTINCT item_id) FROM {recs} WHERE user_id IN (SELECT user_id FROM pum WHERE has_truth))
             / CAST(({catalog_expr}) AS DOUBLE) ELSE 0.0 END, 6)""")
     return "\nUNION ALL ".join(sel)
+
+
+def epoch_triples_ctes(seed: int) -> str:
+    """Defines ``tri(user_id, pos_item, neg_item)``; needs ``ratings`` and ``movies``."""
+    return f""",
+lk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {ORDER_KEY}) AS i FROM ratings WHERE rating >= 4),
+eneed AS (SELECT user_id, count(*) AS need FROM lk GROUP BY user_id)""" + negatives_ctes(
+        "eneed", seed=seed, universe="SELECT item_id FROM ratings UNION SELECT item_id FROM movies") + """,
+negi AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY draw) AS i,
+                count(*) OVER (PARTITION BY user_id) AS pool FROM neg),
+tri AS (SELECT l.user_id, l.item_id AS pos_item, n.item_id AS neg_item
+        FROM lk l JOIN negi n ON l.user_id = n.user_id AND (l.i - 1) % n.pool + 1 = n.i)"""

@@ -75,12 +75,46 @@ def test_two_tower_one_epoch(spark, sf):
     from rankloom.sources import tables as T
     r, m = T.ratings(spark, sf), T.movies(spark, sf)
     gv = FE.item_genre_vectors(m)
-    model = TT.fit_two_tower(r, gv, epochs=1, batch=64, n_shards=2)
+    model = TT.fit_two_tower(r, gv, epochs=1, batch=64, shard_rows=1500)
     assert len(model.history) == 1 and np.isfinite(model.history[0][1]) and model.history[0][1] > 0
     n = model.embed_items(gv).agg(F.min(norm("vec", 64)).alias("a"), F.max(norm("vec", 64)).alias("b")).first()
     assert n["a"] == pytest.approx(1.0, abs=1e-5) and n["b"] == pytest.approx(1.0, abs=1e-5)
 
 
+def _ratings_frame(spark, rows):
+    from rankloom.sources.tables import RATING_ORDER_KEY
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double, t long").withColumn("ts", F.timestamp_seconds("t"))
+    return df.select("user_id", "item_id", "rating", "ts", *[F.col("t").alias(c) for c in RATING_ORDER_KEY])
+
+
+def test_two_tower_learns_from_every_triple(spark):
+    """Planted taste: users like the items of their own half. The loss falls, no
+    triple is dropped with the default batch, and a heavy user spans shards."""
+    from rankloom.operators import twotower as TT
+    from rankloom.operators.pairs import epoch_negatives
+    rows = [(u, (u % 2) * 20 + (u * 7 + k * 3) % 20, 5.0, u * 1000 + k) for u in range(1, 25) for k in range(12)]
+    rows += [(99, k % 20, 5.0, 99000 + k) for k in range(300)]
+    r = _ratings_frame(spark, rows)
+    gv = spark.range(40).select(F.col("id").alias("item_id"), F.array(*[F.lit(0.0)] * 18).alias("genre_vector"))
+    tri = epoch_negatives(r, 1, catalogue=gv)
+    liked = r.groupBy("user_id").count().collect()
+    got = {x["user_id"]: x["count"] for x in tri.groupBy("user_id").count().collect()}
+    assert got == {x["user_id"]: x["count"] for x in liked}        # 300 positives of 20 items keep 300 negatives
+    assert tri.join(r.select("user_id", F.col("item_id").alias("neg_item")), ["user_id", "neg_item"]).count() == 0
+    model = TT.fit_two_tower(r, gv, epochs=4, lr=0.02, batch=64, shard_rows=200)
+    losses = [v for _, v in model.history]
+    assert losses[-1] < losses[0] and model.best_epoch == losses.index(min(losses)) + 1
+    assert model.item_emb.count() == 40 and model.user_emb.count() == 25
+
+
+def test_two_tower_without_triples(spark):
+    from rankloom.operators import twotower as TT
+    r = _ratings_frame(spark, [(1, 1, 1.0, 1)])
+    gv = spark.range(3).select(F.col("id").alias("item_id"), F.array(*[F.lit(0.0)] * 18).alias("genre_vector"))
+    with pytest.raises(ValueError):
+        TT.fit_two_tower(r, gv, epochs=1)
+
+
 def test_kmeans_lists_cover_all_vectors(spark, sf):
     from rankloom.operators import retrieval as R
     from rankloom.sources import tables as T
