@@ -145,8 +145,9 @@ def item_features(ratings: DataFrame, movies: DataFrame, vocab=DRIVER_GENRES, as
 
 
 def pair_features(pairs: DataFrame, user_feats: DataFrame, item_feats: DataFrame,
-                  n: int = N_GENRES) -> DataFrame:
-    """J3 + F10-F14: the flat 50-feature matrix for ``(user_id, item_id, label, query_id)`` rows.
+                  n: int = N_GENRES, carry=()) -> DataFrame:
+    """J3 + F10-F14: the flat 50-feature matrix for ``(user_id, item_id, label, query_id)`` rows
+    (and the columns of ``pairs`` named in ``carry``, unchanged).
 
     Vectors travel as arrays through the two joins and are expanded last;
     every remaining null becomes 0.0 (training defaults).
@@ -156,9 +157,9 @@ def pair_features(pairs: DataFrame, user_feats: DataFrame, item_feats: DataFrame
         "item_id", F.col("avg_rating").alias("item_avg_rating"),
         F.col("log_rating_count").alias("item_log_rating_count"),
         "popularity_score", "rating_stddev", "year_normalized", "genre_vector")
-    m = pairs.select("user_id", "item_id", "label", "query_id") \
+    m = pairs.select("user_id", "item_id", "label", "query_id", *carry) \
         .join(u, "user_id", "left").join(i, "item_id", "left")
-    cols = [F.col(c) for c in ("user_id", "item_id", "label", "query_id")]
+    cols = [F.col(c) for c in ("user_id", "item_id", "label", "query_id", *carry)]
     cols += [F.col(c) for c in USER_SCALARS + ITEM_SCALARS]
     cols += [(F.col("avg_rating") - F.col("item_avg_rating")).alias("rating_diff"),
              (F.col("log_rating_count") / (F.col("item_log_rating_count") + F.lit(1e-8)))

@@ -259,18 +259,24 @@ def query_ndcg(scored: DataFrame, k_values=(5, 10, 20), tie=("row_id",)) -> Data
                    F.count(F.lit(1)).alias("n_queries"))
 
 
-def fit_ranker(train: DataFrame, features, valid: DataFrame | None = None, n_rounds: int = 20,
+def fit_ranker(train: DataFrame, features, valid: DataFrame | None = None, n_rounds: int = LGBM_PARAMS["n_rounds"],
                learning_rate: float = LGBM_PARAMS["learning_rate"], max_depth: int = 6,
                min_child_samples: int = LGBM_PARAMS["min_child_samples"],
                colsample: float = LGBM_PARAMS["colsample_bytree"], l1: float = LGBM_PARAMS["reg_alpha"],
                l2: float = LGBM_PARAMS["reg_lambda"], early_stopping: int = LGBM_PARAMS["early_stopping_rounds"],
-               seed: int = 42, eval_k: int = 10) -> RankerModel:
-    """L1 + L5 + L6: LambdaMART boosting on ``(query_id, label, features...)`` frames."""
+               seed: int = 42, eval_k: int = 10, eval_at=LGBM_PARAMS["eval_at"],
+               truncation: int = TRUNCATION) -> RankerModel:
+    """L1 + L5 + L6: LambdaMART boosting on ``(query_id, label, features...)`` frames.
+
+    NDCG is recorded at every ``eval_at``; early stopping follows ``eval_k``. Rows
+    without a gradient stay in the tree fit (for leaf counts) with a vanishing weight."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    from rankloom.session import cut_lineage
+    from rankloom.session import cut_lineage, materialize
     features = list(features)
+    if eval_k not in eval_at:
+        raise ValueError("eval_k must be one of eval_at")
     model = RankerModel(features, learning_rate=learning_rate)
     cols = ["query_id", "label", *features]
     s = cut_lineage(train.select(*cols).withColumn("row_id", F.monotonically_increasing_id())
@@ -282,16 +288,17 @@ def fit_ranker(train: DataFrame, features, valid: DataFrame | None = None, n_rou
     assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
     best, best_round, since = -1.0, 0, 0
     for rnd in range(n_rounds):
-        grads = lambda_gradients(s)
-        fit_rows = s.join(grads, "row_id").filter(F.col("h") > 1e-12) \
-            .withColumn("_y", -F.col("g") / F.col("h"))
+        grads = lambda_gradients(s, truncation)
+        rows = s.join(grads, "row_id", "left").withColumns({"g": F.coalesce("g", F.lit(0.0)), "h": F.coalesce("h", F.lit(0.0))})
+        rows = materialize(rows, "ranker_round")        # read by the fit and by the leaf sums
+        fit_rows = rows.withColumn("_y", F.when(F.col("h") > 1e-12, -F.col("g") / F.col("h")).otherwise(F.lit(0.0))) \
+            .withColumn("h", F.greatest("h", F.lit(1e-12)))
         rf = RandomForestRegressor(featuresCol="_x", labelCol="_y", weightCol="h", numTrees=1, bootstrap=False,
                                    subsamplingRate=1.0, featureSubsetStrategy=str(colsample), maxDepth=max_depth,
                                    minInstancesPerNode=min_child_samples, seed=seed + rnd, maxBins=64)
         fitted = rf.fit(assembler.transform(fit_rows))
         tree, splits = tree_from_mllib(fitted)
-        stats = s.join(grads, "row_id").withColumn("leaf", tree.leaf_expr(features)) \
-            .groupBy("leaf").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+        stats = rows.withColumn("leaf", tree.leaf_expr(features)).groupBy("leaf").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
         tree.values = leaf_values(stats, l1, l2)
         model.trees.append(tree)
         for f_idx, gain in splits:
@@ -302,14 +309,14 @@ def fit_ranker(train: DataFrame, features, valid: DataFrame | None = None, n_rou
         old_s = s
         s = cut_lineage(s.withColumn("score", upd))
         old_s.unpersist()
-        tr = query_ndcg(s, (eval_k,)).first()
-        model.history.append((rnd + 1, "train", eval_k, float(tr[f"ndcg_{eval_k}"] or 0.0)))
-        metric = model.history[-1][3]
+        tr = query_ndcg(s, eval_at).first()
+        model.history += [(rnd + 1, "train", k, float(tr[f"ndcg_{k}"] or 0.0)) for k in eval_at]
+        metric = float(tr[f"ndcg_{eval_k}"] or 0.0)
         if v is not None:
             v = cut_lineage(v.withColumn("score", upd))
-            va = query_ndcg(v, (eval_k,)).first()
-            model.history.append((rnd + 1, "valid", eval_k, float(va[f"ndcg_{eval_k}"] or 0.0)))
-            metric = model.history[-1][3]
+            va = query_ndcg(v, eval_at).first()
+            model.history += [(rnd + 1, "valid", k, float(va[f"ndcg_{k}"] or 0.0)) for k in eval_at]
+            metric = float(va[f"ndcg_{eval_k}"] or 0.0)
         if metric > best:
             best, best_round, since = metric, rnd + 1, 0
         else:

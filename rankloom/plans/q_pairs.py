@@ -102,9 +102,8 @@ def pair_matrix(spark, sf_dir):
     from rankloom.session import materialize
     r, u, m = _ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
     p = _pairs(spark, sf_dir, r)
-    pf = FE.pair_features(p, FE.user_features(r, u, m), FE.item_features(r, m))
-    keyed = pf.join(p.select("user_id", "item_id", "query_id", "split").distinct(), ["user_id", "item_id", "query_id"])
-    return materialize(keyed.select("user_id", "item_id", F.col("label").cast("int"), F.col("query_id").cast("bigint"),
+    pf = FE.pair_features(p, FE.user_features(r, u, m), FE.item_features(r, m), carry=("split",))
+    return materialize(pf.select("user_id", "item_id", F.col("label").cast("int"), F.col("query_id").cast("bigint"),
                                     "split", *FE.FEATURE_COLUMNS), "pair_matrix")
 
 
@@ -113,7 +112,7 @@ def pair_matrix(spark, sf_dir):
 def pair_features(spark, sf_dir):
     """J3 + F10-F14: the 50-column training matrix over all P1 pairs."""
     r, u, m = _ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
-    p = _pairs(spark, sf_dir, r)
+    p = PA.training_pairs(r, 4, 42)      # the split is not part of this matrix
     pf = FE.pair_features(p, FE.user_features(r, u, m), FE.item_features(r, m))
     return rounded(pf.select("user_id", "item_id", F.col("label").cast("int"),
                              F.col("query_id").cast("bigint"), *FE.FEATURE_COLUMNS))
