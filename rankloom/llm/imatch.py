@@ -39,6 +39,7 @@ SUBSETS = 32
 RANGE_DOCS = 2000       # documents of one id range, about
 MAX_RANGES = 10000
 _HASH_BITS = 24
+_PART = 1 << 15         # term classes of one part of the bitmap
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +55,13 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at[lo:hi].astype(np.int32)), pa.array(counts[at[lo:hi]])], names=["term", "df"])
 
 
+def _bitmap(table: pa.Table) -> pa.Table:
+    part = table.column("part")[0].as_py()
+    flags = np.zeros(_PART, bool)
+    flags[table.column("term").to_numpy() - part * _PART] = True
+    return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+
 def lexicon(docs: DataFrame, band=BAND) -> np.ndarray:
     """Which term classes lie in the band: ``BUCKETS`` flags, whatever the
     size of the corpus."""
@@ -61,9 +69,11 @@ def lexicon(docs: DataFrame, band=BAND) -> np.ndarray:
     n = text.count()
     df = text.mapInArrow(_term_counts, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
-    inside = df.where((idf >= band[0]) & (idf <= band[1])).select("term").toPandas()["term"].to_numpy()
+    inside = df.where((idf >= band[0]) & (idf <= band[1])).select((F.col("term") / _PART).cast("int").alias("part"), "term")
+    bits = inside.groupBy("part").applyInArrow(_bitmap, "part int, bits binary").collect()     # BUCKETS / 8 bytes in all
     flags = np.zeros(BUCKETS, bool)
-    flags[inside] = True
+    for r in bits:
+        flags[r["part"] * _PART:(r["part"] + 1) * _PART] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
     return flags
 
 
