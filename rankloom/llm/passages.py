@@ -7,8 +7,9 @@ substring operators (`substring_sam`, `suffix_bwt`).
 2. Seeds that occur once are dropped: none of their windows repeats.
 3. Pieces are grouped by content with map-side aggregation, so thousands of
    copies become one *distinct piece* with a count and its first place.
-4. Seeds with several distinct pieces need a look at single windows. The texts
-   of those pieces are cut out once and dealt to shards by seed; pieces of a
+4. Distinct pieces that can share windows with others (or have copies) need a
+   look at single windows. Their texts are cut out once and dealt to shards by
+   seed; pieces of a
    seed with very many distinct pieces are cut into single windows and dealt by
    the window's content, so no shard grows with a hot seed.
 
@@ -78,6 +79,7 @@ def repeated_pieces(docs: DataFrame, unit: str, k: int, window: int) -> DataFram
     counts = seed_rows(docs, unit, k, window).groupBy("seed") \
         .agg(F.count(F.lit(1)).alias("_m"), F.min("piece").alias("_a"), F.max("piece").alias("_b")) \
         .where("_m > 1").select("seed", (F.col("_a") != F.col("_b")).alias("multi"))
+    counts = common.materialize(counts, "seeds")    # a table of its own: Spark can split a hot seed's side of the join
     occ = seed_rows(docs, unit, k, window).join(counts, "seed")
     return common.materialize(occ, "pieces")
 
@@ -90,6 +92,9 @@ def distinct_pieces(occ: DataFrame) -> DataFrame:
     return common.materialize(out, "distinct")
 
 
+_CUT = "seed long, piece long, copies long, loc long, hot boolean, doc_id long, _tk long, body binary"
+
+
 def _cut(unit: str, window: int) -> Callable:
     """Values and texts of pieces out of whole documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,35 +142,35 @@ def _windows(unit: str, window: int) -> Callable:
                 at = pa.array(rows + lo)
                 loc = (locs[rows + lo] // _LOC + ok - first[rows]) * _LOC + 1
                 yield pa.RecordBatch.from_arrays(
-                    [common.longs(h[ok]), common.longs(h[ok]), b.column("copies").take(at), common.longs(loc),
-                     b.column("doc_id").take(at), b.column("_tk").take(at), pa.array(body, pa.binary())],
-                    names=["seed", "piece", "copies", "loc", "doc_id", "_tk", "body"])
+                    [common.longs(h[ok]), b.column("seed").take(at), b.column("piece").take(at), b.column("copies").take(at),
+                     common.longs(loc), b.column("doc_id").take(at), b.column("_tk").take(at), pa.array(body, pa.binary())],
+                    names=["key", "seed", "piece", "copies", "loc", "doc_id", "_tk", "body"])
     return run
 
 
-_PIECE = "seed long, piece long, copies long, loc long, doc_id long, _tk long, body binary"
+_PIECE = "key long, seed long, piece long, copies long, loc long, doc_id long, _tk long, body binary"
 
 
 def shards(docs: DataFrame, distinct: DataFrame, unit: str, window: int) -> DataFrame:
-    """Texts of the distinct pieces of seeds that have several, with the
-    number of their ``shard``. Written once; shards have a bounded size."""
-    multi = distinct.where("multi")
-    hot = multi.groupBy("seed").count().where(F.col("count") > HOT_PIECES).select("seed", F.lit(True).alias("_hot"))
-    want = multi.join(hot, "seed", "left").select(
+    """Texts of the given distinct pieces, with the number of their ``shard``:
+    pieces that share a window share the shard. Shards have a bounded size.
+    ``seed, piece`` name the piece that a text is from, ``loc`` its place."""
+    hot = distinct.groupBy("seed").count().where(F.col("count") > HOT_PIECES).select("seed", F.lit(True).alias("_hot"))
+    want = distinct.join(hot, "seed", "left").select(
         F.col("rep.doc_id").alias("doc_id"), F.col("rep._tk").alias("_tk"),
         F.struct("seed", "piece", "copies", F.col("rep.loc").alias("loc"),
                  F.coalesce("_hot", F.lit(False)).alias("hot")).alias("p"))
     want = want.groupBy("doc_id", "_tk").agg(F.collect_list("p").alias("want"))
     texts = common.packed(docs)
     both = texts.join(want, common.same_key(texts, want)).select(texts["doc_id"], texts["_tk"], "z", "want")
-    cut = common.materialize(both.mapInArrow(_cut(unit, window), _PIECE.replace("loc long,", "loc long, hot boolean,")), "cut")
-    plain = cut.where("not hot").drop("hot")
+    cut = common.materialize(both.mapInArrow(_cut(unit, window), _CUT), "cut")
+    plain = cut.where("not hot").select(F.col("seed").alias("key"), *cut.drop("hot").columns)
     single = cut.where("hot").drop("hot").mapInArrow(_windows(unit, window), _PIECE)
     total = cut.count()
     n = max(1, math.ceil(total / SHARD_PIECES))
     # a repeated row of the table gives its piece twice: one is enough
     rows = plain.unionByName(single)
-    return rows.withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(n)))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n)))
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:

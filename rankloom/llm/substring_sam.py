@@ -41,20 +41,21 @@ class SuffixAutomaton:
         self.len = [0]
         self.count = [0]
 
-    def add(self, sequence) -> None:
+    def add(self, sequence, places: int = 1) -> None:
+        """Read a sequence that occurs at so many places."""
         nxt, link, length, count = self.next, self.link, self.len, self.count
         last = 0
         for c in sequence:
             q = nxt[last].get(c)
             if q is not None and length[q] == length[last] + 1:
                 last = q
-                count[q] += 1
+                count[q] += places
                 continue
             if q is None:
                 cur = len(nxt)
                 nxt.append({})
                 length.append(length[last] + 1)
-                count.append(1)
+                count.append(places)
                 link.append(0)
                 p = last
                 while p != -1 and c not in nxt[p]:
@@ -81,7 +82,7 @@ class SuffixAutomaton:
             link[q] = clone
             if cur == -1:
                 last = clone
-                count[clone] += 1
+                count[clone] += places
             else:
                 link[cur] = clone
                 last = cur
@@ -116,26 +117,19 @@ class SuffixAutomaton:
 
 def _solve(window: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        """Windows of one shard that occur at two places or more. A passage
-        with several copies is done as a whole elsewhere and only serves as
-        reference here."""
+        """Windows of one shard's distinct passages that occur at two places or
+        more, copies of a passage being places of their own."""
         table = table.combine_chunks()
         bodies = table.column("body").to_pylist()
-        copies = table.column("copies").to_pylist()
         locs = table.column("loc").to_pylist()
-        places: dict[bytes, int] = {}
-        for b in bodies:
-            places[b] = places.get(b, 0) + 1
         sam = SuffixAutomaton()
         ids: dict[bytes, int] = {}
         coded = [[ids.setdefault(w, len(ids)) for w in b.split()] for b in bodies]
-        for words in coded:
-            sam.add(words)
+        for words, copies in zip(coded, table.column("copies").to_pylist()):
+            sam.add(words, copies)
         sam.close(2)
         rows, out = [], []
         for r, words in enumerate(coded):
-            if copies[r] > 1:
-                continue
             first = locs[r] // passages._LOC
             run_start = -1
             for i, m in enumerate([*sam.statistics(words)[window - 1:], 0]):
@@ -146,7 +140,7 @@ def _solve(window: int) -> Callable:
                     out.append((first + run_start) * passages._LOC + i - run_start)
                     run_start = -1
         at = pa.array(rows, pa.int64())
-        return pa.table({"doc_id": table.column("doc_id").take(at), "_tk": table.column("_tk").take(at),
+        return pa.table({"seed": table.column("seed").take(at), "piece": table.column("piece").take(at),
                          "loc": pa.array(out, pa.int64())})
     return run
 
@@ -155,11 +149,14 @@ def removal_runs(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_W
     """Runs of windows that start at two places or more: ``doc_id, _tk, loc``."""
     occ = passages.repeated_pieces(docs, "word", min(seed_words, window), window)
     distinct = passages.distinct_pieces(occ)
-    whole = occ.join(distinct.where("copies > 1").select("seed", "piece"), ["seed", "piece"]) \
-        .select("doc_id", "_tk", "loc")
-    shard = passages.shards(docs, distinct, "word", window)
-    part = shard.groupBy("shard").applyInArrow(_solve(window), "doc_id long, _tk long, loc long")
-    return whole.unionByName(part)
+    shard = passages.shards(docs, distinct.where("multi or copies > 1"), "word", window)
+    runs = shard.groupBy("shard").applyInArrow(_solve(window), "seed long, piece long, loc long")
+    runs = runs.join(distinct.select("seed", "piece", F.col("rep.loc").alias("_first")), ["seed", "piece"])
+    runs = common.materialize(runs.select("seed", "piece", F.col("loc").alias("_run"), "_first"), "runs")
+    # a run lies as far from the start of every copy of its passage as from the first one's
+    unit = passages._LOC
+    moved = F.col("_run") + (F.floor(F.col("loc") / unit) - F.floor(F.col("_first") / unit)) * unit
+    return occ.join(runs, ["seed", "piece"]).select("doc_id", "_tk", moved.cast("long").alias("loc"))
 
 
 def _apply(window: int, with_text: bool) -> Callable:
@@ -211,3 +208,22 @@ def op1_substring_sam(spark, sf_dir: str) -> DataFrame:
     """Substring dedup of the whole ``documents`` table, 35 words."""
     out = dedup_substrings(common.documents(spark, sf_dir), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
+#: windows by digest, the runs of repeated ones as islands, and what lies between the islands
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest([md5(array_to_string(w[i + 1:i + 35], ' ')) FOR i IN range(0, len(w) - 34)]) AS h,
+             unnest(range(0, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+hit AS (SELECT doc_id, i FROM x JOIN (SELECT h FROM x GROUP BY h HAVING COUNT(*) > 1) USING (h)),
+cut AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 35 THEN 1 ELSE 0 END AS c FROM hit),
+grp AS (SELECT *, SUM(c) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM cut),
+isl AS (SELECT doc_id, MIN(i) AS s, MAX(i) + 35 AS e FROM grp GROUP BY doc_id, g),
+gap AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM isl),
+kept AS (SELECT doc_id, flatten(list(w[p + 1:s] ORDER BY s)) AS head, MAX(e) AS tail, SUM(e - s)::BIGINT AS n_removed, COUNT(*) AS n_spans
+         FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_removed, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN tail IS NULL THEN w ELSE list_concat(head, w[tail + 1:len(w)]) END, ' ')) AS kept_sha256,
+       COALESCE(n_spans, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -145,7 +145,7 @@ def removal_runs(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int =
     twins = distinct.where("copies > 1").select(F.col("seed").alias("_s"), F.col("piece").alias("_p"), "rep")
     whole = occ.join(twins, (F.col("seed") == F.col("_s")) & (F.col("piece") == F.col("_p"))) \
         .where(~F.struct("doc_id", "_tk", "loc").eqNullSafe(F.col("rep"))).select("doc_id", "_tk", "loc")
-    shard = passages.shards(docs, distinct, "byte", min_bytes)
+    shard = passages.shards(docs, distinct.where("multi"), "byte", min_bytes)
     part = shard.groupBy("shard").applyInArrow(_solve(min_bytes), "doc_id long, _tk long, loc long")
     return whole.unionByName(part)
 
@@ -193,3 +193,22 @@ def dedup_bytes(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = S
 def op6_suffix_bwt(spark, sf_dir: str) -> DataFrame:
     """Suffix-array dedup of the whole ``documents`` table, 100 bytes."""
     return dedup_bytes(common.documents(spark, sf_dir), with_bytes=False)
+
+
+#: windows by digest (on the hex form), runs of those with an earlier place as islands, and the bytes between
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS t FROM documents),
+x AS (SELECT doc_id, unnest([md5(substr(t, 2 * i + 1, 200)) FOR i IN range(0, len(t) // 2 - 99)]) AS h,
+             unnest(range(0, len(t) // 2 - 99)) AS i FROM d WHERE len(t) >= 200),
+n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM x),
+hit AS (SELECT doc_id, i FROM n WHERE r > 1),
+cut AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS c FROM hit),
+grp AS (SELECT *, SUM(c) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM cut),
+isl AS (SELECT doc_id, MIN(i) AS s, MAX(i) + 100 AS e FROM grp GROUP BY doc_id, g),
+gap AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM isl),
+kept AS (SELECT doc_id, string_agg(substr(t, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) AS head, MAX(e) AS tail,
+                SUM(e - s)::BIGINT AS n_removed, COUNT(*) AS n_spans FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(t) // 2)::BIGINT AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed, COALESCE(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN tail IS NULL THEN t ELSE head || substr(t, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
