@@ -123,23 +123,30 @@ def fallback_lists(users_without: DataFrame, ratings: DataFrame, k: int) -> Data
 def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, user_feats: DataFrame,
                     item_feats: DataFrame, centroids: DataFrame, k: int = 20, n_candidates: int = 500,
                     n_probe: int = 10, weights: dict | None = None, vocab=DRIVER_GENRES,
-                    exclude_seen: DataFrame | None = None, candidates: DataFrame | None = None, **kw) -> DataFrame:
+                    exclude_seen: DataFrame | None = None, candidates: DataFrame | None = None,
+                    user_vecs: DataFrame | None = None, item_vecs: DataFrame | None = None, dim: int | None = None,
+                    scorer=None, **kw) -> DataFrame:
     """V3 (+V1, V2, V5, T1, J8): ranked lists for all users in one job.
 
-    Warm users: content retrieval -> serving features -> linear score -> top-k;
-    cold users (no ratings): popularity top-k. Output
+    Warm users: retrieval -> serving features -> score -> top-k; cold users (no
+    vector): popularity top-k. Retrieval takes content vectors unless ``user_vecs
+    (user_id, vec)``, ``item_vecs(item_id, vec)`` and ``dim`` are given (e.g. of a
+    trained two-tower model, with its own ``centroids``); ``scorer(features)`` adds
+    ``score`` (e.g. ``RankerModel.predict``), by default the linear scorer. Output
     ``(user_id, rank, item_id, title, score, retrieval_score, genres, source)``.
     """
     from rankloom.operators.ranker import linear_score
     from rankloom.operators.towers import content_item_vectors, content_user_vectors
-    dim = len(vocab)
-    uvec = content_user_vectors(user_feats)
+    if (user_vecs is None) != (item_vecs is None):
+        raise ValueError("user_vecs and item_vecs go together")
+    uvec = content_user_vectors(user_feats) if user_vecs is None else user_vecs
+    ivec = content_item_vectors(movies, vocab) if item_vecs is None else item_vecs
     cands = candidates if candidates is not None else retrieve_candidates(
-        uvec, content_item_vectors(movies, vocab), centroids, dim, n_candidates, n_probe, **kw)
+        uvec, ivec, centroids, dim or len(vocab), n_candidates, n_probe, **kw)
     if exclude_seen is not None:   # J12 (extension): drop items the user rated in *training* rows
         cands = cands.join(exclude_seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    feats = serving_features(cands, user_feats, item_feats, dim)
-    scored = linear_score(feats, weights or DEFAULT_WEIGHTS)
+    feats = serving_features(cands, user_feats, item_feats, len(vocab))
+    scored = scorer(feats) if scorer is not None else linear_score(feats, weights or DEFAULT_WEIGHTS)
     from rankloom.session import materialize
     # written once (k rows per user): read by the output and by the V6 check below
     warm = materialize(top_k_per_user(scored.select("user_id", "item_id", "score", "retrieval_score"), k)

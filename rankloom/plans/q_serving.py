@@ -48,10 +48,10 @@ def _feats(spark, sf_dir):
         materialize(FE.item_features(r, m), "item_features")
 
 
-def _serving_sql():
+def _serving_sql(score_sql: str | None = None):
     return (T.sql_with("ratings", "users", "movies").rstrip() + Q.user_features_ctes() + Q.item_features_ctes()
             + Q.serving_ctes(N_CAND, N_PROBE, K, serving.DEFAULT_WEIGHTS, serving.USER_DEFAULTS,
-                             serving.ITEM_DEFAULTS))
+                             serving.ITEM_DEFAULTS, score_sql=score_sql))
 
 
 def _recommend(spark, sf_dir):
@@ -74,15 +74,23 @@ def retrieve_candidates(spark, sf_dir):
                                F.col("score").alias("retrieval_score"), "rank"))
 
 
+def _sfeat_sql(column: str) -> str:
+    """A feature column over ``sfeat``, whose genre parts are lists."""
+    for prefix, name in (("user_genre_", "up"), ("item_genre_", "iv")):
+        if column.startswith(prefix):
+            return f"{name}[{int(column[len(prefix):]) + 1}]"
+    return column
+
+
 @register("serving_features", _serving_sql() + """
-SELECT user_id, item_id, """ + ", ".join(f"round({c}, 6) AS {c}" for c in FE.FEATURE_COLUMNS[:14]) + " FROM sfeat")
+SELECT user_id, item_id, """ + ", ".join(f"round({_sfeat_sql(c)}, 6) AS {c}" for c in FE.FEATURE_COLUMNS) + " FROM sfeat")
 def serving_features(spark, sf_dir):
-    """V2: candidate matrix with serving defaults (scalar part of the 50 columns)."""
+    """V2: candidate matrix with serving defaults, all 50 columns."""
     r, u, m, uf, itf = _feats(spark, sf_dir)
     cent = R.basis_centroids(spark, 18)
     c = serving.retrieve_candidates(content_user_vectors(uf), content_item_vectors(m), cent, 18, N_CAND, N_PROBE)
     f = serving.serving_features(c, uf, itf)
-    return rounded(f.select("user_id", "item_id", *FE.FEATURE_COLUMNS[:14]))
+    return rounded(f.select("user_id", "item_id", *FE.FEATURE_COLUMNS))
 
 
 @register("recommend_batch", _serving_sql() + """
@@ -94,6 +102,41 @@ def recommend_batch(spark, sf_dir):
     return rounded(out.withColumn("genres", F.array_join("genres", "|")))
 
 
+# two given trees (nodes: id, feature, threshold, left, right, leaf) and their leaf outputs
+TREE_FEATURES = ("genre_affinity", "popularity_score", "rating_diff")
+TREES = (([(0, 0, 0.4, 1, 2, -1), (1, -1, 0.0, -1, -1, 0), (2, 1, 0.6, 3, 4, -1), (3, -1, 0.0, -1, -1, 1), (4, -1, 0.0, -1, -1, 2)],
+          {0: -0.75, 1: 0.25, 2: 1.5}),
+         ([(0, 2, -0.1, 1, 2, -1), (1, -1, 0.0, -1, -1, 0), (2, -1, 0.0, -1, -1, 1)], {0: 0.5, 1: -0.125}))
+
+
+def given_ranker():
+    """A ranker of the given trees."""
+    from rankloom.operators.ranker import RankerModel, Tree
+    return RankerModel(list(TREE_FEATURES), [Tree(list(n), dict(v)) for n, v in TREES], learning_rate=0.5)
+
+
+def _tree_sql(nodes, values, nid: int = 0) -> str:
+    _, feature, threshold, left, right, leaf = next(n for n in nodes if n[0] == nid)
+    if leaf >= 0:
+        return f"CAST({values[leaf]!r} AS DOUBLE)"
+    return (f"CASE WHEN {TREE_FEATURES[feature]} <= CAST({threshold!r} AS DOUBLE) THEN {_tree_sql(nodes, values, left)} "
+            f"ELSE {_tree_sql(nodes, values, right)} END")
+
+
+_TREES_SQL = "CAST(0.0 AS DOUBLE) + (" + " + ".join(f"CAST(0.5 AS DOUBLE) * ({_tree_sql(n, v)})" for n, v in TREES) + ")"
+
+
+@register("recommend_trees", _serving_sql(_TREES_SQL) + """
+SELECT user_id, rank, item_id, round(score, 6) AS score, round(retrieval_score, 6) AS retrieval_score, source FROM recs""")
+def recommend_trees(spark, sf_dir):
+    """V3 + L7: the serving job with given vectors (the content towers) and a tree ranker of given trees as scorer."""
+    r, u, m, uf, itf = _feats(spark, sf_dir)
+    out = serving.recommend_batch(r, u, m, uf, itf, R.basis_centroids(spark, 18), K, N_CAND, N_PROBE, dim=18,
+                                  user_vecs=content_user_vectors(uf), item_vecs=content_item_vectors(m),
+                                  scorer=given_ranker().predict)
+    return rounded(out.select("user_id", "rank", "item_id", "score", "retrieval_score", "source"))
+
+
 @register("response_lists", _serving_sql() + """
 SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS items, count(*) AS n_items,
        round(max(score), 6) AS top_score FROM recs GROUP BY user_id""")
@@ -167,12 +210,12 @@ def evaluate_retrieval(spark, sf_dir):
 @register("method_comparison", "SELECT * FROM (SELECT 'popularity' AS method, * FROM (" + _eval_sql("""(SELECT h.user_id, p.item_id, p.rank FROM (SELECT DISTINCT user_id FROM hold) h
     CROSS JOIN popk p)""") + """)) UNION ALL SELECT * FROM (SELECT 'retrieval' AS method, * FROM (""" + _eval_sql("""(SELECT * FROM (SELECT query_id AS user_id, item_id,
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM hits) WHERE rank <= 20)""")
-          + ")) UNION ALL SELECT * FROM (SELECT 'retrieval+ranker' AS method, * FROM (" + _eval_sql("recs") + "))")
+          + ")) UNION ALL SELECT * FROM (SELECT 'retrieval+linear' AS method, * FROM (" + _eval_sql("recs") + "))")
 def method_comparison(spark, sf_dir):
     """The three methods (popularity, retrieval only, retrieval + linear ranker)
     evaluated on the same holdout, one table."""
     out, shared = None, {}
-    for name, which in (("popularity", "popularity"), ("retrieval", "retrieval"), ("retrieval+ranker", "full")):
+    for name, which in (("popularity", "popularity"), ("retrieval", "retrieval"), ("retrieval+linear", "full")):
         rep = _eval(spark, sf_dir, which, shared).select(F.lit(name).alias("method"), "*")
         out = rep if out is None else out.unionByName(rep)
     return out

@@ -176,8 +176,8 @@ def basis_cent_sql(dim: int = N) -> str:
 
 
 def serving_ctes(n_cand: int, n_probe: int, k: int, weights: dict, user_defaults: dict, item_defaults: dict,
-                 query_users: str = "uf", cold_users: str = "users") -> str:
-    """After ``ratings, users, movies`` + user/item feature CTEs. Defines
+                 query_users: str = "uf", cold_users: str = "users", score_sql: str | None = None) -> str:
+    """(``score_sql`` replaces the linear score over ``sfeat``.) After ``ratings, users, movies`` + user/item feature CTEs. Defines
     ``hits``, ``sfeat`` (serving matrix), ``scored``, ``warm`` (top-k) and ``recs``
     (warm + cold popularity lists, enriched)."""
     zeros = lst(["0.0"] * N)
@@ -188,6 +188,7 @@ def serving_ctes(n_cand: int, n_probe: int, k: int, weights: dict, user_defaults
     icols = ",\n".join(f"coalesce(CAST(i.{imap[c]} AS DOUBLE), CAST({v!r} AS DOUBLE)) AS {c}"
                        for c, v in item_defaults.items())
     score = "CAST(0.0 AS DOUBLE)" + "".join(f" + CAST({w!r} AS DOUBLE) * {c}" for c, w in weights.items())
+    score = score_sql or score
     return f""",
 ivec AS (SELECT item_id, {multi_hot('genres')} AS vec FROM movies),
 uvec AS (SELECT user_id AS query_id, genre_pref AS vec FROM {query_users})""" + ivf_ctes(
