@@ -150,8 +150,19 @@ def build_training_pairs(ratings: DataFrame, n_negatives: int = 4, test_ratio: f
     return s.filter(F.col("split") == "train").select(*cols), s.filter(F.col("split") == "test").select(*cols)
 
 
+def indexed_positives(ratings: DataFrame, min_rating: float = 4.0) -> DataFrame:
+    """``user_id, pos_item, _i``: liked ratings with their 1-based place in the user's time order."""
+    liked = ratings.filter(F.col("rating") >= min_rating)
+    # dense global positions (range-partitioned, so a heavy user spans many tasks) minus the user's first
+    keys = ["user_id", "ts", *RATING_ORDER_KEY]
+    g = global_index(liked.select(*keys, "item_id"), keys, "_g")
+    first = g.groupBy("user_id").agg(F.min("_g").alias("_s"))
+    return g.join(first, "user_id").select("user_id", F.col("item_id").alias("pos_item"),
+                                           (F.col("_g") - F.col("_s") + 1).alias("_i"))
+
+
 def epoch_negatives(ratings: DataFrame, epoch: int, min_rating: float = 4.0, catalogue: DataFrame | None = None,
-                    index: str | None = None) -> DataFrame:
+                    index: str | None = None, pos: DataFrame | None = None) -> DataFrame:
     """One unrated negative for every positive row, re-drawn each epoch (seed = epoch).
 
     Returns ``(user_id, pos_item, neg_item)``: the i-th positive (time order) pairs
@@ -159,22 +170,16 @@ def epoch_negatives(ratings: DataFrame, epoch: int, min_rating: float = 4.0, cat
     more positives than unrated items repeats negatives and loses no positive.
     Negatives come from ``catalogue(item_id)`` and the rated items. Users who rated
     the whole catalogue have no negative and no row. ``index`` names an extra
-    column with the positive's 1-based position.
+    column with the positive's 1-based position; ``pos`` are
+    ``indexed_positives`` made before (they are the same in every epoch).
     """
-    liked = ratings.filter(F.col("rating") >= min_rating)
-    # i-th positive of a user in time order: dense global positions (range-partitioned,
-    # so a heavy user spans many tasks) minus the user's first position
-    keys = ["user_id", "ts", *RATING_ORDER_KEY]
-    g = global_index(liked.select(*keys, "item_id"), keys, "_g")
-    first = g.groupBy("user_id").agg(F.min("_g").alias("_s"))
-    pos = g.join(first, "user_id").select("user_id", F.col("item_id").alias("pos_item"),
-                                          (F.col("_g") - F.col("_s") + 1).alias("_i"))
+    pos = indexed_positives(ratings, min_rating) if pos is None else pos
     items = ratings.select("item_id")
     if catalogue is not None:
         items = items.unionByName(catalogue.select("item_id"))
     cat = numbered_catalogue(items, epoch)
     n_items = cat.count()
-    need = liked.groupBy("user_id").agg(F.count(F.lit(1)).alias("need"))
+    need = pos.groupBy("user_id").agg(F.count(F.lit(1)).alias("need"))
     pool = need.join(ratings.groupBy("user_id").agg(F.count_distinct("item_id").alias("_n")), "user_id").select(
         "user_id", F.least("need", F.lit(n_items) - F.col("_n")).alias("_pool")).filter(F.col("_pool") > 0)
     neg = portable_negatives(ratings, need, epoch, cat, n_items, ranked=True)
