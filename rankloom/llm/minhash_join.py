@@ -1,10 +1,13 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 1. Each document becomes its set of distinct two-word shingles (64-bit
-   hashes), a signature of ``COORDS`` minima, and a 128-bit hash of the set.
+   hashes), a signature of ``COORDS`` values, and a 128-bit hash of the set.
    Equal sets collapse to one node, whatever their number.
+   A coordinate's value joins two min-wise hashes: sets that merely share some
+   frequent shingles then seldom agree in any.
 2. Every coordinate-value pair is a token. Two sets of similarity 0.8 agree in
-   ``MATCHES`` of the coordinates but for a chance of about 1e-6. With tokens
+   each with probability 0.64, and in ``MATCHES`` of all but for a chance of
+   about 1e-6. With tokens
    ordered from rare to frequent, such a pair must share one of the first
    ``COORDS - MATCHES + 1`` tokens of both: only this prefix is posted, and
    tokens of a single node are never posted, so most documents drop out here.
@@ -13,7 +16,8 @@
 4. What is left to decide are posting lists whose nodes lie in several
    components. Nodes outside the list's largest component are compared, in
    blocks, with the rest of the list: collisions are counted on signatures,
-   and pairs at the threshold are confirmed on the full sets. Pairs are never
+   and pairs at the threshold are confirmed on the full sets. A pair is looked
+   at in one list only, that of its first common prefix coordinate. Pairs are never
    rows: a task emits the links that join two components.
 5. The links' components give the classes.
 
@@ -40,7 +44,8 @@ from rankloom.llm.textops import Rolling, Words, chunks, mix
 
 SHINGLE = 2
 COORDS = 32
-MATCHES = 14
+JOINED = 2          # min-wise hashes that one coordinate's value is made of
+MATCHES = 8
 PERCENT = 80
 BLOCK = 1024        # nodes of a posting list that are compared with as many others at once
 BUCKET_ROWS = 4000  # rows of one comparison task, on average
@@ -68,15 +73,18 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray, mul: np.ndarray) -> np.ndarray:
-    """Minimum of every coordinate's hash over the set, upper 32 bits."""
+    """32 bits per coordinate, of the minima of its ``JOINED`` hashes over the set."""
     best = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):
         best = np.minimum(best, np.multiply.outer(mul, shingles[i:i + 2048]).min(axis=1))
-    return (best >> np.uint64(32)).astype(np.uint32)
+    value = np.zeros(len(mul) // JOINED, np.uint64)
+    for i in range(JOINED):
+        value = mix(value ^ best[i::JOINED])
+    return (value >> np.uint64(32)).astype(np.uint32)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mul = _multipliers(COORDS)
+    mul = _multipliers(COORDS * JOINED)
     for b in batches:
         n, node, sig = [], [], []
         for s in shingle_sets(common.binaries(b.column(2))):
@@ -106,14 +114,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """``token, node`` of every node's prefix of shared tokens, rare first."""
+    """``node, tokens``: every node's prefix of shared tokens, rare first."""
     tokens = nodes.select("node", "sig").mapInArrow(_tokens, "node binary, token long")
     df = common.materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
     shared = tokens.join(df, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     # a node's other tokens are its own alone: they fill the prefix first
     room = COORDS - MATCHES + 1 - (COORDS - F.size("t"))
-    return shared.where(room > 0).select("node", F.explode(F.slice("t", F.lit(1), room)).alias("t")) \
-        .select("node", F.col("t.token").alias("token"))
+    return shared.where(room > 0).select("node", F.transform(F.slice("t", F.lit(1), room), lambda x: x["token"]).alias("tokens"))
 
 
 def _pairs_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +136,6 @@ def _pairs_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _collisions(sig: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return (sig == row).sum(axis=1)
-
-
 def _groups(table: pa.Table) -> Iterator[np.ndarray]:
     """Row numbers of each (token, block, block) group of a task's table."""
     keys = [table.column(c).to_numpy() for c in ("token", "bi", "bj")]
@@ -152,13 +155,21 @@ def _flag(table: pa.Table) -> pa.Table:
     comp = np.unique(comp, return_inverse=True)[1]
     minor = table.column("minor").to_numpy(zero_copy_only=False)
     size = table.column("n").to_numpy()
+    mask = table.column("mask").to_numpy().view(np.uint64)
+    own = table.column("token").to_numpy().view(np.uint64) >> np.uint64(32)
+    bit = np.uint64(1) << np.arange(COORDS, dtype=np.uint64)
     hit = np.zeros(len(comp), bool)
     for rows in _groups(table):
         s, c, n = sig[rows], comp[rows], size[rows]
         for r in np.flatnonzero(minor[rows]):
             ok = (c != c[r]) & (100 * np.minimum(n, n[r]) >= PERCENT * np.maximum(n, n[r]))
             ok = np.flatnonzero(ok)
-            ok = ok[_collisions(s[ok], s[r]) >= MATCHES]
+            equal = s[ok] == s[r]
+            enough = equal.sum(axis=1) >= MATCHES
+            ok, equal = ok[enough], equal[enough]
+            shared = (equal * bit).sum(axis=1, dtype=np.uint64) & mask[rows[ok]] & mask[rows[r]]
+            lowest = shared & (~shared + np.uint64(1))
+            ok = ok[lowest == np.uint64(1) << own[rows[r]]]
             if len(ok):
                 hit[rows[ok]] = hit[rows[r]] = True
     return table.select(["token", "bi", "bj", "minor", "node", "comp", "bucket"]).filter(pa.array(hit))
@@ -208,10 +219,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
         _sketch, "doc_id long, _tk long, n long, node binary, sig binary"), "sketch")
     nodes = common.materialize(sketch.where("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "_tk")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
-    posts = common.materialize(postings(nodes), "posts")
+    prefix = common.materialize(postings(nodes), "prefix")
+    posts = prefix.select("node", F.explode("tokens").alias("token"))
+    #: the coordinates of a node's prefix as bits: a pair is compared in the list of its first common one only
+    mask = F.expr("aggregate(transform(tokens, t -> shiftleft(1L, cast(shiftright(t, 32) AS int))), 0L, (a, b) -> a | b)")
+    nodes = common.materialize(nodes.join(prefix.select("node", mask.alias("mask")), "node"), "nodes")
 
     # texts of the nodes that are in any list
-    wanted = posts.select("node").distinct().join(nodes, "node").select("node", "rep.doc_id", "rep._tk")
+    wanted = nodes.select("node", "rep.doc_id", "rep._tk")
     zipped = common.packed(docs)
     texts = common.materialize(zipped.join(wanted, common.same_key(zipped, wanted)).select("node", "z")
                                .dropDuplicates(["node"]), "texts")
@@ -246,7 +261,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     cells = common.materialize(one.select(*cols).unionByName(two.select(*cols)), "cells")
     n = max(1, math.ceil(cells.count() / BUCKET_ROWS))
     bucket = F.pmod(F.xxhash64("token", "bi", "bj"), F.lit(n)).cast("int")
-    flagged = cells.join(nodes.select("node", "sig", "n"), "node").withColumn("bucket", bucket)
+    flagged = cells.join(nodes.select("node", "sig", "n", "mask"), "node").withColumn("bucket", bucket)
     flagged = common.materialize(flagged.groupBy("bucket").applyInArrow(
         _flag, "token long, bi int, bj int, minor boolean, node binary, comp binary, bucket int"), "flagged")
     joined = flagged.join(texts, "node").groupBy("bucket").applyInArrow(_link, "a binary, b binary")
@@ -273,3 +288,22 @@ def near_filter(docs: DataFrame) -> DataFrame:
 def op9_minhash_join(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of the whole ``documents`` table."""
     return near_classes(common.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: all pairs that share a shingle, with their exact similarity, and the classes by reachability
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w[1]] ELSE
+        [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS g FROM d),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+least_id AS (SELECT a, MIN(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, LEAST(d.doc_id, COALESCE(m, d.doc_id)) AS component_id,
+       LEAST(d.doc_id, COALESCE(m, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_id ON least_id.a = d.doc_id
+"""
