@@ -39,7 +39,7 @@ FORCED_COST = 64        # the same for a cut inside a sentence
 FORCED_GAP = 256
 BLOCK_DOCS = 4096
 CHUNK_TOKENS = 1 << 19
-CACHE_WORDS = 1 << 21
+CACHE_WORDS = 1 << 19
 _SEP = "\x1f"           # one token of its own; words that contain it are encoded alone
 
 
@@ -129,7 +129,7 @@ def _tokenize(path: str) -> Callable:
         sentence[list(b".!?")] = True
         for b in batches:
             texts = common.binaries(b.column(2))
-            for i, j in chunks(texts, 8 << 20):
+            for i, j in chunks(texts, 2 << 20):
                 w = Words(texts[i:j])
                 flat, size = enc.ids(w)
                 ends = np.cumsum(size)
