@@ -10,8 +10,10 @@ substring operators (`substring_sam`, `suffix_bwt`).
 4. Distinct pieces that can share windows with others (or have copies) need a
    look at single windows. Their texts are cut out once and dealt to shards by
    seed; pieces of a
-   seed with very many distinct pieces are cut into single windows and dealt by
-   the window's content, so no shard grows with a hot seed.
+   seed with very many distinct pieces are cut into single windows. Equal
+   windows are grouped by content with map-side aggregation, and one of them is
+   dealt with the number of its places and the first one; its verdict is joined
+   back to all. So no shard grows with a hot seed or a hot window.
 
 The shards are then solved by the operator's own index structure.
 """
@@ -151,10 +153,24 @@ def _windows(unit: str, window: int) -> Callable:
 _PIECE = "key long, seed long, piece long, copies long, loc long, doc_id long, _tk long, body binary"
 
 
-def shards(docs: DataFrame, distinct: DataFrame, unit: str, window: int) -> DataFrame:
+def _distinct_windows(single: DataFrame) -> DataFrame:
+    """One row per content of the single windows: the places it has, its first
+    place, and its text. ``key`` and ``same``, two hashes of the content, name
+    it (as ``seed, piece``)."""
+    out = single.groupBy("key", "same").agg(
+        F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "_tk", "loc")).alias("rep"), F.first("body").alias("body"))
+    return out.select("key", F.col("key").alias("seed"), F.col("same").alias("piece"), "copies", F.col("rep.loc").alias("loc"),
+                      F.col("rep.doc_id").alias("doc_id"), F.col("rep._tk").alias("_tk"), "body", F.lit(True).alias("hot"))
+
+
+def shards(docs: DataFrame, distinct: DataFrame, unit: str, window: int) -> tuple[DataFrame, DataFrame]:
     """Texts of the given distinct pieces, with the number of their ``shard``:
     pieces that share a window share the shard. Shards have a bounded size.
-    ``seed, piece`` name the piece that a text is from, ``loc`` its place."""
+    ``seed, piece`` name the piece that a text is from, ``loc`` its place.
+
+    A text that is ``hot`` is one window for all that equal it; these are the
+    second result: ``key, same`` (the text's ``seed, piece``), the ``seed,
+    piece`` that the window is from, and its place."""
     hot = distinct.groupBy("seed").count().where(F.col("count") > HOT_PIECES).select("seed", F.lit(True).alias("_hot"))
     want = distinct.join(hot, "seed", "left").select(
         F.col("rep.doc_id").alias("doc_id"), F.col("rep._tk").alias("_tk"),
@@ -166,11 +182,13 @@ def shards(docs: DataFrame, distinct: DataFrame, unit: str, window: int) -> Data
     cut = common.materialize(both.mapInArrow(_cut(unit, window), _CUT), "cut")
     plain = cut.where("not hot").select(F.col("seed").alias("key"), *cut.drop("hot").columns)
     single = cut.where("hot").drop("hot").mapInArrow(_windows(unit, window), _PIECE)
-    total = cut.count()
-    n = max(1, math.ceil(total / SHARD_PIECES))
+    single = single.withColumn("same", F.xxhash64("body"))
+    once = common.materialize(_distinct_windows(single), "windows")
+    n = max(1, math.ceil((plain.count() + once.count()) / SHARD_PIECES))
     # a repeated row of the table gives its piece twice: one is enough
-    rows = plain.unionByName(single)
-    return rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n)))
+    rows = plain.withColumn("hot", F.lit(False)).unionByName(once)
+    return (rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n))),
+            single.select("key", "same", "seed", "piece", "loc", "doc_id", "_tk"))
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:

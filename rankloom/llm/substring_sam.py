@@ -141,7 +141,7 @@ def _solve(window: int) -> Callable:
                     run_start = -1
         at = pa.array(rows, pa.int64())
         return pa.table({"seed": table.column("seed").take(at), "piece": table.column("piece").take(at),
-                         "loc": pa.array(out, pa.int64())})
+                         "loc": pa.array(out, pa.int64()), "hot": table.column("hot").take(at)})
     return run
 
 
@@ -149,8 +149,13 @@ def removal_runs(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_W
     """Runs of windows that start at two places or more: ``doc_id, _tk, loc``."""
     occ = passages.repeated_pieces(docs, "word", min(seed_words, window), window)
     distinct = passages.distinct_pieces(occ)
-    shard = passages.shards(docs, distinct.where("multi or copies > 1"), "word", window)
-    runs = shard.groupBy("shard").applyInArrow(_solve(window), "seed long, piece long, loc long")
+    shard, windows = passages.shards(docs, distinct.where("multi or copies > 1"), "word", window)
+    found = common.materialize(shard.groupBy("shard").applyInArrow(
+        _solve(window), "seed long, piece long, loc long, hot boolean"), "found")
+    # the verdict on one window is that on all that equal it
+    hot = found.where("hot").select(F.col("seed").alias("key"), F.col("piece").alias("same"))
+    hot = windows.join(hot, ["key", "same"]).select("seed", "piece", "loc")
+    runs = found.where("not hot").select("seed", "piece", "loc").unionByName(hot)
     runs = runs.join(distinct.select("seed", "piece", F.col("rep.loc").alias("_first")), ["seed", "piece"])
     runs = common.materialize(runs.select("seed", "piece", F.col("loc").alias("_run"), "_first"), "runs")
     # a run lies as far from the start of every copy of its passage as from the first one's

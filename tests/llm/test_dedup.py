@@ -73,6 +73,30 @@ def test_hot_seed_is_cut_into_windows(docs_of, monkeypatch):
     assert all((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expect[r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize("unit,window,k", [("word", 10, 4), ("byte", 40, 12)])
+def test_hot_window_is_one_row_of_its_shard(docs_of, monkeypatch, unit, window, k):
+    """A passage shared by many documents, with different text around it."""
+    monkeypatch.setattr(passages, "HOT_PIECES", 3)
+    r = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, f"{r.random()} {r.random()} {shared} {r.random()} {r.random()}") for i in range(40)]
+    docs = docs_of([*rows, (None, shared), (3, rows[3][1])])
+    common.prepare(docs.sparkSession)
+    distinct = passages.distinct_pieces(passages.repeated_pieces(docs, unit, k, window))
+    shard, windows = passages.shards(docs, distinct, unit, window)
+    hot = shard.where("hot").groupBy("key", "body").count().collect()
+    assert hot and max(x["count"] for x in hot) == 1
+    assert windows.groupBy("key").count().agg({"count": "max"}).first()[0] > 20
+    rows = [*rows, (None, shared)]
+    docs = docs_of(rows)
+    if unit == "word":
+        got = {x.doc_id: (x.n_removed, x.kept_sha256) for x in substring_sam.dedup_substrings(docs, window, k).collect()}
+        assert got == {x[0]: x[2:] for x in brute.substring(rows, window)}
+    else:
+        got = {x.doc_id: (x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_bwt.dedup_bytes(docs, window, k).collect()}
+        assert got == {x[0]: x[2:] for x in brute.suffixes(rows, window)}
+
+
 def test_automaton_counts_places():
     sam = substring_sam.SuffixAutomaton()
     for s in ("abcab", "xbca"):
