@@ -20,9 +20,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_mcd.quality_filter(docs)
 
 
+#: words of a shingle in the near-dedup stage
+NEAR_SHINGLE = 5
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each near-duplicate class stays."""
-    return minhash_join.near_filter(docs)
+    """One document (the smallest id) of each near-duplicate class (five-word shingles, 0.8) stays."""
+    return minhash_join.near_filter(docs, NEAR_SHINGLE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-1. Each document becomes its set of distinct two-word shingles (64-bit
-   hashes), a signature of ``COORDS`` values, and a 128-bit hash of the set.
+1. Each document becomes its set of distinct shingles of ``shingle`` words
+   (64-bit hashes; two words in op9, five in the pipeline), a signature of ``COORDS`` values, and a 128-bit hash of the set.
    Equal sets collapse to one node, whatever their number.
    A coordinate's value joins two min-wise hashes: sets that merely share some
    frequent shingles then seldom agree in any.
@@ -22,7 +22,7 @@
 5. The links' components give the classes.
 
 Defined results: null or empty text (or text without words) has an empty set,
-is linked with nothing and is kept; one word is one shingle; rows of equal id
+is linked with nothing and is kept; fewer words are one shingle; rows of equal id
 and text share one verdict; ties go to the smallest doc_id (null ids are
 passed over, and count as kept only without any other member); an empty table
 gives an empty result; extra columns are carried by `near_filter`.
@@ -42,7 +42,7 @@ from rankloom.llm import common
 from rankloom.llm.components import components
 from rankloom.llm.textops import Rolling, Words, chunks, mix
 
-SHINGLE = 2
+SHINGLE = 2         # words of a shingle, unless another number is given
 COORDS = 32
 JOINED = 2          # min-wise hashes that one coordinate's value is made of
 MATCHES = 8
@@ -55,16 +55,16 @@ def _multipliers(k: int) -> np.ndarray:
     return mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Per text: the sorted distinct hashes of its two-word shingles (one for
-    a single word, none without words)."""
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Per text: the sorted distinct hashes of its shingles (one of all words
+    for a shorter text, none without words)."""
     for a, b in chunks(texts):
         w = Words(texts[a:b])
         roll = Rolling(w.hashes(lower=True))
-        pairs = roll.windows(SHINGLE)
+        runs = roll.windows(shingle)
         for first, last in zip(w.first.tolist(), w.last.tolist()):
-            if last - first >= SHINGLE:
-                s = np.sort(pairs[first:last - SHINGLE + 1])
+            if last - first >= shingle:
+                s = np.sort(runs[first:last - shingle + 1])
                 yield s[np.concatenate(([True], s[1:] != s[:-1]))]
             elif last > first:
                 yield roll.slices(np.array([first]), np.array([last]))
@@ -83,11 +83,11 @@ def signature(shingles: np.ndarray, mul: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(32)).astype(np.uint32)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     mul = _multipliers(COORDS * JOINED)
     for b in batches:
         n, node, sig = [], [], []
-        for s in shingle_sets(common.binaries(b.column(2))):
+        for s in shingle_sets(common.binaries(b.column(2)), shingle):
             n.append(len(s))
             if len(s):
                 m = mix(s)
@@ -123,13 +123,13 @@ def postings(nodes: DataFrame) -> DataFrame:
     return shared.where(room > 0).select("node", F.transform(F.slice("t", F.lit(1), room), lambda x: x["token"]).alias("tokens"))
 
 
-def _pairs_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs_alike(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Confirm pairs of texts on their full sets."""
     for b in batches:
         keep = []
         for lo, hi in common.pieces_of(b.num_rows, 256):
-            left = list(shingle_sets(common.unpack(b.column("za").slice(lo, hi - lo))))
-            right = list(shingle_sets(common.unpack(b.column("zb").slice(lo, hi - lo))))
+            left = list(shingle_sets(common.unpack(b.column("za").slice(lo, hi - lo)), shingle))
+            right = list(shingle_sets(common.unpack(b.column("zb").slice(lo, hi - lo)), shingle))
             for x, y in zip(left, right):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
@@ -175,11 +175,11 @@ def _flag(table: pa.Table) -> pa.Table:
     return table.select(["token", "bi", "bj", "minor", "node", "comp", "bucket"]).filter(pa.array(hit))
 
 
-def _link(table: pa.Table) -> pa.Table:
+def _link(table: pa.Table, shingle: int) -> pa.Table:
     """Links on full sets between the components of a group's nodes. A pair
     whose components were joined before is not looked at again."""
     table = table.combine_chunks()
-    sets = list(shingle_sets(common.unpack(table.column("z"))))
+    sets = list(shingle_sets(common.unpack(table.column("z")), shingle))
     names = table.column("comp").to_pylist()
     comp_all = np.unique(np.array(names, object), return_inverse=True)[1]
     minor = table.column("minor").to_numpy(zero_copy_only=False)
@@ -212,11 +212,11 @@ def _link(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, _tk, n_shingles, component_id, kept`` of every row."""
     common.prepare(docs.sparkSession)
     sketch = common.materialize(common.keyed(docs).mapInArrow(
-        _sketch, "doc_id long, _tk long, n long, node binary, sig binary"), "sketch")
+        lambda b: _sketch(b, shingle), "doc_id long, _tk long, n long, node binary, sig binary"), "sketch")
     nodes = common.materialize(sketch.where("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "_tk")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     prefix = common.materialize(postings(nodes), "prefix")
@@ -238,7 +238,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
         F.col("node").alias("a"), F.col("best.head").alias("b"))
     star = common.materialize(star, "star")
     za, zb = (texts.select(F.col("node").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
-    links = star.join(za, "a").join(zb, "b").select("a", "b", "za", "zb").mapInArrow(_pairs_alike, "a binary, b binary")
+    links = star.join(za, "a").join(zb, "b").select("a", "b", "za", "zb").mapInArrow(
+        lambda b: _pairs_alike(b, shingle), "a binary, b binary")
     first = components(common.materialize(links, "links"))
 
     # lists that span several components
@@ -264,7 +265,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     flagged = cells.join(nodes.select("node", "sig", "n", "mask"), "node").withColumn("bucket", bucket)
     flagged = common.materialize(flagged.groupBy("bucket").applyInArrow(
         _flag, "token long, bi int, bj int, minor boolean, node binary, comp binary, bucket int"), "flagged")
-    joined = flagged.join(texts, "node").groupBy("bucket").applyInArrow(_link, "a binary, b binary")
+    joined = flagged.join(texts, "node").groupBy("bucket").applyInArrow(lambda t: _link(t, shingle), "a binary, b binary")
     second = components(common.materialize(joined, "links"))
 
     comp = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "full") \
@@ -278,9 +279,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_filter(docs: DataFrame) -> DataFrame:
+def near_filter(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each class: the rows of ``docs`` kept, all columns."""
-    gone = near_classes(docs).where("not kept").select(F.col("doc_id").alias("_ni"), F.col("_tk").alias("_nt")).distinct()
+    gone = near_classes(docs, shingle).where("not kept").select(F.col("doc_id").alias("_ni"), F.col("_tk").alias("_nt")).distinct()
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_ni")) & (key == F.col("_nt")), "left_anti")
 
