@@ -39,13 +39,13 @@ def suffixes(rows, length):
     return out
 
 
-def shingles(text):
+def shingles(text, size=2):
     w = [x.lower() for x in words(text)]
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
-def classes(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
+def classes(rows, size=2):
+    sets = [(i, shingles(t, size)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
     def find(x):

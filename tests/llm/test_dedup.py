@@ -178,19 +178,13 @@ def test_near_filter_keeps_one_of_each_class(docs_of):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in brute.classes(rows).items() if c[2]}
 
 
-def test_pipeline_stage_compares_five_words(docs_of, monkeypatch):
+def test_pipeline_stage_compares_five_words(docs_of):
     """Two words changed: alike by two-word shingles, not by five-word ones."""
     base = [f"f{i}" for i in range(60)]
     changed = [*base[:20], "x", *base[21:40], "y", *base[41:]]
     rows = near_rows(6)
     rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate([base, changed, [*base, "z"], base[:4], base[:4], base[:3]])]
-    two = brute.classes(rows)
-
-    def shingles(text):
-        w = [x.lower() for x in brute.words(text)]
-        return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-    monkeypatch.setattr(brute, "shingles", shingles)
-    five = brute.classes(rows)
+    two, five = brute.classes(rows), brute.classes(rows, 5)
     docs = docs_of(rows)
     got = {r.doc_id for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, "").collect()}
     assert got == {i for i, c in five.items() if c[2]} != {i for i, c in two.items() if c[2]}

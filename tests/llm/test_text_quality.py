@@ -198,7 +198,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
             kept = {r.doc_id for r in quality_mcd.quality_scores(before).where("kept").collect()}
             assert {r.doc_id for r in docs.collect()} == kept
         if i == 1:
-            expect = brute.classes([(r.doc_id, r.text) for r in before.collect()])
+            expect = brute.classes([(r.doc_id, r.text) for r in before.collect()], corpus_pipeline.NEAR_SHINGLE)
             assert {r.doc_id for r in docs.collect()} == {k for k, v in expect.items() if v[2]}
         if i == 2:
             assert not any(brute.base_spans(r.text) for r in docs.collect())
