@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_pack_documents": "rankloom.llm.packing",
     "op9_minhash_join": "rankloom.llm.minhash_join",
     "op10_quality_mcd": "rankloom.llm.quality_mcd",
+    "op11_toivonen_phrases": "rankloom.llm.toivonen",
 }
 
 
