@@ -17,6 +17,8 @@ _QUERIES = {
     "op9_minhash_join": "rankloom.llm.minhash_join",
     "op10_quality_mcd": "rankloom.llm.quality_mcd",
     "op11_toivonen_phrases": "rankloom.llm.toivonen",
+    "op12_impact_search": "rankloom.llm.impact_search",
+    "op13_prefix_trie": "rankloom.llm.prefix_trie",
 }
 
 
