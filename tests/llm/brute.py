@@ -119,3 +119,71 @@ def by_key(rows, key):
     for r in rows:
         out[key(r)].append(r)
     return out
+
+
+def collocations(rows, min_count=10, share=50, top=2000):
+    """``(lang, rank, phrase, a, l, r, n, score)`` of rows ``(id, text, lang)``."""
+    f, n = Counter(), Counter()
+    for _, text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i:i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    cand = {p: a for p, a in f.items() if len(p) > 2 and a >= min_count}
+    out = defaultdict(list)
+    for (lang, *w), a in cand.items():
+        if any(100 * b >= share * a and (q[1:3] == tuple(w) or q[2:4] == tuple(w)) for q, b in cand.items()
+               if len(q) == 4 and q[0] == lang and len(w) == 2):
+            continue
+        cuts = [(f[(lang, *w[:k])], f[(lang, *w[k:])]) for k in range(1, len(w))]
+        score, _, left, right = min((1000000 * a * a // (x * y), i, x, y) for i, (x, y) in enumerate(cuts))
+        out[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return [(lang, i + 1, p.decode(), -a, x, y, n[lang], -s) for lang, c in out.items()
+            for i, (s, a, p, x, y) in enumerate(sorted(c)[:top])]
+
+
+def best_products(rows, every=20, k=20):
+    """``(query_id, rank, vec_id, score)`` of rows ``(id, vector)``."""
+    import math
+    vecs = []
+    for i, v in rows:
+        if v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        q = (i, tuple(math.floor(64 * x) for x in v))
+        if q not in vecs:
+            vecs.append(q)
+    out = []
+    for i, q in vecs:
+        if i is None or i % every:
+            continue
+        hits = [(-sum(a * b for a, b in zip(q, v)), j is None, j or 0, j) for j, v in vecs if j != i]
+        out += [(i, r + 1, j, -s) for r, (s, _, _, j) in enumerate(sorted(hits)[:k])]
+    return out
+
+
+def trie(rows, block=20, most=4):
+    """Nodes of rows ``(conv_id, turn, role, text)``."""
+    import math
+    import zlib
+    convs = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            convs[c].append((t is not None, t or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in convs.items()}
+    members = defaultdict(list)
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % most
+        seq = own.get(c - int(math.fmod(c, block)), [])[:h] + own[c][h:]
+        for d in range(len(seq) + 1):
+            members[tuple(seq[:d])].append((c, d == len(seq)))
+    kids = Counter(p[:-1] for p in members if p)
+    out = []
+    for p, m in members.items():
+        below = [q for q in members if q[:len(p)] == p]
+        ends = ",".join(str(c) for c, e in sorted(m) if e)
+        out.append((min(c for c, _ in m), len(p), min(c for c, _ in members[p[:-1]]) if p else None, len(m), kids[p],
+                    sum(not kids[q] for q in below),
+                    sum((len(members[q]) - 1) * len(words(q[-1][1])) for q in below if q), hashlib.sha256(ends.encode()).hexdigest()))
+    return out
