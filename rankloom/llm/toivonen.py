@@ -44,7 +44,8 @@ LOW = 2                 # count in the sample that proposes a phrase
 BITS_EACH = 32          # bits of a bitmap for one proposal
 BITS_MOST = 1 << 28     # 32 MB
 _PART = 1 << 20         # bits of one part while a bitmap is built
-_LETTERS = 1 << 20
+_LETTERS = 1 << 20      # bytes of one run of texts
+_HELD = 1 << 19         # words after which equal phrases are merged
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09]] = True
@@ -92,7 +93,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[list[str], Pieces]]:
     texts = common.binaries(batch.column(0))
     codes = batch.column(1).cast(pa.string()).fill_null("und").dictionary_encode()
     names = codes.dictionary.to_pylist()
-    number = codes.indices.to_numpy()
+    number = codes.indices.to_numpy().astype(np.int32)
     salts = np.array([_salt(x) for x in names], np.uint64)
     for i, j in chunks(texts, _LETTERS):
         yield names, Pieces(texts[i:j], number[i:j], salts)
@@ -163,10 +164,13 @@ def _counter(now, before) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps, old = now and now.value, before and before.value
         for b in batches:
-            got: dict = {1: [], 2: [], 3: []}
-            names: list = []
+            got, names, held = {1: [], 2: [], 3: []}, [], 0
             for names, p in _runs(b):
+                if held > _HELD:
+                    yield from grouped(names, got)
+                    got, held = {1: [], 2: [], 3: []}, 0
                 h, ok2 = p.hash, p.next[:-1]
+                held += len(h)
                 ok3 = ok2[:-1] & ok2[1:]
                 if old is None:
                     got[1].append((p.lang, h))
@@ -180,9 +184,12 @@ def _counter(now, before) -> Callable:
                 i, j = np.flatnonzero(ok2), np.flatnonzero(ok3)
                 got[2].append((p.lang[i], h[i], h[i + 1]))
                 got[3].append((p.lang[j], h[j], h[j + 1], h[j + 2]))
-            for n, parts in got.items():
-                if parts:
-                    yield from _grouped(names, [np.concatenate(x) for x in zip(*parts)], n)
+            yield from grouped(names, got)
+
+    def grouped(names: list, got: dict) -> Iterator[pa.RecordBatch]:
+        for n, parts in got.items():
+            if parts:
+                yield from _grouped(names, [np.concatenate(x) for x in zip(*parts)], n)
     return run
 
 
