@@ -1,18 +1,17 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
 Vectors become integers (``floor(SCALE * x)``), dealt to blocks of about
-``BLOCK_ROWS`` rows. A block is indexed by dimension: its rows in order of their
-value, so that equal values form a posting segment. For a query with weight w in
-a dimension, a segment of value v adds the impact ``w * v - min(w * v')`` >= 0
-above the block's least value v' for that sign.
+``BLOCK_ROWS`` rows. A block is indexed by dimension: its rows by descending size of
+their value, so values of one quantised level form a posting segment. For a batch of
+queries a segment's impact is the largest weight in its dimension times its value.
 
 1. All segments of a block are processed by descending impact, quantised to
-   ``LEVELS`` levels, into one accumulator per row. After each step the sum of the
-   largest impacts left in each dimension bounds what any row can still gain.
-2. A row is a possible member while accumulator + bound reaches the k-th best
-   lower bound, or the k-th score known from earlier blocks. The scan stops when
-   these rows are proved to hold the answer and cost less to rescore than to go
-   on; nothing stops it otherwise than the end of the postings.
+   ``LEVELS`` levels, into one accumulator per row and query. The values that are left
+   in each dimension bound from both sides what a row can still gain.
+2. A row is a possible member of a query's list while accumulator + upper bound
+   reaches the k-th accumulator + lower bound, or the k-th score known from earlier
+   blocks. The scan stops when these rows are proved to hold the answers and cost less
+   to score than to go on; nothing stops it otherwise than the end of the postings.
 3. Possible members are rescored exactly in 64-bit integers.
 
 Blocks are searched in rounds of geometrically growing size. After a round the
@@ -30,7 +29,6 @@ an empty result; inner products must fit 64 bits; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,9 +39,10 @@ from pyspark.sql import functions as F
 from rankloom.llm import common
 
 TOP = 20
+CHECKS = (0.5, 0.75, 0.875, 0.9375, 0.96875)    # shares of the postings after which a stop is tried
 QUERY_EVERY = 20        # ids divisible by this are queries
 SCALE = 64.0
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 BATCH_QUERIES = 128
 GROWTH = 8              # blocks of a round against those before it
 LEVELS = 64
@@ -76,7 +75,7 @@ def _build(width: int) -> Callable:
         """The index of one block."""
         ids = table.column("vec_id").combine_chunks()
         mat = _matrix(table.column("q"), width)
-        perm = np.argsort(mat, axis=0, kind="stable").T.astype(np.int32)
+        perm = np.argsort(-np.abs(mat), axis=0, kind="stable").T.astype(np.int32)
         return pa.table({"block": table.column("block").slice(0, 1), "ids": [ids.fill_null(_NO_ID).to_numpy().tobytes()],
                          "named": [np.array(ids.is_valid()).tobytes()], "mat": [mat.tobytes()],
                          "perm": [np.ascontiguousarray(perm).tobytes()]},
@@ -85,7 +84,7 @@ def _build(width: int) -> Callable:
 
 
 def index(rows: DataFrame, width: int, blocks: int) -> DataFrame:
-    """One row per block: ids, vectors, and each dimension's rows by value."""
+    """One row per block: ids, vectors, and each dimension's rows by descending size of the value."""
     dealt = rows.withColumn("block", F.pmod("key", F.lit(blocks)))
     return common.materialize(dealt.select("block", "vec_id", "q").groupBy("block").applyInArrow(_build(width), _BLOCK), "impact_index")
 
@@ -108,63 +107,72 @@ class Block:
         n = self.n = len(self.ids)
         self.mat = np.frombuffer(mat, np.int64).reshape(n, width)
         self.perm = np.frombuffer(perm, np.int32).reshape(width, n)
-        value = np.take_along_axis(self.mat.T, self.perm, axis=1)
-        new = np.ones((width, n), bool)
-        new[:, 1:] = value[:, 1:] != value[:, :-1]
-        #: segments by dimension, then value: dimension, value, first and one past the last posting (in the flat lists)
-        self.first = np.flatnonzero(new.ravel())
-        self.stop = np.append(self.first[1:], width * n)
-        self.dim = self.first // max(n, 1)
-        self.value = value.ravel()[self.first]
-        self.flat = self.perm.ravel()
-        self.low, self.high = (value[:, 0], value[:, -1]) if n and width else (np.zeros(width, np.int64),) * 2
-
-    def search(self, q: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of this block that can be among the ``k`` best of the query and
-        reach ``floor``, with their scores, best first."""
-        least = np.where(q > 0, q * self.low, q * self.high)
-        base = int(least.sum())
-        impact = q[self.dim] * self.value - least[self.dim]
-        others = ~((self.ids == own) & self.named)
-        acc = np.zeros(self.n)
-        rows = np.flatnonzero(others)
-        most = float(impact.max()) if len(impact) else 0.0
-        if most:
-            level = np.minimum((impact * (LEVELS / most)).astype(np.int64), LEVELS - 1)
-            order = np.argsort(-level, kind="stable")
-            size = (self.stop - self.first)[order]
-            done = np.cumsum(size)
-            # steps end at a level's end; each has about twice the postings of those before it
-            ends = np.append(np.flatnonzero(np.diff(level[order])) + 1, len(order))
-            slack = 1e-9 * float(np.abs(impact).max()) * len(q)
-            at, goal = 0, self.n
-            while at < len(order):
-                to = ends[min(np.searchsorted(done[ends - 1], goal), len(ends) - 1)]
-                seg = order[at:to]
-                n = size[at:to]
-                start = np.cumsum(n) - n
-                posting = self.flat[np.arange(int(n.sum())) + np.repeat(self.first[seg] - start, n)]
-                acc += np.bincount(posting, np.repeat(impact[seg].astype(float), n), self.n)
-                at = to
-                left = order[at:]
-                rest = np.zeros(len(q), np.int64)
-                np.maximum.at(rest, self.dim[left], impact[left])
-                bound = float(rest.sum()) + slack
-                known = acc[rows]
-                bar = -math.inf if floor is None else float(floor) - base
-                if len(known) >= k:
-                    bar = max(bar, float(np.partition(known, len(known) - k)[len(known) - k]))
-                rows = rows[known + bound >= bar - slack]
-                todo = int(done[-1] - done[at - 1])
-                if len(rows) * len(q) <= todo:      # proved: no other row can be a member, and these are cheaper to score
-                    break
-                goal = 2 * int(done[at - 1])
-        exact = self.mat[rows] @ q
-        if floor is not None:
-            fine = exact >= floor
-            rows, exact = rows[fine], exact[fine]
-        by = np.lexsort((self.ids[rows], ~self.named[rows], -exact))[:k]
-        return rows[by], exact[by]
+        self.value = np.take_along_axis(self.mat.T, self.perm, axis=1)
+        self.size = np.abs(self.value)
+        # largest and smallest value from each place on; nothing is left after the last one
+        none = np.zeros((width, 1), np.int64)
+        self.high = np.hstack((np.maximum.accumulate(self.value[:, ::-1], axis=1)[:, ::-1], none))
+        self.low = np.hstack((np.minimum.accumulate(self.value[:, ::-1], axis=1)[:, ::-1], none))
+        self.by_id = np.argsort(self.ids, kind="stable")
+
+    def own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that have the id of a query, and the query's number."""
+        keys = self.ids[self.by_id]
+        a, b = np.searchsorted(keys, ids, "left"), np.searchsorted(keys, ids, "right")
+        query = np.repeat(np.arange(len(ids)), b - a)
+        rows = self.by_id[np.arange(len(query)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
+        keep = self.named[rows]
+        return rows[keep], query[keep]
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, rows and scores of this block's rows that can be among the
+        ``k`` best of a query and reach its floor, best first."""
+        weight = np.abs(q).max(axis=0)
+        impact = weight[:, None] * self.size
+        reach = int((weight * self.size[:, 0]).sum())
+        # sums of integers are exact in floating point up to its precision; beyond, the proof keeps a distance
+        kind, slack = (np.float32, 0.0) if reach < 1 << 24 else (np.float64, 0.0 if reach < 1 << 53 else reach * 2.0**-40)
+        acc = np.zeros((self.n, len(q)), kind)
+        rows, number = self.own(own)
+        acc[rows, number] = -np.inf
+        total, done = impact.size, np.zeros(len(weight), np.int64)
+        most = int(impact.max())
+        # end of each level in each dimension, from the highest level down
+        bars = most * (np.arange(LEVELS - 1, -1, -1) / LEVELS)
+        ends = np.stack([np.searchsorted(-i, -bars, side="right") for i in impact])
+        ends[:, -1] = self.n
+        share = ends.sum(axis=0) / total
+        checks = sorted({int(np.searchsorted(share, c)) for c in CHECKS} | {LEVELS - 1})
+        weights = q.T.astype(kind)
+        possible = None
+        for level in checks:
+            for d in np.flatnonzero(ends[:, level] > done):
+                a, b = done[d], ends[d, level]
+                at = self.perm[d, a:b]              # a row is in a dimension once
+                part = acc[at]
+                part += np.multiply.outer(self.value[d, a:b].astype(kind), weights[d])
+                acc[at] = part
+            done = ends[:, level]
+            left = np.arange(len(weight)), done
+            up = np.maximum(q * self.high[left], q * self.low[left]).sum(axis=1)
+            down = np.minimum(q * self.high[left], q * self.low[left]).sum(axis=1)
+            bar = floors.astype(np.float64)
+            if self.n >= k:
+                kth = np.partition(acc, self.n - k, axis=0)[self.n - k].astype(np.float64)
+                bar = np.maximum(bar, kth + down)
+            possible = (acc >= bar - up - 2 * slack) & (acc > -np.inf)
+            todo = (total - int(done.sum())) * len(q)
+            if np.count_nonzero(possible) * len(weight) <= todo:
+                break       # proved: no other row can be a member, and these are cheaper to score
+        number, rows = np.nonzero(possible.T)
+        score = np.concatenate([(self.mat[rows[i:j]] * q[number[i:j]]).sum(axis=1) for i, j in common.pieces_of(len(rows), 1 << 16)]
+                               or [np.zeros(0, np.int64)])
+        fine = score >= floors[number]
+        number, rows, score = number[fine], rows[fine], score[fine]
+        by = np.lexsort((self.ids[rows], ~self.named[rows], -score, number))
+        number, rows, score = number[by], rows[by], score[by]
+        keep = np.arange(len(rows)) - np.searchsorted(number, number) < k
+        return number[keep], rows[keep], score[keep]
 
 
 def _search(width: int, k: int) -> Callable:
@@ -177,14 +185,8 @@ def _search(width: int, k: int) -> Callable:
                     block = Block(*(b.column(c)[r].as_py() for c in ("ids", "named", "mat", "perm")), width)
                     number = row["block"]
                 ids, keys, floors = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "q_keys", "q_floors"))
-                mat = np.frombuffer(row["q_mat"], np.int64).reshape(len(ids), width)
-                out: list = [[], [], [], []]
-                for i in range(len(ids)):
-                    rows, score = block.search(mat[i], int(ids[i]), k, None if floors[i] == np.iinfo(np.int64).min else int(floors[i]))
-                    for c, x in zip(out, (np.full(len(rows), ids[i]), np.full(len(rows), keys[i]), rows, score)):
-                        c.append(x)
-                q, key, rows, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-                yield pa.RecordBatch.from_arrays([common.longs(q), common.longs(key), pa.array(block.ids[rows], mask=~block.named[rows]),
+                q, rows, score = block.search(np.frombuffer(row["q_mat"], np.int64).reshape(len(ids), width), ids, k, floors)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[q]), pa.array(block.ids[rows], mask=~block.named[rows]),
                                                   common.longs(score)], names=["query_id", "query_key", "vec_id", "score"])
     return run
 

@@ -111,19 +111,21 @@ def test_scan_stops_only_on_proof():
     rng = np.random.default_rng(3)
     mat = rng.integers(-30, 30, (500, 8))
     mat[:50] *= 5
-    perm = np.ascontiguousarray(np.argsort(mat, axis=0, kind="stable").T.astype(np.int32))
+    mat[400:] = mat[399]
     ids = np.arange(500)
-    block = impact_search.Block(ids.tobytes(), np.ones(500, bool).tobytes(), mat.tobytes(), perm.tobytes(), 8)
-    for i in range(60):
-        q = mat[i]
-        score = mat @ q
-        others = [j for j in range(500) if j != i]
-        best = sorted(others, key=lambda j: (-score[j], j))[:20]
-        rows, got = block.search(q, i, 20, None)
-        assert rows.tolist() == best and got.tolist() == score[best].tolist()
-        floor = int(score[best[4]])
-        rows, got = block.search(q, i, 20, floor)
-        assert rows.tolist() == [j for j in best if score[j] >= floor]
+    none = np.full(60, -2**63)
+    for scale in (1, 10**6):        # sums of the second kind pass the precision of floating point
+        big = mat * scale
+        perm = np.ascontiguousarray(np.argsort(-np.abs(big), axis=0, kind="stable").T.astype(np.int32))
+        block = impact_search.Block(ids.tobytes(), np.ones(500, bool).tobytes(), big.tobytes(), perm.tobytes(), 8)
+        score = big[:60] @ big.T
+        best = [sorted((j for j in range(500) if j != i), key=lambda j: (-score[i, j], j))[:20] for i in range(60)]
+        number, rows, got = block.search(big[:60], ids[:60], 20, none)
+        assert number.tolist() == [i for i in range(60) for _ in range(20)] and rows.tolist() == sum(best, [])
+        assert got.tolist() == [score[i, j] for i in range(60) for j in best[i]]
+        floors = np.array([score[i, b[4]] for i, b in enumerate(best)])
+        number, rows, _ = block.search(big[:60], ids[:60], 20, floors)
+        assert list(zip(number, rows)) == [(i, j) for i in range(60) for j in best[i] if score[i, j] >= floors[i]]
 
 
 # ------------------------------------------------------------------ trie
