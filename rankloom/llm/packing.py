@@ -1,7 +1,7 @@
 """Order-preserving packing of tokenised documents by dynamic programming.
 
-Documents are tokenised once (words by words, with a bounded cache per
-worker), dealt to blocks of consecutive ids, sorted, and packed as a stream.
+Documents are dealt to ranges of ids and sorted; each range is tokenised (word
+by word, with a bounded cache per worker) and packed as a stream in one task.
 A sequence may end at a document's or a sentence's end, or inside a sentence
 that is longer than ``FORCED_GAP`` tokens. With cut points c and costs p the
 best cost to end a sequence at j is
@@ -39,26 +39,63 @@ FORCED_COST = 64        # the same for a cut inside a sentence
 FORCED_GAP = 256
 BLOCK_DOCS = 4096
 CHUNK_TOKENS = 1 << 19
-CACHE_WORDS = 1 << 19
+CHUNK_BYTES = 2 << 20   # of text tokenised at once
+CACHE_WORDS = 1 << 20   # known words of a worker
+NEW_WORDS = 1 << 17     # of them, new ones before they are merged
 _SEP = "\x1f"           # one token of its own; words that contain it are encoded alone
 
 
+class _Words:
+    """Known words: sorted hashes, and where each word's ids lie in a pool."""
+
+    def __init__(self, keys=None, size=None, pool=None):
+        self.keys = np.zeros(0, np.uint64) if keys is None else keys
+        self.size = np.zeros(0, np.uint32) if size is None else size
+        self.pool = np.zeros(0, np.uint32) if pool is None else pool
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.used = np.zeros(len(self.keys), bool)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are known, and their places."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        return known, at[known]
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.used[at] = True
+        size = self.size[at].astype(np.int64)
+        return _gather(self.pool, self.at[at], size), size
+
+    def merged(self, other: _Words, used_only: bool) -> _Words:
+        """Both, sorted; ``used_only``: without the words that nobody asked for again."""
+        mine = np.flatnonzero(self.used) if used_only else np.arange(len(self.keys))
+        keys = np.concatenate((self.keys[mine], other.keys))
+        order = np.argsort(keys)
+        at = np.concatenate((self.at[mine], other.at + len(self.pool)))[order]
+        size = np.concatenate((self.size[mine], other.size))[order]
+        out = _Words(keys[order], size, _gather(np.concatenate((self.pool, other.pool)), at, size.astype(np.int64)))
+        if not used_only:
+            out.used = np.concatenate((self.used, other.used))[order]
+        return out
+
+
+def _gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    start = np.cumsum(size) - size
+    return pool[np.arange(int(size.sum())) + np.repeat(at - start, size)]
+
+
 class WordEncoder:
     """Token ids of whitespace-separated words. White space ends a word for
-    the tokenizer, so a text's ids are its words' ids in a row. Known words
-    are found by hash; when ``CACHE_WORDS`` are known, all are forgotten."""
+    the tokenizer, so a text's ids are its words' ids in a row. Known words are
+    found by hash, in a large sorted table and a small one for new words, which is
+    merged into it now and then. Beyond ``CACHE_WORDS`` the words that were not
+    met again since the last time go, so frequent words stay."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.sep = self.tokenizer.encode(_SEP, add_special_tokens=False).ids
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.main, self.new = _Words(), _Words()
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         out: list = [None] * len(words)
@@ -83,33 +120,32 @@ class WordEncoder:
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each word has."""
-        h = words.hashes()
-        key, first, back = np.unique(h, return_index=True, return_inverse=True)
-        pos = np.searchsorted(self.keys, key)
-        known = np.zeros(len(key), bool)
-        inside = pos < len(self.keys)
-        known[inside] = self.keys[pos[inside]] == key[inside]
-        if not known.all():
-            if len(self.keys) > CACHE_WORDS:
-                self.forget()
-                known[:] = False
-            new = np.flatnonzero(~known)
+        key, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        todo = np.arange(len(key))
+        parts = []      # places in key, ids, numbers of ids
+        for table in (self.main, self.new):
+            known, at = table.find(key[todo])
+            parts.append((todo[known], *table.ids(at)))
+            todo = todo[~known]
+        if len(todo):
             buf = words.buf.tobytes()
-            s, e = words.start[first[new]].tolist(), words.end[first[new]].tolist()
+            s, e = words.start[first[todo]].tolist(), words.end[first[todo]].tolist()
             enc = self._encode([buf[a:b].decode("utf-8", "replace") for a, b in zip(s, e)])
             size = np.fromiter((len(x) for x in enc), np.int64, len(enc))
-            at = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, *(np.asarray(x, np.uint32) for x in enc)])
-            keys = np.concatenate((self.keys, key[new]))
-            order = np.argsort(keys)
-            self.keys = keys[order]
-            self.at = np.concatenate((self.at, at))[order]
-            self.size = np.concatenate((self.size, size))[order]
-            pos = np.searchsorted(self.keys, key)
-        pos = pos[back]
-        size, at = self.size[pos], self.at[pos]
-        start = np.cumsum(size) - size
-        return self.pool[np.arange(int(size.sum())) + np.repeat(at - start, size)], size
+            flat = np.concatenate([np.asarray(x, np.uint32) for x in enc])
+            parts.append((todo, flat, size))
+            self.new = self.new.merged(_Words(key[todo], size.astype(np.uint32), flat), False)
+            if len(self.new.keys) > NEW_WORDS:
+                self.main = self.main.merged(self.new, len(self.main.keys) + len(self.new.keys) > CACHE_WORDS)
+                self.new = _Words()
+        at, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        base = 0
+        for places, flat, n in parts:
+            at[places] = base + np.cumsum(n) - n
+            size[places] = n
+            base += len(flat)
+        pool = np.concatenate([flat for _, flat, _ in parts])
+        return _gather(pool, at[back], size[back]), size[back]
 
 
 _ENCODERS: dict = {}
@@ -122,40 +158,19 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _tokenize(path: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        sentence = np.zeros(256, bool)
-        sentence[list(b".!?")] = True
-        for b in batches:
-            texts = common.binaries(b.column(2))
-            for i, j in chunks(texts, 2 << 20):
-                w = Words(texts[i:j])
-                flat, size = enc.ids(w)
-                ends = np.cumsum(size)
-                stop = sentence[w.buf[w.end - 1]] if len(w.end) else np.zeros(0, bool)
-                ids, cuts = [], []
-                for first, last in zip(w.first.tolist(), w.last.tolist()):
-                    base = int(ends[first - 1]) if first else 0
-                    top = int(ends[last - 1]) if last else 0
-                    own = flat[base:max(top, base)]
-                    ids.append(np.append(own, np.uint32(END_ID)).astype("<u4").tobytes())
-                    cuts.append((ends[first:last][stop[first:last]] - base).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(3).slice(i, j - i),
-                     pa.array([_narrow(x) for x in ids], pa.binary()), pa.array(cuts, pa.binary())],
-                    names=["doc_id", "_tk", "block", "ids", "cuts"])
-    return run
-
-
-def _narrow(ids: bytes) -> bytes:
-    """Two bytes per id where all fit, marked by a first byte."""
-    a = np.frombuffer(ids, "<u4")
-    return b"\2" + a.astype("<u2").tobytes() if a.max() < 65536 else b"\4" + ids
-
-
-def _wide(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1).astype("<u4")
+def token_lists(enc: WordEncoder, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per text its number, its ids with the end id, and where its sentences end."""
+    sentence = np.zeros(256, bool)
+    sentence[list(b".!?")] = True
+    for i, j in chunks(texts, CHUNK_BYTES):
+        w = Words(texts[i:j])
+        flat, size = enc.ids(w)
+        ends = np.cumsum(size)
+        stop = sentence[w.buf[w.end - 1]] if len(w.end) else np.zeros(0, bool)
+        for r, (first, last) in enumerate(zip(w.first.tolist(), w.last.tolist())):
+            base = int(ends[first - 1]) if first else 0
+            top = int(ends[last - 1]) if last > first else base
+            yield i + r, np.append(flat[base:top], np.uint32(END_ID)).astype("<u4"), ends[first:last][stop[first:last]] - base
 
 
 def cut_points(lengths: list[int], sentence_ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +270,7 @@ class _Stream:
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(length: int) -> Callable:
+def _pack(path: str, length: int) -> Callable:
     names = [x.split()[0] for x in _OUT.split(", ")]
 
     def batch(rows: list) -> pa.RecordBatch:
@@ -263,15 +278,13 @@ def _pack(length: int) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = None
+        enc, stream = encoder(path), None
         for b in batches:
-            for doc_id, block, ids, cuts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "block", "ids", "cuts"))):
-                if stream is None or stream.block != block:
-                    if stream:
-                        stream.solve(True)
-                        yield batch(stream.rows)
-                    stream = _Stream(block, length)
-                stream.add(doc_id, _wide(ids), np.frombuffer(cuts, "<u4"))
+            texts, ids = common.binaries(b.column("text")), b.column("doc_id").to_pylist()
+            if stream is None and texts:
+                stream = _Stream(b.column("block")[0].as_py(), length)
+            for r, tokens, ends in token_lists(enc, texts):
+                stream.add(ids[r], tokens, ends)
                 if len(stream.rows) > 20000:
                     yield batch(stream.rows)
                     stream.rows = []
@@ -284,17 +297,15 @@ def _pack(length: int) -> Callable:
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` tokens.
 
-    ``block`` cuts the range of ids evenly into about one part per
-    ``block_docs`` rows; each part is one ordered stream."""
+    Documents are dealt by ranges of id, text hash and (for rows equal in both) row
+    number, about ``block_docs`` rows each; each range is one ordered stream, which
+    is tokenised and packed in one task."""
     common.prepare(docs.sparkSession)
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    low, high, n = keys.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    blocks = max(1, -(-(n or 0) // block_docs))
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(step)).cast("long") + 1, F.lit(0).cast("long"))
-    rows = common.keyed(docs).withColumn("block", block)
-    ids = rows.mapInArrow(_tokenize(tokenizer), "doc_id long, _tk long, block long, ids binary, cuts binary")
-    return ids.repartition("block").sortWithinPartitions("block", "doc_id", "_tk").mapInArrow(_pack(length), _OUT)
+    order = ["doc_id", "_tk", "_row"]
+    rows = common.keyed(docs).withColumn("_row", F.monotonically_increasing_id() % 4096)
+    blocks = max(1, -(-docs.select(F.lit(1)).count() // block_docs))
+    rows = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    return rows.select("doc_id", "text", F.spark_partition_id().cast("long").alias("block")).mapInArrow(_pack(tokenizer, length), _OUT)
 
 
 def tokenizer_path() -> str:
