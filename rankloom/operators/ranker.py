@@ -6,18 +6,14 @@
   the query's other rows (LightGBM's default truncation level is 30), so the
   pair count is at most ``truncation x rows`` per query -- linear, never all
   pairs.
-* ``fit_ranker`` (L1, L4-L6): boosting loop. Each round fits one weighted
-  regression tree with MLlib (target ``-g/h``, weight ``h``: weighted variance
-  reduction is the second-order split gain), recomputes leaf values as
-  ``-sign(G) max(|G| - l1, 0) / (H + l2)`` from grouped sums, and adds
-  ``lr x leaf`` to the scores. Trees are compiled to ``CASE WHEN`` expressions,
-  so scoring stays JVM-side. The scored frame is checkpointed to the shared
-  checkpoint folder every round.
+* ``fit_ranker`` (L1, L4-L6, L8): boosting loop over leaf-wise histogram trees
+  (``operators.boosting``); a leaf's value is ``-sign(G) max(|G| - l1, 0) / (H + l2)``
+  and ``lr x leaf`` is added to the scores. Trees are compiled to ``CASE WHEN``
+  expressions, so scoring other frames stays JVM-side.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -139,44 +135,6 @@ class Tree:
         return build(0)
 
 
-def tree_from_mllib(model) -> tuple[Tree, list]:
-    """Read an MLlib tree's structure (driver-side; bounded by 2^(depth+1) nodes).
-
-    Returns the tree and per-split ``(feature, gain x weighted count)`` for L8."""
-    nodes, splits = [], []
-    counter = {"node": 0, "leaf": 0}
-
-    def walk(jnode):
-        nid = counter["node"]
-        counter["node"] += 1
-        if jnode.getClass().getSimpleName() == "InternalNode":
-            sp = jnode.split()
-            feat, thr = int(sp.featureIndex()), float(sp.threshold())
-            splits.append((feat, float(jnode.gain()) * float(jnode.impurityStats().count())))
-            slot = len(nodes)
-            nodes.append(None)
-            left = walk(jnode.leftChild())
-            right = walk(jnode.rightChild())
-            nodes[slot] = (nid, feat, thr, left, right, -1)
-        else:
-            nodes.append((nid, -1, 0.0, -1, -1, counter["leaf"]))
-            counter["leaf"] += 1
-        return nid
-    jm = model._java_obj
-    root = jm.trees()[0].rootNode() if hasattr(jm, "trees") else jm.rootNode()
-    walk(root)
-    return Tree(nodes), splits
-
-
-def leaf_values(stats: DataFrame, l1: float, l2: float) -> dict:
-    """L4: ``-sign(G) max(|G| - l1, 0) / (H + l2)`` per leaf (rows = leaves, bounded)."""
-    out = {}
-    for row in stats.collect():
-        g, h = float(row["G"]), float(row["H"])
-        out[int(row["leaf"])] = -math.copysign(max(abs(g) - l1, 0.0), g) / (h + l2)
-    return out
-
-
 @dataclass
 class RankerModel:
     features: list
@@ -259,71 +217,56 @@ def query_ndcg(scored: DataFrame, k_values=(5, 10, 20), tie=("row_id",)) -> Data
                    F.count(F.lit(1)).alias("n_queries"))
 
 
+def _tree(nodes, chosen, values, bounds) -> Tree:
+    """A grown tree as a node table in pre-order, leaves numbered left to right."""
+    out, leaf_of, inner = [], {}, set(chosen)
+
+    def walk(i):
+        nid = len(out)
+        out.append(None)
+        if i in inner:
+            n = nodes[i]
+            left = walk(n.left)
+            right = walk(n.right)
+            out[nid] = (nid, n.feature, float(bounds[n.feature][n.bin]), left, right, -1)
+        else:
+            leaf_of[i] = len(leaf_of)
+            out[nid] = (nid, -1, 0.0, -1, -1, leaf_of[i])
+        return nid
+    walk(0)
+    return Tree(out, {leaf_of[i]: v for i, v in values.items()})
+
+
 def fit_ranker(train: DataFrame, features, valid: DataFrame | None = None, n_rounds: int = LGBM_PARAMS["n_rounds"],
-               learning_rate: float = LGBM_PARAMS["learning_rate"], max_depth: int = 6,
+               learning_rate: float = LGBM_PARAMS["learning_rate"], num_leaves: int = LGBM_PARAMS["num_leaves"],
                min_child_samples: int = LGBM_PARAMS["min_child_samples"],
                colsample: float = LGBM_PARAMS["colsample_bytree"], l1: float = LGBM_PARAMS["reg_alpha"],
                l2: float = LGBM_PARAMS["reg_lambda"], early_stopping: int = LGBM_PARAMS["early_stopping_rounds"],
                seed: int = 42, eval_k: int = 10, eval_at=LGBM_PARAMS["eval_at"],
-               truncation: int = TRUNCATION) -> RankerModel:
-    """L1 + L5 + L6: LambdaMART boosting on ``(query_id, label, features...)`` frames.
-
-    NDCG is recorded at every ``eval_at``; early stopping follows ``eval_k``. Rows
-    without a gradient stay in the tree fit (for leaf counts) with a vanishing weight."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
+               truncation: int = TRUNCATION, block_rows: int | None = None) -> RankerModel:
+    """L1 + L4 + L5 + L6 + L8: LambdaMART boosting on ``(query_id, label, features...)``
+    frames, leaf-wise over binned features (``operators.boosting``).
 
-    from rankloom.session import cut_lineage, materialize
+    NDCG is recorded at every ``eval_at``; early stopping follows ``eval_k``."""
+    from rankloom.operators import boosting
     features = list(features)
     if eval_k not in eval_at:
         raise ValueError("eval_k must be one of eval_at")
     model = RankerModel(features, learning_rate=learning_rate)
-    cols = ["query_id", "label", *features]
-    s = cut_lineage(train.select(*cols).withColumn("row_id", F.monotonically_increasing_id())
-                    .withColumn("score", F.lit(0.0)))
-    v = None
-    if valid is not None:
-        v = cut_lineage(valid.select(*cols).withColumn("row_id", F.monotonically_increasing_id())
-                        .withColumn("score", F.lit(0.0)))
-    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    best, best_round, since = -1.0, 0, 0
-    for rnd in range(n_rounds):
-        grads = lambda_gradients(s, truncation)
-        rows = s.join(grads, "row_id", "left").withColumns({"g": F.coalesce("g", F.lit(0.0)), "h": F.coalesce("h", F.lit(0.0))})
-        rows = materialize(rows, "ranker_round")        # read by the fit and by the leaf sums
-        fit_rows = rows.withColumn("_y", F.when(F.col("h") > 1e-12, -F.col("g") / F.col("h")).otherwise(F.lit(0.0))) \
-            .withColumn("h", F.greatest("h", F.lit(1e-12)))
-        rf = RandomForestRegressor(featuresCol="_x", labelCol="_y", weightCol="h", numTrees=1, bootstrap=False,
-                                   subsamplingRate=1.0, featureSubsetStrategy=str(colsample), maxDepth=max_depth,
-                                   minInstancesPerNode=min_child_samples, seed=seed + rnd, maxBins=64)
-        fitted = rf.fit(assembler.transform(fit_rows))
-        tree, splits = tree_from_mllib(fitted)
-        stats = rows.withColumn("leaf", tree.leaf_expr(features)).groupBy("leaf").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
-        tree.values = leaf_values(stats, l1, l2)
-        model.trees.append(tree)
-        for f_idx, gain in splits:
-            imp = model.importance.setdefault(features[f_idx], [0.0, 0])
-            imp[0] += gain
+    growth = boosting.Growth(num_leaves, min_child_samples, l1, l2)
+    best = -1.0
+    rounds = boosting.boost(train, valid, features, n_rounds, growth, learning_rate, colsample, LGBM_PARAMS["label_gain"], truncation,
+                            eval_at, eval_k, early_stopping, seed, block_rows or boosting.BLOCK_ROWS)
+    for rnd, (nodes, chosen, values, bounds, history) in enumerate(rounds, 1):
+        model.trees.append(_tree(nodes, chosen, values, bounds))
+        for i in chosen:
+            imp = model.importance.setdefault(features[nodes[i].feature], [0.0, 0])
+            imp[0] += nodes[i].gain
             imp[1] += 1
-        upd = F.col("score") + F.lit(learning_rate) * tree.expr(features)
-        old_s = s
-        s = cut_lineage(s.withColumn("score", upd))
-        old_s.unpersist()
-        tr = query_ndcg(s, eval_at).first()
-        model.history += [(rnd + 1, "train", k, float(tr[f"ndcg_{k}"] or 0.0)) for k in eval_at]
-        metric = float(tr[f"ndcg_{eval_k}"] or 0.0)
-        if v is not None:
-            v = cut_lineage(v.withColumn("score", upd))
-            va = query_ndcg(v, eval_at).first()
-            model.history += [(rnd + 1, "valid", k, float(va[f"ndcg_{k}"] or 0.0)) for k in eval_at]
-            metric = float(va[f"ndcg_{eval_k}"] or 0.0)
+        model.history += [(rnd, name, k, v) for name, k, v in history]
+        metric = [v for name, k, v in history if k == eval_k][-1]
         if metric > best:
-            best, best_round, since = metric, rnd + 1, 0
-        else:
-            since += 1
-            if since >= early_stopping:
-                break
-    model.best_round = best_round
+            best, model.best_round = metric, rnd
     return model
 
 

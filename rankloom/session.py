@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),   # rows of packed blocks are large
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -85,7 +86,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if key not in _SCRATCH:
         root = f"{base}/rankloom-tables/{key[0]}-{uuid.uuid4().hex[:8]}"
         _SCRATCH[key] = root
-        atexit.register(_drop_tree, spark, root)
+        atexit.register(drop_tree, spark, root)
     return f"{_SCRATCH[key]}/{name}"
 
 
@@ -98,7 +99,7 @@ def path_kind(spark: SparkSession, path: str) -> str | None:
     return "dir" if fs.getFileStatus(p).isDirectory() else "file"
 
 
-def _drop_tree(spark: SparkSession, path: str) -> None:
+def drop_tree(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system (any scheme)."""
     try:
         jvm = spark.sparkContext._jvm
