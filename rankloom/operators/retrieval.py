@@ -1,45 +1,48 @@
 """List-pruned (IVF) nearest-neighbour retrieval by inner product.
 
-Layout: ``centroids(list_id, centroid)`` -- small, its size is bounded by the
-``n_lists`` parameter -- and ``postings(list_id, item_id, vec)``.
-
-Search runs as batched numpy scoring inside Spark tasks (Arrow batches):
-
-* **broadcast path** -- when ``n_items x dim x 8`` bytes is under
-  ``max_broadcast_bytes`` (checked with a count, not assumed), the postings
-  matrix is broadcast and each query batch is scored against the items of its
-  probed lists in one ``mapInPandas`` pass; exact top-k per query in-task.
-* **blocked path** -- otherwise, queries are expanded to their probed lists,
-  both sides are split into ``(list_id, user_block, item_block)`` groups of
-  bounded size (a hot list is split, never gathered) and scored with
-  ``cogroup().applyInPandas``; partial top-k per block, then a per-query
-  ``row_number() <= k`` merge (partial ``WindowGroupLimit`` before the shuffle).
-
-Scores are accumulated one dimension at a time in float64 -- the same
-left-to-right sum a SQL engine computes -- so rankings, including ties on
-identical vectors, are reproducible by an independent oracle.
+Layout: ``centroids(list_id, centroid)`` and ``postings(list_id, item_id, vec)``.
+
+One plan at every size:
+
+* ``probe`` finds the best lists of a query. Up to ``MAX_CENTROID_BYTES`` the centroids
+  are broadcast; beyond, they are an index of their own: cells around about
+  sqrt(n_lists) pivots, searched exactly with the bound q.c <= q.pivot + |q| radius.
+* Postings are packed into blocks of ``BLOCK_BYTES`` of vectors: small lists share a
+  block, a large list spans several. Queries are packed by the blocks they need.
+* The block with a query's best list is searched first. Its k-th score is a lower
+  bound for the query, and every other block returns only rows that reach it. One
+  ``row_number() <= k`` merges a query's blocks.
+* A block is scored by one matrix product per list. The product may differ from the
+  sum taken dimension by dimension by at most ``rounding_margin``, so rows within
+  that of the k-th score are candidates, and only these are summed again.
+
+Scores are thus the left-to-right float64 sum a SQL engine computes, so rankings,
+including ties on identical vectors, are reproducible by an independent oracle.
 """
 
 from __future__ import annotations
 
+import math
+import os
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankloom.functions.hashing import portable_hash
 from rankloom.functions.vectors import l2_normalize
+from rankloom.session import materialize
 
 DEFAULT_N_LISTS = 100
 DEFAULT_N_PROBE = 10
 DEFAULT_K = 500
-MAX_BROADCAST_BYTES = 64 << 20
 MAX_CENTROID_BYTES = 16 << 20
-USER_BLOCK = 2048
-ITEM_BLOCK = 4096
-QUERY_BATCH = 256
-SCORE_BUDGET_BYTES = 64 << 20   # per-task score matrix (query batch x items) budget
+BLOCK_BYTES = 16 << 20          # vectors of one block
+USER_BLOCK = 1024               # queries of one pack
+SCORE_BUDGET_BYTES = 32 << 20   # score matrix of one step
 UNFILLED_SCORE = -3.4028234663852886e38  # -FLT_MAX, what an IVF search reports for empty slots
 
 
@@ -72,28 +75,66 @@ def clamp_normalize(x: np.ndarray) -> np.ndarray:
 
 
 def _stack(col: pd.Series, dim: int) -> np.ndarray:
+    """A column of vectors as a matrix; raises on null vectors or another width."""
     if len(col) == 0:
         return np.zeros((0, dim))
+    if any(v is None or len(v) != dim for v in col.values):
+        raise ValueError(f"every vector must have {dim} values")
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
 
 
-def top_k_rows(scores: np.ndarray, ids: np.ndarray, k: int):
-    """Exact per-row top-k by (score desc, id asc); ``-inf`` entries are never taken.
+def rounding_margin(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Per row of ``q``: twice the largest difference between two float64 sums of a
+    product with a row of ``x``, whatever their order. Each is within
+    gamma |q| |x| of the exact value, gamma = d u / (1 - d u), u = 2**-53; the norms'
+    own rounding is covered by another factor of two."""
+    d = q.shape[1]
+    gamma = d * 2.0**-53 / (1.0 - d * 2.0**-53)
+    most = math.sqrt(float(np.square(x).sum(axis=1).max())) if len(x) else 0.0
+    return 8.0 * gamma * np.sqrt(np.square(q).sum(axis=1)) * most + 1e-300
+
+
+def pair_dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Products of corresponding rows, summed dimension by dimension."""
+    acc = q[:, 0] * x[:, 0]
+    for j in range(1, q.shape[1]):
+        acc += q[:, j] * x[:, j]
+    return acc
+
 
-    Yields ``(row, cols_in_rank_order)``.
-    """
-    n = scores.shape[1]
-    for r in range(scores.shape[0]):
-        row = scores[r]
-        allowed = int(np.count_nonzero(row > -np.inf))
-        kr = min(k, allowed)
-        if kr == 0:
-            yield r, np.zeros(0, dtype=np.int64)
-            continue
-        thr = np.partition(row, n - kr)[n - kr]
-        cand = np.nonzero(row >= thr)[0]
-        order = np.lexsort((ids[cand], -row[cand]))[:kr]
-        yield r, cand[order]
+def top_k_block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, bounds: np.ndarray, allow: np.ndarray, k: int, floor: np.ndarray):
+    """Exact top-k rows of a block for each query by (score desc, id asc).
+
+    ``x`` is ordered by list, ``bounds`` are the lists' starts (and the end), ``allow``
+    says which lists a query probes, ``floor`` the score that a row must reach.
+    Returns query rows, item rows, scores and 0-based ranks."""
+    s = np.full((len(q), len(x)), -np.inf)
+    for li in range(len(bounds) - 1):
+        rows = np.flatnonzero(allow[:, li])
+        if len(rows):
+            s[rows, bounds[li]:bounds[li + 1]] = q[rows] @ x[bounds[li]:bounds[li + 1]].T
+    margin = rounding_margin(q, x)
+    least = floor - margin
+    if s.shape[1] > k:
+        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        least = np.maximum(least, kth - 2 * margin)
+    r, c = np.nonzero(s >= np.maximum(least, np.finfo(np.float64).min)[:, None])
+    score = pair_dot(q[r], x[c])
+    fine = score >= floor[r]
+    r, c, score = r[fine], c[fine], score[fine]
+    by = np.lexsort((ids[c], -score, r))
+    r, c, score = r[by], c[by], score[by]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    keep = rank < k
+    return r[keep], c[keep], score[keep], rank[keep]
+
+
+def _doubles(column: pa.Array, dim: int) -> np.ndarray:
+    """A list column as a matrix; raises on null vectors or another width."""
+    size = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+    if column.null_count or (size != dim).any():
+        raise ValueError(f"every vector must have {dim} values")
+    return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 # ----------------------------------------------------------------------- index build
@@ -105,10 +146,9 @@ def list_count_rule(n_vectors: int, n_lists: int = DEFAULT_N_LISTS) -> int:
 
 
 def _centroid_matrix(centroids: DataFrame, dim: int):
-    """Collect centroids -- bounded by the n_lists parameter, checked here."""
-    n = centroids.count()
-    if n * dim * 8 > MAX_CENTROID_BYTES:
-        raise ValueError(f"{n} centroids x {dim} dims exceed the centroid size bound")
+    """List ids and centroids, or None beyond ``MAX_CENTROID_BYTES``."""
+    if centroids.count() * dim * 8 > MAX_CENTROID_BYTES:
+        return None
     pdf = centroids.select("list_id", "centroid").orderBy("list_id").toPandas()
     return pdf["list_id"].to_numpy(np.int64), _stack(pdf["centroid"], dim)
 
@@ -139,9 +179,13 @@ def fit_coarse(vectors: DataFrame, n_lists: int, dim: int, seed: int = 42, max_i
 
 def assign_lists(vectors: DataFrame, centroids: DataFrame, dim: int) -> DataFrame:
     """Postings ``(list_id, item_id, vec)``: vectors clamp-normalised, each put
-    in the list of its best centroid (ties -> lowest list id)."""
-    list_ids, cmat = _centroid_matrix(centroids, dim)
-    bc = vectors.sparkSession.sparkContext.broadcast((list_ids, cmat))
+    in the list of its best centroid (ties -> lowest list id). A vector of another
+    width, or null, raises (R10)."""
+    found = _centroid_matrix(centroids, dim)
+    if found is None:
+        lists = probe(vectors.select(F.col("item_id").alias("query_id"), "vec"), centroids, dim, 1)
+        return lists.select("list_id", F.col("query_id").alias("item_id"), F.col("qvec").alias("vec"))
+    bc = vectors.sparkSession.sparkContext.broadcast(found)
 
     def _assign(batches):
         lids, c = bc.value
@@ -173,128 +217,210 @@ def index_stats(postings: DataFrame, dim: int, n_lists: int, n_probe: int) -> Da
 
 # ----------------------------------------------------------------------- search
 
-def probe(queries: DataFrame, centroids: DataFrame, dim: int, n_probe: int) -> DataFrame:
-    """Best ``n_probe`` lists per (clamp-normalised) query: ``(query_id, list_id, probe_rank, qvec)``."""
-    list_ids, cmat = _centroid_matrix(centroids, dim)
-    bc = queries.sparkSession.sparkContext.broadcast((list_ids, cmat))
-    npb = min(n_probe, len(list_ids))
+def _routed(queries: DataFrame, lists: tuple, dim: int, n_probe: int | None, radius: np.ndarray | None = None) -> DataFrame:
+    """Queries with their lists, best first: ``query_id, qvec, lists, bounds``. All
+    lists without ``n_probe``; ``bounds`` (above any score in the list) with ``radius``."""
+    bc = queries.sparkSession.sparkContext.broadcast((*lists, radius))
+    n = len(lists[0]) if n_probe is None else min(n_probe, len(lists[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c, far = bc.value
+        for b in batches:
+            q = clamp_normalize(_doubles(b.column("vec"), dim)) if b.num_rows else np.zeros((0, dim))
+            step = max(1, SCORE_BUDGET_BYTES // max(1, 8 * len(ids)))
+            for lo in range(0, len(q), step):
+                part = q[lo:lo + step]
+                s = seq_dot(part, c)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :n]
+                top = np.full(order.shape, np.inf)
+                if far is not None:
+                    # q.c = q.pivot + q.(c - pivot), and rounding
+                    reach = s + seq_norm(part)[:, None] * far + rounding_margin(part, c)[:, None] * 2 + 1e-12 * (1 + far)
+                    top = np.take_along_axis(reach, order, axis=1)
+                at = pa.array(np.arange(0, order.size + 1, n), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("query_id").slice(lo, len(part)), pa.array([v.tobytes() for v in part], pa.binary()),
+                     pa.ListArray.from_arrays(at, pa.array(ids[order].ravel())), pa.ListArray.from_arrays(at, pa.array(top.ravel()))],
+                    names=["query_id", "qvec", "lists", "bounds"])
+
+    return spread(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))) \
+        .mapInArrow(run, "query_id long, qvec binary, lists array<long>, bounds array<double>")
+
+
+def _unpacked(dim: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.frombuffer(b"".join(b.column("qvec").to_pylist()), np.float64)
+            at = pa.array(np.arange(0, len(v) + 1, dim), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("query_id", "list_id", "probe_rank")),
+                                              pa.ListArray.from_arrays(at, pa.array(v))], names=["query_id", "list_id", "probe_rank", "qvec"])
+    return run
+
+
+def _centroid_cells(centroids: DataFrame, dim: int):
+    """Centroids beyond the broadcast bound as an index of their own: postings by cell,
+    and per cell its pivot and radius. About sqrt(n_lists) pivots."""
+    c = materialize(centroids.select("list_id", "centroid"), "centroids")
+    n = max(1, math.isqrt(c.count()))
+    if n * dim * 8 > MAX_CENTROID_BYTES:
+        raise ValueError(f"{n} pivots x {dim} dims exceed the bound of a broadcast")
+    pdf = c.orderBy(F.xxhash64("list_id"), "list_id").limit(n).toPandas()
+    pivots = _stack(pdf["centroid"], dim)
+    bc = centroids.sparkSession.sparkContext.broadcast(pivots)
 
-    def _probe(batches):
-        lids, c = bc.value
+    def nearest(batches):
+        p = bc.value
         for pdf in batches:
-            q = clamp_normalize(_stack(pdf["vec"], dim))
-            order = np.argsort(-seq_dot(q, c), axis=1, kind="stable")[:, :npb]
-            nq = len(pdf)
-            yield pd.DataFrame({
-                "query_id": np.repeat(pdf["query_id"].to_numpy(np.int64), npb),
-                "list_id": lids[order].reshape(-1),
-                "probe_rank": np.tile(np.arange(1, npb + 1), nq),
-                "qvec": [v for v in q for _ in range(npb)]})
-
-    schema = "query_id long, list_id long, probe_rank int, qvec array<double>"
-    return spread(queries.select(F.col("query_id").cast("long"), "vec")).mapInPandas(_probe, schema)
-
-
-def _search_broadcast(queries, postings, centroids, dim, k, n_probe):
-    list_ids, cmat = _centroid_matrix(centroids, dim)
-    pdf = postings.select("list_id", "item_id", "vec").toPandas()
-    lpos = {int(l): i for i, l in enumerate(list_ids)}
-    item_list = np.array([lpos[int(x)] for x in pdf["list_id"]], dtype=np.int64)
-    order = np.argsort(item_list, kind="stable")           # items grouped by list: contiguous ranges
-    item_list = item_list[order]
-    item_ids = pdf["item_id"].to_numpy(np.int64)[order]
-    xmat = _stack(pdf["vec"], dim)[order] if len(order) else np.zeros((0, dim))
-    bounds = np.searchsorted(item_list, np.arange(len(list_ids) + 1))
-    bc = queries.sparkSession.sparkContext.broadcast((list_ids, cmat, item_ids, bounds, xmat))
-    n_lists = len(list_ids)
-    npb = min(n_probe, n_lists)
-    # queries per scoring step so that the (queries x items) float64 matrix stays in budget
-    qb = max(1, min(QUERY_BATCH, SCORE_BUDGET_BYTES // max(1, len(item_ids) * 8)))
-
-    def _search(batches):
-        lids, c, ids, bounds, x = bc.value
-        for pdf_q in batches:
-            for s0 in range(0, len(pdf_q), qb):
-                part = pdf_q.iloc[s0:s0 + qb]
-                q = clamp_normalize(_stack(part["vec"], dim))
-                probed = np.argsort(-seq_dot(q, c), axis=1, kind="stable")[:, :npb]
-                allow = np.zeros((len(part), n_lists), dtype=bool)
-                allow[np.arange(len(part))[:, None], probed] = True
-                # score each list only against the queries that probe it
-                s = np.full((len(part), len(ids)), -np.inf)
-                for li in range(n_lists):
-                    lo, hi = bounds[li], bounds[li + 1]
-                    rows = np.nonzero(allow[:, li])[0]
-                    if hi > lo and len(rows):
-                        s[rows, lo:hi] = seq_dot(q[rows], x[lo:hi])
-                qids = part["query_id"].to_numpy(np.int64)
-                out_q, out_i, out_s, out_r = [], [], [], []
-                for r, cols in top_k_rows(s, ids, k):
-                    out_q.append(np.full(len(cols), qids[r]))
-                    out_i.append(ids[cols])
-                    out_s.append(s[r, cols])
-                    out_r.append(np.arange(1, len(cols) + 1))
-                if out_q:
-                    yield pd.DataFrame({"query_id": np.concatenate(out_q), "item_id": np.concatenate(out_i),
-                                        "score": np.concatenate(out_s),
-                                        "rank": np.concatenate(out_r).astype(np.int32)})
-
-    schema = "query_id long, item_id long, score double, rank int"
-    return spread(queries.select(F.col("query_id").cast("long"), "vec")).mapInPandas(_search, schema)
-
-
-def _search_blocked(queries, postings, centroids, dim, k, n_probe, user_block, item_block):
-    probes = probe(queries, centroids, dim, n_probe)
-    lsize = postings.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_items"))
-    lusers = probes.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_users"))
-    # one row per list: bounded by the n_lists parameter
-    blocks = lsize.join(lusers, "list_id", "inner").select(
-        "list_id", F.ceil(F.col("n_users") / user_block).cast("int").alias("n_ub"),
-        F.ceil(F.col("n_items") / item_block).cast("int").alias("n_ib"))
-    bb = F.broadcast(blocks)
-    qside = probes.join(bb, "list_id", "inner").select(
-        "list_id", F.pmod(portable_hash(F.col("query_id")), F.col("n_ub")).alias("ub"),
-        F.explode(F.sequence(F.lit(0), F.col("n_ib") - 1)).alias("ib"), "query_id", "qvec")
-    iside = postings.join(bb, "list_id", "inner").select(
-        "list_id", F.explode(F.sequence(F.lit(0), F.col("n_ub") - 1)).alias("ub"),
-        F.pmod(portable_hash(F.col("item_id")), F.col("n_ib")).alias("ib"), "item_id", "vec")
-
-    def _score(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(ipdf) == 0:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        q = _stack(qpdf["qvec"], dim)
-        x = _stack(ipdf["vec"], dim)
-        ids = ipdf["item_id"].to_numpy(np.int64)
-        qids = qpdf["query_id"].to_numpy(np.int64)
-        s = seq_dot(q, x)
-        out_q, out_i, out_s = [], [], []
-        for r, cols in top_k_rows(s, ids, k):
-            out_q.append(np.full(len(cols), qids[r]))
-            out_i.append(ids[cols])
-            out_s.append(s[r, cols])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "item_id": np.concatenate(out_i),
-                             "score": np.concatenate(out_s)})
-
-    part = qside.groupBy("list_id", "ub", "ib").cogroup(iside.groupBy("list_id", "ub", "ib")) \
-        .applyInPandas(_score, "query_id long, item_id long, score double")
+            x = _stack(pdf["centroid"], dim)
+            far = np.sqrt(np.maximum(np.square(x).sum(1)[:, None] - 2 * (x @ p.T) + np.square(p).sum(1), 0))
+            cell = np.argmin(far, axis=1) if len(x) else np.zeros(0, np.int64)
+            far = np.sqrt(np.square(x - p[cell]).sum(axis=1))
+            yield pd.DataFrame({"list_id": cell, "item_id": pdf["list_id"].to_numpy(np.int64), "vec": list(x), "far": far})
+
+    cells = materialize(c.mapInPandas(nearest, "list_id long, item_id long, vec array<double>, far double"), "cells")
+    radius = np.zeros(n)
+    for r in cells.groupBy("list_id").agg(F.max("far").alias("far")).collect():      # one row per pivot
+        radius[r["list_id"]] = r["far"]
+    return cells.drop("far"), (np.arange(n), pivots), radius
+
+
+def probe(queries: DataFrame, centroids: DataFrame, dim: int, n_probe: int) -> DataFrame:
+    """Best ``n_probe`` lists per (clamp-normalised) query: ``(query_id, list_id, probe_rank, qvec)``."""
+    found = _centroid_matrix(centroids, dim)
+    if found is not None:
+        rows = _routed(queries, found, dim, n_probe).select("query_id", "qvec", F.posexplode("lists").alias("_p", "list_id")) \
+            .select("query_id", "list_id", (F.col("_p") + 1).alias("probe_rank"), "qvec")
+    else:
+        routed, hits = _probe_cells(queries, centroids, dim, n_probe)
+        rows = hits.join(routed.select("query_id", "qvec"), "query_id").select(
+            "query_id", F.col("item_id").alias("list_id"), F.col("rank").alias("probe_rank"), "qvec")
+    return rows.mapInArrow(_unpacked(dim), "query_id long, list_id long, probe_rank int, qvec array<double>")
+
+
+def _probe_cells(queries: DataFrame, centroids: DataFrame, dim: int, n_probe: int) -> tuple[DataFrame, DataFrame]:
+    cells, pivots, radius = _centroid_cells(centroids, dim)
+    routed = materialize(_routed(queries, pivots, dim, None, radius), "routed")
+    return routed, _search(routed, cells, dim, n_probe, USER_BLOCK, None)
+
+
+_BLOCK = "block long, lists binary, bounds binary, ids binary, mat binary"
+_PACK = "block long, query_ids binary, floors binary, offsets binary, probed binary, qmat binary"
+_HIT = "query_id long, item_id long, score double, rank int"
+
+
+def _pack_items(dim: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        lists, ids = table.column("list_id").to_numpy(), table.column("item_id").to_numpy()
+        order = np.lexsort((ids, lists))
+        own, first = np.unique(lists[order], return_index=True)
+        mat = _doubles(table.column("vec").combine_chunks(), dim)[order]
+        return pa.table({"block": table.column("block").slice(0, 1), "lists": [own.tobytes()],
+                         "bounds": [np.append(first, len(order)).astype(np.int64).tobytes()], "ids": [ids[order].tobytes()], "mat": [mat.tobytes()]},
+                        schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("lists", "bounds", "ids", "mat"))]))
+    return run
+
+
+def _pack_queries(table: pa.Table) -> pa.Table:
+    lists = table.column("lists").combine_chunks()
+    return pa.table({"block": table.column("block").slice(0, 1), "query_ids": [table.column("query_id").to_numpy().tobytes()],
+                     "floors": [table.column("floor").to_numpy().tobytes()], "offsets": [lists.offsets.to_numpy().astype(np.int64).tobytes()],
+                     "probed": [lists.flatten().to_numpy().tobytes()], "qmat": [b"".join(table.column("qvec").to_pylist())]},
+                    schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("query_ids", "floors", "offsets", "probed", "qmat"))]))
+
+
+def _score_blocks(dim: int, k: int) -> Callable:
+    """Rows of one query pack and one item block each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: np.frombuffer(b.column(c)[i].as_buffer(), np.float64 if c in ("mat", "qmat", "floors") else np.int64)
+                       for c in ("lists", "bounds", "ids", "mat", "query_ids", "floors", "offsets", "probed", "qmat")}
+                x, q = row["mat"].reshape(-1, dim), row["qmat"].reshape(-1, dim)
+                allow = np.zeros((len(q), len(row["lists"])), bool)
+                at = np.minimum(np.searchsorted(row["lists"], row["probed"]), len(row["lists"]) - 1)
+                here = row["lists"][at] == row["probed"]
+                allow[np.repeat(np.arange(len(q)), np.diff(row["offsets"]))[here], at[here]] = True
+                step = max(1, SCORE_BUDGET_BYTES // (8 * len(x)))
+                for lo in range(0, len(q), step):
+                    r, c, score, rank = top_k_block(q[lo:lo + step], x, row["ids"], row["bounds"], allow[lo:lo + step], k, row["floors"][lo:lo + step])
+                    yield pa.RecordBatch.from_arrays([pa.array(row["query_ids"][lo + r]), pa.array(row["ids"][c]), pa.array(score),
+                                                      pa.array((rank + 1).astype(np.int32))], names=["query_id", "item_id", "score", "rank"])
+    return run
+
+
+def _blocks(postings: DataFrame, dim: int, block_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """Packed blocks of the postings, which blocks each list is in, and their number."""
+    sizes = postings.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per list
+    sizes = materialize(sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("list_id")) - F.col("_n")), "list_sizes")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    at = F.floor((F.col("_start") + F.pmod(portable_hash(F.col("item_id")), F.col("_n"))) / block_rows)
+    dealt = postings.select("list_id", "item_id", "vec").join(sizes, "list_id").select(at.cast("long").alias("block"), "list_id", "item_id", "vec")
+    spans = sizes.select("list_id", F.explode(F.sequence(
+        F.floor(F.col("_start") / block_rows), F.floor((F.col("_start") + F.col("_n") - 1) / block_rows))).alias("block"))
+    return materialize(dealt.groupBy("block").applyInArrow(_pack_items(dim), _BLOCK), "item_blocks"), spans, -(-total // block_rows)
+
+
+def _search(routed: DataFrame, postings: DataFrame, dim: int, k: int, user_block: int, item_block: int | None) -> DataFrame:
+    """Top-k of routed queries."""
+    hits, final = block_hits(routed, postings, dim, k, user_block, item_block)
+    if final:
+        return hits
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return hits.drop("rank").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")
+
+
+def block_hits(routed: DataFrame, postings: DataFrame, dim: int, k: int, user_block: int, item_block: int | None) -> tuple[DataFrame, bool]:
+    """Rows of each block that can be in a query's top-k, and whether there is but one
+    block, so that their ranks are final. The block with the best list is searched
+    first, then the others whose bound reaches the k-th score found there."""
+    spark = postings.sparkSession
+    items, spans, n_blocks = _blocks(postings, dim, item_block or max(1, BLOCK_BYTES // (8 * dim)))
+    probes = routed.select("query_id", "qvec", F.posexplode(F.arrays_zip("lists", "bounds")).alias("_p", "_l")) \
+        .select("query_id", "qvec", "_p", F.col("_l.lists").alias("list_id"), F.col("_l.bounds").alias("bound"))
+    targets = probes.join(spans, "list_id").groupBy("query_id", "block").agg(
+        F.first("qvec").alias("qvec"), F.collect_list("list_id").alias("lists"), F.min("_p").alias("_p"), F.max("bound").alias("bound"))
+    targets = materialize(targets, "targets")
+    n = spark.sparkContext.defaultParallelism * 4
+
+    def hits(part: DataFrame) -> DataFrame:
+        packs = part.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / user_block).alias("_packs"))
+        rows = part.join(packs, "block").withColumn("pack", F.pmod(F.xxhash64("query_id"), F.col("_packs")))
+        # an explicit partition count is not coalesced: scoring takes far longer than reading
+        packed = rows.select("block", "pack", "query_id", "qvec", "lists", "floor").repartition(n, "block", "pack") \
+            .groupBy("block", "pack").applyInArrow(_pack_queries, _PACK)
+        return packed.join(items, "block").mapInArrow(_score_blocks(dim, k), _HIT)
+    # the lists that a query has in no block are empty: the first list that has rows counts
+    lead = targets.groupBy("query_id").agg(F.min("_p").alias("_first"))
+    targets = targets.join(lead, "query_id") if n_blocks > 1 else targets.withColumn("_first", F.col("_p"))
+    first = hits(targets.where("_p = _first").withColumn("floor", F.lit(float("-inf"))))
+    if n_blocks <= 1:
+        return first, True
+    first = materialize(first, "first_hits")
+    floors = first.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("floor"))
+    rest = targets.where("_p > _first").join(floors, "query_id", "left") \
+        .withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).where("bound >= floor")
+    return first.unionByName(hits(rest)), False
 
 
 def ann_search(queries: DataFrame, postings: DataFrame, centroids: DataFrame, dim: int,
-               k: int = DEFAULT_K, n_probe: int = DEFAULT_N_PROBE,
-               max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-               user_block: int = USER_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+               k: int = DEFAULT_K, n_probe: int = DEFAULT_N_PROBE, user_block: int = USER_BLOCK,
+               item_block: int | None = None) -> DataFrame:
     """Top-k items per query over the ``n_probe`` best lists.
 
     ``queries(query_id, vec)`` -> ``(query_id, item_id, score, rank)``; queries
     are clamp-normalised, slots that cannot be filled are dropped, k is capped
     at the catalogue size implicitly. ``n_probe >= n_lists`` is exact search (J10).
-    """
-    n_items = postings.count()
-    if n_items * dim * 8 <= max_broadcast_bytes:
-        return _search_broadcast(queries, postings, centroids, dim, k, n_probe)
-    return _search_blocked(queries, postings, centroids, dim, k, n_probe, user_block, item_block)
+    ``item_block`` overrides the rows of a block."""
+    found = _centroid_matrix(centroids, dim)
+    if found is not None:
+        routed = _routed(queries, found, dim, n_probe)
+    else:
+        routed, lists = _probe_cells(queries, centroids, dim, n_probe)
+        lists = lists.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("_l")).select(
+            "query_id", F.col("_l.item_id").alias("lists"), F.transform("_l", lambda _: F.lit(float("inf"))).alias("bounds"))
+        routed = routed.select("query_id", "qvec").join(lists, "query_id")
+    return _search(routed, postings, dim, k, user_block, item_block)
 
 
 def ann_batch_search(queries: DataFrame, postings: DataFrame, centroids: DataFrame, dim: int,
@@ -331,11 +457,19 @@ def ann_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
 def save_index(centroids: DataFrame, postings: DataFrame, path: str) -> None:
     """The index is two Parquet tables; postings are partitioned by list so a
     probe reads only its lists' files."""
-    import os
     centroids.write.mode("overwrite").parquet(os.path.join(path, "centroids"))
-    postings.write.mode("overwrite").partitionBy("list_id").parquet(os.path.join(path, "postings"))
+    postings.repartition("list_id", F.pmod(F.xxhash64("item_id"), F.lit(8))).write.mode("overwrite").partitionBy("list_id").parquet(os.path.join(path, "postings"))
 
 
 def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    import os
-    return spark.read.parquet(os.path.join(path, "centroids")), spark.read.parquet(os.path.join(path, "postings"))
+    return (spark.read.parquet(os.path.join(path, "centroids")),
+            spark.read.schema("item_id long, vec array<double>, list_id long").parquet(os.path.join(path, "postings")))
+
+
+def probed_postings(queries: DataFrame, postings: DataFrame, centroids: DataFrame, dim: int, n_probe: int = DEFAULT_N_PROBE) -> DataFrame:
+    """The postings of the lists that any of the queries probes. On a saved index
+    Spark prunes the other lists' files at run time: the probed list ids are a
+    broadcast side of at most one row per list."""
+    live = materialize(probe(queries, centroids, dim, n_probe).select("list_id", "probe_rank"), "probed")
+    live = live.where(F.col("probe_rank") <= n_probe).select("list_id").distinct()
+    return postings.join(live, "list_id", "left_semi")

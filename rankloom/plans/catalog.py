@@ -39,9 +39,11 @@ def register(name: str, sql: str | None = None):
 
         @functools.wraps(fn)
         def run(spark, sf_dir):
-            from rankloom.session import ensure_checkpoint_dir, ship_package
+            from rankloom.session import DEFAULT_CONF, ensure_checkpoint_dir, ship_package
             ensure_checkpoint_dir(spark)
             ship_package(spark)
+            batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+            spark.conf.set(batch, DEFAULT_CONF[batch])
             return fn(spark, sf_dir)
 
         REGISTRY[name] = (run, sql)

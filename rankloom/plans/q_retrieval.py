@@ -6,6 +6,8 @@ the work grows with the table. Centroids are the caller-given label means.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import norm
@@ -51,11 +53,22 @@ def ann_search(spark, sf_dir):
 
 @register("ann_search_blocked", _IVF(N_PROBE, K) + "SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits")
 def ann_search_blocked(spark, sf_dir):
-    """R4 through the blocked (list, user block, item block) path -- the plan used
-    when the postings are too large to broadcast; forced here with small blocks."""
+    """R4 over many small blocks: lists span blocks, and later blocks return only
+    rows that reach the score found in the first ones."""
     e, cent, post = _index(spark, sf_dir)
-    return rounded(R.ann_search(_queries(e), post, cent, DIM, K, N_PROBE, max_broadcast_bytes=0,
-                                user_block=64, item_block=32))
+    return rounded(R.ann_search(_queries(e), post, cent, DIM, K, N_PROBE, user_block=64, item_block=32))
+
+
+@register("saved_index_search", _IVF(N_PROBE, K) + "SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits")
+def saved_index_search(spark, sf_dir):
+    """R9 + R4: the index is saved, loaded, and searched in the probed lists only."""
+    from rankloom.session import scratch_dir
+    e, cent, post = _index(spark, sf_dir)
+    path = f"{scratch_dir(spark, 'index')}/{uuid.uuid4().hex}"
+    R.save_index(cent, post, path)
+    cent, post = R.load_index(spark, path)
+    post = R.probed_postings(_queries(e), post, cent, DIM, N_PROBE)
+    return rounded(R.ann_search(_queries(e), post, cent, DIM, K, N_PROBE))
 
 
 @register("exact_search", _IVF(10_000, K) + "SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits")

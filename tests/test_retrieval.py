@@ -50,10 +50,10 @@ def test_all_lists_equals_exact(spark, index):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_blocked_path_equals_broadcast_path(index):
+def test_many_blocks_equal_one_block(index):
     e, cent, post = index
     a = R.ann_search(_q(e), post, cent, DIM, 15, 2).select("query_id", "item_id", "rank")
-    b = R.ann_search(_q(e), post, cent, DIM, 15, 2, max_broadcast_bytes=0, user_block=37, item_block=23) \
+    b = R.ann_search(_q(e), post, cent, DIM, 15, 2, user_block=37, item_block=23) \
         .select("query_id", "item_id", "rank")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
@@ -95,3 +95,95 @@ def test_seq_dot_matches_numpy():
     rng = np.random.default_rng(0)
     q, x = rng.normal(size=(5, 7)), rng.normal(size=(9, 7))
     assert np.allclose(R.seq_dot(q, x), q @ x.T)
+
+
+def test_rounding_margin_covers_any_order():
+    rng = np.random.default_rng(1)
+    for scale in (1e-8, 1.0, 1e6):
+        q, x = rng.normal(size=(40, 64)) * scale, rng.normal(size=(300, 64))
+        assert (np.abs(q @ x.T - R.seq_dot(q, x)) <= R.rounding_margin(q, x)[:, None]).all()
+        back = R.seq_dot(q[:, ::-1], x[:, ::-1])
+        assert (np.abs(back - R.seq_dot(q, x)) <= R.rounding_margin(q, x)[:, None]).all()
+
+
+def test_block_top_k_is_exact():
+    """Many equal rows: ties must come out by id at any floor."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 9))
+    x[50:120] = x[50]
+    ids = rng.permutation(1000)[:200]
+    q = np.concatenate((x[50:52], rng.normal(size=(6, 9))))
+    bounds, allow = np.array([0, 90, 200]), np.ones((8, 2), bool)
+    allow[3, 0] = False
+    for k in (1, 10, 75, 500):
+        score = R.seq_dot(q, x)
+        score[3, :90] = -np.inf
+        for floor in (np.full(8, -np.inf), np.sort(score, axis=1)[:, -20]):
+            r, c, got, rank = R.top_k_block(q, x, ids, bounds, allow, k, floor)
+            for i in range(8):
+                best = sorted((j for j in range(200) if score[i, j] >= floor[i] and score[i, j] > -np.inf), key=lambda j: (-score[i, j], ids[j]))[:k]
+                assert c[r == i].tolist() == best and rank[r == i].tolist() == list(range(len(best)))
+                assert (got[r == i] == score[i, best]).all()
+
+
+def test_blocks_return_few_rows(spark):
+    """Lists apart from each other: the first block's k-th score keeps the other blocks
+    from returning k rows each."""
+    rng = np.random.default_rng(6)
+    rows = [(40 * c + i, (np.eye(8)[c] + rng.normal(size=8) * 0.05).tolist()) for c in range(8) for i in range(40)]
+    v = spark.createDataFrame(rows, "item_id long, vec array<double>")
+    cent = R.basis_centroids(spark, 8)
+    post = R.assign_lists(v, cent, 8).cache()
+    hits, final = R.block_hits(R._routed(_q(v), R._centroid_matrix(cent, 8), 8, None), post, 8, 10, 64, 40)
+    assert not final and 10 * 320 <= hits.count() <= 2 * 10 * 320
+    found = {(r["query_id"], r["item_id"]) for r in R.exact_search(_q(v), post, cent, 8, 10, item_block=40).collect()}
+    x = R.clamp_normalize(np.array([r[1] for r in rows]))
+    score = R.seq_dot(x, x)
+    assert found == {(i, j) for i in range(320) for j in sorted(range(320), key=lambda j: (-score[i, j], j))[:10]}
+
+
+def test_lists_beyond_the_broadcast_bound(spark, index, monkeypatch):
+    e, cent, post = index
+    a = R.ann_search(_q(e), post, cent, DIM, 10, 3).select("query_id", "item_id", "rank").collect()
+    p = R.probe(_q(e), cent, DIM, 3).select("query_id", "list_id", "probe_rank").collect()
+    monkeypatch.setattr(R, "MAX_CENTROID_BYTES", DIM * 8 * 5)
+    assert R._centroid_matrix(cent, DIM) is None
+    assert sorted(R.probe(_q(e), cent, DIM, 3).select("query_id", "list_id", "probe_rank").collect()) == sorted(p)
+    assert sorted(R.assign_lists(e, cent, DIM).select("list_id", "item_id").collect()) == sorted(post.select("list_id", "item_id").collect())
+    assert sorted(R.ann_search(_q(e), post, cent, DIM, 10, 3).select("query_id", "item_id", "rank").collect()) == sorted(a)
+
+
+def test_fifty_thousand_lists(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    c, v = rng.normal(size=(50_000, 4)), rng.normal(size=(60, 4))
+    cent = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "list_id long, centroid array<double>")
+    vec = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, vec array<double>")
+    monkeypatch.setattr(R, "MAX_CENTROID_BYTES", 1 << 20)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 1 << 18)
+    best = np.argmax(R.seq_dot(R.clamp_normalize(v), c), axis=1)
+    got = {r["item_id"]: r["list_id"] for r in R.assign_lists(vec, cent, 4).collect()}
+    assert got == dict(enumerate(best.tolist()))
+
+
+def test_wrong_width_raises(spark, index):
+    e, cent, post = index
+    bad = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "query_id long, vec array<double>")
+    with pytest.raises(Exception, match="must have 64 values"):
+        R.ann_search(bad, post, cent, DIM, 5, 2).collect()
+    with pytest.raises(Exception, match="must have 64 values"):
+        R.assign_lists(bad.withColumnRenamed("query_id", "item_id"), cent, DIM).collect()
+
+
+def test_saved_index_reads_probed_lists_only(spark, index, tmp_path):
+    e, cent, post = index
+    R.save_index(cent, post, str(tmp_path))
+    c2, p2 = R.load_index(spark, str(tmp_path))
+    q = _q(e).limit(1)
+    live = R.probed_postings(q, p2, c2, DIM, 2)
+    plan = live._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
+    lists = {r["list_id"] for r in R.probe(q, c2, DIM, 2).collect()}
+    assert {r["list_id"] for r in live.select("list_id").distinct().collect()} <= lists and len(lists) == 2
+    assert live.count() == post.where(F.col("list_id").isin(list(lists))).count()
+    a = R.ann_search(q, live, c2, DIM, 10, 2).select("query_id", "item_id", "rank").collect()
+    assert sorted(a) == sorted(R.ann_search(q, post, cent, DIM, 10, 2).select("query_id", "item_id", "rank").collect())
