@@ -117,7 +117,7 @@ def fallback_lists(users_without: DataFrame, ratings: DataFrame, k: int) -> Data
     # k rows: attach them to every listed user by an array literal of structs built
     # from the bounded top-k frame (scalar subquery) -- no join on a constant key.
     arr = top.select(F.sort_array(F.collect_list(F.struct("rank", "item_id", "score", "retrieval_score")))).scalar()
-    return users_without.select("user_id", F.explode(arr).alias("r")).select("user_id", "r.*")
+    return users_without.withColumn("r", F.explode(arr)).select(*users_without.columns, "r.*")
 
 
 def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, user_feats: DataFrame,
@@ -151,27 +151,25 @@ def recommend_batch(ratings: DataFrame, users: DataFrame, movies: DataFrame, use
     # written once (k rows per user): read by the output and by the V6 check below
     warm = materialize(top_k_per_user(scored.select("user_id", "item_id", "score", "retrieval_score"), k)
                        .withColumn("source", F.lit("model")), "warm_lists")
-    cold = fallback_lists(cold_users(users, uvec), ratings, k).withColumn("source", F.lit("popularity"))
     # V6: warm users for whom the model produced no row also get the fallback list
     empty = uvec.select("user_id").join(users.select("user_id"), "user_id", "left_semi") \
         .join(warm.select("user_id"), "user_id", "left_anti")
-    degraded = fallback_lists(empty, ratings, k).withColumn("source", F.lit("fallback"))
-    allr = warm.select("user_id", "rank", "item_id", "score", "retrieval_score", "source") \
-        .unionByName(cold.select("user_id", "rank", "item_id", "score", "retrieval_score", "source")) \
-        .unionByName(degraded.select("user_id", "rank", "item_id", "score", "retrieval_score", "source"))
+    without = cold_users(users, uvec).withColumn("source", F.lit("popularity")).unionByName(empty.withColumn("source", F.lit("fallback")))
+    cols = ["user_id", "rank", "item_id", "score", "retrieval_score", "source"]
+    allr = warm.select(*cols).unionByName(fallback_lists(without, ratings, k).select(*cols))
     return enrich(allr, movies).select("user_id", "rank", "item_id", "title", "score", "retrieval_score",
                                        "genres", "source")
 
 
-def serve_with_cache(requests: DataFrame, cached: DataFrame, compute, strict: bool = True) -> DataFrame:
+def serve_with_cache(requests: DataFrame, cached: DataFrame, compute, strict: bool = True, write_back=None) -> DataFrame:
     """V4: split requests ``(request_id, user_id, k)`` into cache hits and misses.
 
     A cached list is a hit only if it can answer k (``size >= k`` or built with
     ``k_built >= k``; ``strict=False`` accepts any live list, as the reference
     does). Hits are truncated to k; misses are computed by
     ``compute(users) -> recs(user_id, rank, item_id, title, score, retrieval_score, genres)``
-    for the largest k asked and cut per request. The result can be written
-    back with ``store.cache_recs`` (the reference never fills the cache).
+    for the largest k asked and cut per request. ``write_back(recs)`` is given the
+    computed lists of the misses (e.g. to ``store.cache_recs``).
     """
     j = requests.join(cached, "user_id", "left")
     size_ok = F.size("recs") >= F.col("k")
@@ -184,20 +182,30 @@ def serve_with_cache(requests: DataFrame, cached: DataFrame, compute, strict: bo
         .select("request_id", "user_id", "r.*").withColumn("source", F.lit("cache"))
     misses = j.filter(~F.col("_hit")).select("request_id", "user_id", "k")
     fresh = compute(misses.select("user_id").distinct())
+    if write_back is not None:
+        from rankloom.session import materialize
+        fresh = materialize(fresh, "fresh_lists")      # read by the answer and by the write
+        write_back(fresh)
     served = misses.join(fresh, "user_id", "inner").filter(F.col("rank") <= F.col("k")).drop("k") \
         .withColumn("source", F.lit("model"))
     cols = ["request_id", "user_id", "rank", "item_id", "title", "score", "retrieval_score", "genres", "source"]
     return hits.select(*cols).unionByName(served.select(*cols))
 
 
-def responses(recs: DataFrame, digits: int = 6) -> DataFrame:
+def responses(recs: DataFrame, digits: int = 6, candidates: DataFrame | None = None, latency: DataFrame | None = None) -> DataFrame:
     """V7 + F22: one response per user -- the rank-ordered list of served rows, scores
-    rounded to 6 places, plus the candidate count."""
+    rounded to 6 places, their number and whether they came from the cache. With
+    ``candidates(user_id, ...)`` the number of candidates (0 for a user without), with
+    ``latency(user_id, latency_ms)`` the time taken."""
     items = F.sort_array(F.collect_list(F.struct(
         "rank", "item_id", "title", F.round("score", digits).alias("score"),
         F.round("retrieval_score", digits).alias("retrieval_score"), "genres")))
-    return recs.groupBy("user_id").agg(items.alias("recommendations"), F.first("source").alias("source"),
-                                       F.count(F.lit(1)).alias("n_results"))
+    out = recs.groupBy("user_id").agg(items.alias("recommendations"), F.first("source").alias("source"),
+                                      F.count(F.lit(1)).alias("n_results"), F.max(F.col("source") == "cache").alias("cache_hit"))
+    if candidates is not None:
+        n = candidates.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+        out = out.join(n, "user_id", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    return out if latency is None else out.join(latency.select("user_id", "latency_ms"), "user_id", "left")
 
 
 def request_records(served: DataFrame, latency: DataFrame | None = None) -> DataFrame:

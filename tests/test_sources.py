@@ -59,3 +59,72 @@ def test_exact_percentiles_match_numpy(spark):
     for e in ("/a", "/b"):
         v = [x[2] for x in rows if x[1] == e and x[2] is not None]
         assert got[e][:3] == pytest.approx(tuple(np.percentile(v, [50, 95, 99]))) and got[e][3] == len(v)
+
+
+def _table(spark, path, rows, as_of="2024-01-01 00:00:00"):
+    return store.put(spark.createDataFrame(rows, "user_id long, x double"), path, "user", "user_id", as_of)
+
+
+def _values(df):
+    return {r["entity_id"]: r["payload"]["x"] for r in df.collect()}
+
+
+def test_readers_see_one_version(spark):
+    path, now = store.new_store_path(spark, "versions"), "2024-01-01 00:10:00"
+    _table(spark, path, [(i, float(i)) for i in range(50)])
+    _table(spark, path, [(1, -1.0)], "2024-01-01 00:01:00")
+    before = store.read_live(spark, path, "user", now)
+    assert store.versions(spark, path, "user") == [1, 2]
+    out = store.compact(spark, path, "user", now)
+    _table(spark, path, [(2, -2.0)], "2024-01-01 00:02:00")
+    store.flush(spark, path, "user")
+    assert _values(before) == {i: -1.0 if i == 1 else float(i) for i in range(50)}       # opened before: unchanged
+    assert store.read_live(spark, path, "user", now).count() == 0
+    assert _values(store.read_live(spark, path, "user", now, version=4))[2] == -2.0
+    assert {r["entity_id"] for r in spark.read.parquet(out).collect()} == set(range(50))
+    assert store.vacuum(spark, path, "user", keep=1) == 4 and store.versions(spark, path, "user") == [5]
+    _table(spark, path, [(9, 9.0)])
+    assert _values(store.read_live(spark, path, "user", now)) == {9: 9.0}
+
+
+def test_compaction_keeps_what_is_put_meanwhile(spark, monkeypatch):
+    path, now = store.new_store_path(spark, "races"), "2024-01-01 00:10:00"
+    _table(spark, path, [(1, 1.0), (2, 2.0)])
+    write = store._write_part
+
+    def slow(rows, p, kind):
+        monkeypatch.setattr(store, "_write_part", write)
+        _table(spark, path, [(2, 20.0), (3, 30.0)], "2024-01-01 00:05:00")      # between the read and the commit
+        return write(rows, p, kind)
+    monkeypatch.setattr(store, "_write_part", slow)
+    store.compact(spark, path, "user", now)
+    assert _values(store.read_live(spark, path, "user", now)) == {1: 1.0, 2: 20.0, 3: 30.0}
+    assert len(store.manifest(spark, path, "user")["parts"]) == 2
+
+
+def test_two_writers_of_one_version(spark, monkeypatch):
+    """The second to commit finds the version taken and builds on it."""
+    path, now = store.new_store_path(spark, "writers"), "2024-01-01 00:10:00"
+    _table(spark, path, [(1, 1.0)])
+    real, first = store.manifest, []
+
+    def late(spark, p, kind, version=None):
+        found = real(spark, p, kind, version)
+        if not first and version is None:
+            first.append(1)
+            monkeypatch.setattr(store, "manifest", real)
+            _table(spark, path, [(2, 2.0)])             # another writer, between read and rename
+        return found
+    monkeypatch.setattr(store, "manifest", late)
+    assert store._commit(spark, path, "user", lambda now: {**now, "parts": [p for p in now["parts"]]}) == 3
+    assert _values(store.read_live(spark, path, "user", now)) == {1: 1.0, 2: 2.0}
+
+
+def test_get_reads_one_bucket_and_pushes_the_id(spark):
+    path = store.new_store_path(spark, "point")
+    _table(spark, path, [(i, float(i)) for i in range(300)])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = store.get(spark, path, "user", 8, "2024-01-01 00:10:00")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(entity_id,8)" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]
+    assert store.get(spark, path, "user", 8, "2024-01-01 00:10:00").first()["payload"]["x"] == 8.0
