@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import telemetry as TM
+from rankloom.streaming import jobs
 
 
 def test_late_row_dropped_by_watermark(spark):
@@ -82,3 +83,47 @@ def test_sessions_chunked_equal_session_window(spark, sf):
     a = TM.sessions(req, 30, chunk=3)
     b = TM.sessions_windowed(req, "30 minutes")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _events(spark, rows):
+    """Events of ``(id, minute, user, seconds of latency)``."""
+    from datetime import datetime, timedelta
+    return spark.createDataFrame([(i, datetime(2024, 1, 1) + timedelta(minutes=m), u, "view", s * 1000.0, None) for i, m, u, s in rows], EVENTS)
+
+
+def test_session_state_spans_batches_and_late_rows_go(spark):
+    """One session over three batches with a restart before each; an event behind the
+    watermark is dropped; a session is out only when the watermark has passed it."""
+    steps = [_events(spark, [(1, 0, 7, 1), (2, 20, 7, 1)]), _events(spark, [(3, 45, 7, 1), (4, 200, 8, 1)]),
+             _events(spark, [(5, 60, 7, 1), (6, 210, 7, 1)]), _events(spark, [(7, 2000, 9, 1)])]
+    path = jobs.run_in_steps(lambda f: jobs.sessions_stream(spark, f, steps[0].schema), steps, "sessions_test")
+    got = {(r.user_id, r.n_events, r.session_start.hour * 60 + r.session_start.minute, r._batch) for r in spark.read.parquet(path).collect()}
+    assert {g[:3] for g in got} == {(7, 3, 0), (8, 1, 200), (7, 1, 210)}       # event 5 came 140 minutes late
+    assert len({g[3] for g in got}) > 1
+
+
+def test_gauge_state_spans_batches(spark):
+    rows = [(i, i * 2, 1, 600 if i % 3 else 5) for i in range(40)]
+    ev = _events(spark, rows)
+    steps = [*jobs.time_steps(ev, "ts", 3), jobs.closing_rows(ev, "ts", value=0.0)]
+    assert sum(s.count() for s in steps[:3]) == 40 and all(s.count() for s in steps)
+    path = jobs.run_in_steps(lambda f: jobs.active_stream(spark, f, ev.schema), steps, "gauge_test")
+    got = {r.bucket_start: (r.net, r.active) for r in spark.read.parquet(path).collect()}
+    change = {}
+    for _, m, _, s in rows:
+        for at, d in ((m, 1), (m + s // 60, -1)):
+            change[at] = change.get(at, 0) + d
+    total, expect = 0, {}
+    for at in sorted(change):
+        total += change[at]
+        expect[at] = (change[at], total)
+    assert {(k.hour * 60 + k.minute): v for k, v in got.items()} == expect
+
+
+def test_time_steps_keep_every_row(spark):
+    ev = _events(spark, [(i, i % 5, 1, 1) for i in range(50)]).unionByName(_events(spark, []))
+    ev = ev.unionByName(spark.createDataFrame([(99, None, 1, "view", 1.0, None)], EVENTS))
+    assert sorted(r.event_id for s in jobs.time_steps(ev, "ts", 4) for r in s.collect()) == [*range(50), 99]
