@@ -9,11 +9,11 @@ substring operators (`substring_sam`, `suffix_bwt`).
    copies become one *distinct piece* with a count and its first place.
 4. Distinct pieces that can share windows with others (or have copies) need a
    look at single windows. Their texts are cut out once and dealt to shards by
-   seed; pieces of a
-   seed with very many distinct pieces are cut into single windows. Equal
-   windows are grouped by content with map-side aggregation, and one of them is
-   dealt with the number of its places and the first one; its verdict is joined
-   back to all. So no shard grows with a hot seed or a hot window.
+   seed. Pieces of a seed with very many distinct pieces are cut into parts by the
+   seed's place in a window (`_hot_parts`): parts that cannot share a window get
+   different keys, equal ones are grouped by content with map-side aggregation, and
+   one of them is dealt with the number of its places and the first one. So no shard
+   grows with a hot seed or a hot window, and a piece has few parts.
 
 The shards are then solved by the operator's own index structure.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import common
-from rankloom.llm.textops import Rolling, Words, byte_values, chunks, seeds
+from rankloom.llm.textops import Rolling, Words, byte_values, chunks, mix, seeds
 
-#: distinct pieces that one shard holds on average, and of one seed before its pieces are cut into windows
+#: distinct pieces that one shard holds on average, and of one seed or key before its pieces are cut further
 SHARD_PIECES = 2000
 HOT_PIECES = 1000
+SPLIT = 4    # parts of a piece, and of a part
 _LOC = 256   # windows of one piece stay below
 
 
@@ -123,54 +125,102 @@ def _cut(unit: str, window: int) -> Callable:
     return run
 
 
-def _windows(unit: str, window: int) -> Callable:
-    """Pieces of hot seeds, cut into their single windows, keyed by content."""
+def _seed_place(unit: str, k: int, window: int) -> Callable:
+    """Whole pieces as parts: ``at``, the place of the seed in the piece, and the
+    range ``a <= place of the seed in a window < b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bodies = b.column("body").to_pylist()
-            locs = b.column("loc").to_numpy()
+            bodies, seed = b.column("body").to_pylist(), b.column("seed").to_numpy().view(np.uint64)
             for lo, hi in common.pieces_of(len(bodies), 512):
-                values, owner, first, w = _values(bodies[lo:hi], unit)
-                h = Rolling(values).windows(window)
-                ok = np.flatnonzero(owner[:len(h)] == owner[window - 1:window - 1 + len(h)])
-                rows = owner[ok]
-                if unit == "word":
-                    s, e = w.start[ok], w.end[ok + window - 1]
-                    buf = w.buf.tobytes()
-                    body = [buf[x:y] for x, y in zip(s.tolist(), e.tolist())]
-                else:
-                    buf = b"".join(bodies[lo:hi])
-                    body = [buf[x:x + window] for x in ok.tolist()]
-                at = pa.array(rows + lo)
-                loc = (locs[rows + lo] // _LOC + ok - first[rows]) * _LOC + 1
+                values, owner, first, _ = _values(bodies[lo:hi], unit)
+                grams = Rolling(values).windows(k)
+                hit = np.flatnonzero(grams == seed[lo:hi][owner[:len(grams)]])
+                at = np.full(hi - lo, len(values))
+                np.minimum.at(at, owner[hit], hit - first[owner[hit]])     # the leftmost, as seeds() has it
+                cols = {c: b.column(c).slice(lo, hi - lo) for c in _ROW}
                 yield pa.RecordBatch.from_arrays(
-                    [common.longs(h[ok]), b.column("seed").take(at), b.column("piece").take(at), b.column("copies").take(at),
-                     common.longs(loc), b.column("doc_id").take(at), b.column("_tk").take(at), pa.array(body, pa.binary())],
-                    names=["key", "seed", "piece", "copies", "loc", "doc_id", "_tk", "body"])
+                    [*cols.values(), common.longs(np.zeros(hi - lo, np.int64)), common.longs(np.full(hi - lo, window - k + 1)),
+                     common.longs(at)], names=[*_ROW, "a", "b", "at"])
     return run
 
 
-_PIECE = "key long, seed long, piece long, copies long, loc long, doc_id long, _tk long, body binary"
-
-
-def _distinct_windows(single: DataFrame) -> DataFrame:
-    """One row per content of the single windows: the places it has, its first
-    place, and its text. ``key`` and ``same``, two hashes of the content, name
-    it (as ``seed, piece``)."""
-    out = single.groupBy("key", "same").agg(
-        F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "_tk", "loc")).alias("rep"), F.first("body").alias("body"))
-    return out.select("key", F.col("key").alias("seed"), F.col("same").alias("piece"), "copies", F.col("rep.loc").alias("loc"),
-                      F.col("rep.doc_id").alias("doc_id"), F.col("rep._tk").alias("_tk"), "body", F.lit(True).alias("hot"))
+def _split(unit: str, window: int) -> Callable:
+    """Each part cut into ``SPLIT`` narrower ranges of the seed's place. ``key`` names
+    seed, range and the values that all windows of that range contain."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = b.column("body").to_pylist()
+            num = {c: b.column(c).to_numpy() for c in ("loc", "a", "b", "at")}
+            seed = b.column("seed").to_numpy().view(np.uint64)
+            for lo, hi in common.pieces_of(len(bodies), 512):
+                values, _, first, _ = _values(bodies[lo:hi], unit)
+                cut, body = [], []
+                for r in range(lo, hi):
+                    loc, low, high, at = (int(num[c][r]) for c in ("loc", "a", "b", "at"))
+                    units = bodies[r].split(b" ") if unit == "word" else bodies[r]
+                    step = -(-(high - low) // SPLIT)
+                    for x in range(low, high, step):
+                        y = min(high, x + step)
+                        i, j = max(0, at - y + 1), min(loc % _LOC - 1, at - x)
+                        if i <= j:
+                            cut.append((r, x, y, (loc // _LOC + i) * _LOC + j - i + 1, at - i,
+                                        first[r - lo] + at - x, first[r - lo] + at - y + 1 + window))
+                            part = units[i:j + window]
+                            body.append(b" ".join(part) if unit == "word" else part)
+                if not cut:
+                    continue
+                r, x, y, loc, at, core, stop = np.array(cut, np.int64).T
+                key = mix(Rolling(values).slices(core, stop) ^ mix(seed[r] + (x * _LOC + y).astype(np.uint64)))
+                rows = pa.array(r)
+                own = {c: b.column(c).take(rows) for c in _ROW}
+                own |= {"loc": common.longs(loc), "body": pa.array(body, pa.binary())}
+                yield pa.RecordBatch.from_arrays([*own.values(), *map(common.longs, (x, y, at, key))], names=[*_ROW, "a", "b", "at", "key"])
+    return run
 
 
-def shards(docs: DataFrame, distinct: DataFrame, unit: str, window: int) -> tuple[DataFrame, DataFrame]:
+_ROW = ("seed", "piece", "copies", "loc", "doc_id", "_tk", "body")
+_PART = "seed long, piece long, copies long, loc long, doc_id long, _tk long, body binary, a long, b long, at long"
+
+
+def _hot_parts(pieces: DataFrame, unit: str, k: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces of hot seeds, narrowed until parts with one key are few.
+
+    All windows of a part have the seed in one range of places, so they share the
+    values around it: parts that differ there cannot have a window in common and get
+    different keys, and a key of one place is done. Keys with many distinct parts are
+    narrowed further, down to single windows. Equal windows have equal keys at every
+    level.
+
+    Returns the distinct parts (``key, same``, their number of places, the first one,
+    their text), and the parts of all pieces by ``key, same``."""
+    parts = pieces.mapInArrow(_seed_place(unit, k, window), _PART)
+    distinct, places = [], []
+    while True:
+        parts = common.materialize(parts.mapInArrow(_split(unit, window), _PART + ", key long").withColumn("same", F.xxhash64("body")), "parts")
+        once = parts.groupBy("key", "same").agg(
+            F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "_tk", "loc")).alias("rep"), F.first("body").alias("body"),
+            F.max(F.col("b") - F.col("a")).alias("width"))
+        once = common.materialize(once, "once")
+        keys = once.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_c"), F.max("width").alias("_w"))
+        hot = (F.col("_n") > HOT_PIECES) & (F.col("_w") > 1)
+        keys = common.materialize(keys.where("_c > 1").select("key", hot.alias("_hot")), "keys")
+        final = keys.where("NOT _hot").select("key")
+        distinct.append(once.join(final, "key", "left_semi").drop("width"))
+        places.append(parts.join(final, "key", "left_semi").select("key", "same", "seed", "piece", "loc", "doc_id", "_tk"))
+        again = keys.where("_hot").select("key")
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, distinct), reduce(DataFrame.unionByName, places)
+        parts = parts.join(again, "key", "left_semi").drop("key", "same")
+
+
+def shards(docs: DataFrame, distinct: DataFrame, unit: str, window: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts of the given distinct pieces, with the number of their ``shard``:
     pieces that share a window share the shard. Shards have a bounded size.
     ``seed, piece`` name the piece that a text is from, ``loc`` its place.
 
-    A text that is ``hot`` is one window for all that equal it; these are the
-    second result: ``key, same`` (the text's ``seed, piece``), the ``seed,
-    piece`` that the window is from, and its place."""
+    A text that is ``hot`` is a part for all that equal it; these are the second
+    result: ``key, same`` (the text's ``seed, piece``), the ``seed, piece`` that the
+    part is from, and its place. The third has the first place of each text."""
     hot = distinct.groupBy("seed").count().where(F.col("count") > HOT_PIECES).select("seed", F.lit(True).alias("_hot"))
     want = distinct.join(hot, "seed", "left").select(
         F.col("rep.doc_id").alias("doc_id"), F.col("rep._tk").alias("_tk"),
@@ -180,15 +230,15 @@ def shards(docs: DataFrame, distinct: DataFrame, unit: str, window: int) -> tupl
     texts = common.packed(docs)
     both = texts.join(want, common.same_key(texts, want)).select(texts["doc_id"], texts["_tk"], "z", "want")
     cut = common.materialize(both.mapInArrow(_cut(unit, window), _CUT), "cut")
-    plain = cut.where("not hot").select(F.col("seed").alias("key"), *cut.drop("hot").columns)
-    single = cut.where("hot").drop("hot").mapInArrow(_windows(unit, window), _PIECE)
-    single = single.withColumn("same", F.xxhash64("body"))
-    once = common.materialize(_distinct_windows(single), "windows")
-    n = max(1, math.ceil((plain.count() + once.count()) / SHARD_PIECES))
+    plain = cut.where("not hot").select(F.col("seed").alias("key"), *cut.columns)
     # a repeated row of the table gives its piece twice: one is enough
-    rows = plain.withColumn("hot", F.lit(False)).unionByName(once)
-    return (rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n))),
-            single.select("key", "same", "seed", "piece", "loc", "doc_id", "_tk"))
+    once, places = _hot_parts(cut.where("hot").select(*_ROW).dropDuplicates(["seed", "piece"]), unit, k, window)
+    once = common.materialize(once.select(
+        "key", F.col("key").alias("seed"), F.col("same").alias("piece"), "copies", F.col("rep.loc").alias("loc"),
+        F.lit(True).alias("hot"), F.col("rep.doc_id").alias("doc_id"), F.col("rep._tk").alias("_tk"), "body"), "windows")
+    n = max(1, math.ceil((plain.count() + once.count()) / SHARD_PIECES))
+    first = once.select("key", F.col("piece").alias("same"), "doc_id", "_tk", "loc")
+    return plain.unionByName(once).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n))), places, first
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:

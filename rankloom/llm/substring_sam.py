@@ -147,19 +147,22 @@ def _solve(window: int) -> Callable:
 
 def removal_runs(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
     """Runs of windows that start at two places or more: ``doc_id, _tk, loc``."""
-    occ = passages.repeated_pieces(docs, "word", min(seed_words, window), window)
+    k = min(seed_words, window)
+    occ = passages.repeated_pieces(docs, "word", k, window)
     distinct = passages.distinct_pieces(occ)
-    shard, windows = passages.shards(docs, distinct.where("multi or copies > 1"), "word", window)
+    shard, parts, first = passages.shards(docs, distinct.where("multi or copies > 1"), "word", window, k)
     found = common.materialize(shard.groupBy("shard").applyInArrow(
         _solve(window), "seed long, piece long, loc long, hot boolean"), "found")
-    # the verdict on one window is that on all that equal it
-    hot = found.where("hot").select(F.col("seed").alias("key"), F.col("piece").alias("same"))
-    hot = windows.join(hot, ["key", "same"]).select("seed", "piece", "loc")
+    # the verdict on a part is that on all that equal it
+    unit = passages._LOC
+    hot = found.where("hot").select(F.col("seed").alias("key"), F.col("piece").alias("same"), F.col("loc").alias("_found")) \
+        .join(first.select("key", "same", F.col("loc").alias("_at")), ["key", "same"])
+    hot = parts.join(hot, ["key", "same"]).select("seed", "piece", (
+        F.col("_found") + (F.floor(F.col("loc") / unit) - F.floor(F.col("_at") / unit)) * unit).cast("long").alias("loc"))
     runs = found.where("not hot").select("seed", "piece", "loc").unionByName(hot)
     runs = runs.join(distinct.select("seed", "piece", F.col("rep.loc").alias("_first")), ["seed", "piece"])
     runs = common.materialize(runs.select("seed", "piece", F.col("loc").alias("_run"), "_first"), "runs")
     # a run lies as far from the start of every copy of its passage as from the first one's
-    unit = passages._LOC
     moved = F.col("_run") + (F.floor(F.col("loc") / unit) - F.floor(F.col("_first") / unit)) * unit
     return occ.join(runs, ["seed", "piece"]).select("doc_id", "_tk", moved.cast("long").alias("loc"))
 

@@ -97,8 +97,7 @@ def common_prefix_groups(text: np.ndarray, min_length: int) -> tuple[np.ndarray,
 
 def _solve(min_bytes: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        """Windows of one shard that also start at an earlier place, and the
-        earliest place of each ``hot`` one, which stands for equal ones."""
+        """Windows of one shard that also start at an earlier place."""
         table = table.combine_chunks()
         bodies = table.column("body").to_pylist()
         lens = np.fromiter((len(b) for b in bodies), np.int64, len(bodies))
@@ -125,9 +124,6 @@ def _solve(min_bytes: int) -> Callable:
         later = (rank[piece][by] != rank[piece][lead]) | (at[by] != at[lead])
         gone = np.zeros(len(piece), bool)
         gone[by[same & later]] = True
-        hot = table.column("hot").to_numpy()[piece]
-        gone &= ~hot
-        stands, place = by[hot[by]], lead[hot[by]]
         idx = np.flatnonzero(gone)
         if len(idx):
             cut = np.concatenate(([True], (idx[1:] != idx[:-1] + 1) | (piece[idx][1:] != piece[idx][:-1])))
@@ -136,32 +132,27 @@ def _solve(min_bytes: int) -> Callable:
             idx = idx[first]
         else:
             n = idx
-        rows = pa.array(np.concatenate((piece[idx], piece[stands])))
-        places = pa.array(np.concatenate((piece[idx], piece[place])))
-        loc = np.concatenate((at[idx] * passages._LOC + n, at[place] * passages._LOC + 1))
-        return pa.table({"hot": table.column("hot").take(rows), "key": table.column("seed").take(rows),
-                         "same": table.column("piece").take(rows), "doc_id": table.column("doc_id").take(places),
-                         "_tk": table.column("_tk").take(places), "loc": common.longs(loc)})
+        rows = pa.array(piece[idx])
+        return pa.table({"doc_id": table.column("doc_id").take(rows), "_tk": table.column("_tk").take(rows),
+                         "loc": common.longs(at[idx] * passages._LOC + n)})
     return run
 
 
 def removal_runs(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES) -> DataFrame:
     """Runs of windows that also start earlier: ``doc_id, _tk, loc``."""
-    occ = passages.repeated_pieces(docs, "byte", min(seed_bytes, min_bytes), min_bytes)
+    k = min(seed_bytes, min_bytes)
+    occ = passages.repeated_pieces(docs, "byte", k, min_bytes)
     distinct = passages.distinct_pieces(occ)
     twins = distinct.where("copies > 1").select(F.col("seed").alias("_s"), F.col("piece").alias("_p"), "rep")
     whole = occ.join(twins, (F.col("seed") == F.col("_s")) & (F.col("piece") == F.col("_p"))) \
         .where(~F.struct("doc_id", "_tk", "loc").eqNullSafe(F.col("rep"))).select("doc_id", "_tk", "loc")
-    shard, windows = passages.shards(docs, distinct.where("multi"), "byte", min_bytes)
-    found = common.materialize(shard.groupBy("shard").applyInArrow(
-        _solve(min_bytes), "hot boolean, key long, same long, doc_id long, _tk long, loc long"), "found")
-    part = found.where("not hot").select("doc_id", "_tk", "loc")
-    # of equal windows all but the earliest go; the place is a part of the join's key, so a hot window is spread
-    lead = found.where("hot").select("key", "same", "doc_id", "_tk", "loc")
-    single = windows.join(lead, common.same_key(windows, lead) & (windows["loc"] == lead["loc"])
-                          & (windows["key"] == lead["key"]) & (windows["same"] == lead["same"]), "left_anti") \
+    shard, parts, first = passages.shards(docs, distinct.where("multi"), "byte", min_bytes, k)
+    found = shard.groupBy("shard").applyInArrow(_solve(min_bytes), "doc_id long, _tk long, loc long")
+    # of equal parts all but the earliest go; the place is a part of the join's key, so a hot part is spread
+    again = parts.join(first, common.same_key(parts, first) & (parts["loc"] == first["loc"])
+                       & (parts["key"] == first["key"]) & (parts["same"] == first["same"]), "left_anti") \
         .select("doc_id", "_tk", "loc")
-    return whole.unionByName(part).unionByName(single)
+    return whole.unionByName(common.materialize(found, "found")).unionByName(again)
 
 
 def _apply(min_bytes: int, with_bytes: bool) -> Callable:

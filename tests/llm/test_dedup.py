@@ -84,7 +84,7 @@ def test_hot_window_is_one_row_of_its_shard(docs_of, monkeypatch, unit, window,
     docs = docs_of([*rows, (None, shared), (3, rows[3][1])])
     common.prepare(docs.sparkSession)
     distinct = passages.distinct_pieces(passages.repeated_pieces(docs, unit, k, window))
-    shard, windows = passages.shards(docs, distinct, unit, window)
+    shard, windows, _ = passages.shards(docs, distinct, unit, window, k)
     hot = shard.where("hot").groupBy("key", "body").count().collect()
     assert hot and max(x["count"] for x in hot) == 1
     assert windows.groupBy("key").count().agg({"count": "max"}).first()[0] > 20
@@ -98,6 +98,20 @@ def test_hot_window_is_one_row_of_its_shard(docs_of, monkeypatch, unit, window,
         assert got == {x[0]: x[2:] for x in brute.suffixes(rows, window)}
 
 
+@pytest.mark.parametrize("hot", [2, 3, 10**9])
+def test_any_heat_gives_the_same_result(docs_of, monkeypatch, hot):
+    """Whether and how far pieces are cut into parts does not show in the results."""
+    monkeypatch.setattr(passages, "HOT_PIECES", hot)
+    r = random.Random(3)
+    shared = [" ".join(r.choices("abcdefgh", k=50)) for _ in range(3)]
+    rows = [(i, f"{r.random()} {shared[i % 3][i % 7:]} {r.random()} {shared[0][:60 + i % 5]}") for i in range(60)]
+    rows += [(100, rows[4][1]), (101, rows[4][1]), (102, None)]
+    got = {x.doc_id: (x.n_removed, x.kept_sha256) for x in substring_sam.dedup_substrings(docs_of(rows), 12, 5).collect()}
+    assert got == {x[0]: x[2:] for x in brute.substring(rows, 12)}
+    got = {x.doc_id: (x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_bwt.dedup_bytes(docs_of(rows), 40, 12).collect()}
+    assert got == {x[0]: x[2:] for x in brute.suffixes(rows, 40)}
+
+
 def test_automaton_counts_places():
     sam = substring_sam.SuffixAutomaton()
     for s in ("abcab", "xbca"):
