@@ -51,6 +51,19 @@ def same_key(a: DataFrame, b: DataFrame):
     return (a["doc_id"].eqNullSafe(b["doc_id"])) & (a["_tk"] == b["_tk"])
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_key(docs: DataFrame):
+    """``_tk`` of a row of ``docs`` itself."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def binaries(column) -> list[bytes]:
     """Text or binary column as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

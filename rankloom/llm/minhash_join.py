@@ -212,8 +212,8 @@ def _link(table: pa.Table, shingle: int) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
 
-def near_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, _tk, n_shingles, component_id, kept`` of every row."""
+def members(docs: DataFrame, shingle: int) -> DataFrame:
+    """Per row: ``doc_id, _tk, n_shingles`` and its ``class`` (null without words)."""
     common.prepare(docs.sparkSession)
     sketch = common.materialize(common.keyed(docs).mapInArrow(
         lambda b: _sketch(b, shingle), "doc_id long, _tk long, n long, node binary, sig binary"), "sketch")
@@ -272,6 +272,13 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         .select(F.coalesce("node", "root").alias("node"), F.coalesce("top", "root").alias("class"))
     member = common.materialize(sketch.join(comp, "node", "left").select(
         "doc_id", "_tk", F.col("n").alias("n_shingles"), F.coalesce("class", "node").alias("class")), "member")
+    return member
+
+
+def near_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Per row: ``doc_id, _tk, n_shingles``, the smallest id of its class, and
+    whether that is its own."""
+    member = members(docs, shingle)
     least = common.materialize(member.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("component_id")), "least")
     out = member.join(least, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -280,10 +287,25 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def near_filter(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each class: the rows of ``docs`` kept, all columns."""
-    gone = near_classes(docs, shingle).where("not kept").select(F.col("doc_id").alias("_ni"), F.col("_tk").alias("_nt")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_ni")) & (key == F.col("_nt")), "left_anti")
+    """One row of ``docs`` for each class, all columns: that of the smallest id (null
+    last), then of the smallest text hash; of rows equal in id and text any one.
+    Documents without words are in no class and all stay."""
+    member = members(docs, shingle).where("class is not null").select("class", "doc_id", "_tk")
+    first = member.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tk")).alias("rep"))
+    gone = member.join(common.materialize(first, "first"), "class") \
+        .where(~(F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("_tk") == F.col("rep._tk")))).select("doc_id", "_tk").distinct()
+    twice = common.materialize(member.groupBy("doc_id", "_tk").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+    left = _without(docs, gone)
+    if twice.isEmpty():
+        return left
+    keys = [common.fresh_name(docs, c) for c in ("_id", "_key")]
+    again = _without(left, twice, "left_semi").select("*", left["doc_id"].cast("long").alias(keys[0]), common.text_key(left).alias(keys[1]))
+    return _without(left, twice).unionByName(again.dropDuplicates(keys).drop(*keys))
+
+
+def _without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    keys = keys.select("doc_id", "_tk")
+    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (common.text_key(docs) == keys["_tk"]), how)
 
 
 def op9_minhash_join(spark, sf_dir: str) -> DataFrame:

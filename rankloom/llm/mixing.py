@@ -81,13 +81,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: i
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as the plan says,
     all columns unchanged."""
-    p = plan(docs, weights, max_repeat, seed).where("copies > 0").select(
-        F.col("doc_id").alias("_mi"), F.col("_tk").alias("_mt"), F.col("source").alias("_ms"),
-        F.col("copies").alias("_copies")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    both = docs.join(p, docs["doc_id"].cast("long").eqNullSafe(F.col("_mi")) & (key == F.col("_mt"))
-                     & docs["source"].cast("string").eqNullSafe(F.col("_ms")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    p = plan(docs, weights, max_repeat, seed).where("copies > 0").select("doc_id", "_tk", "source", "copies").distinct()
+    both = docs.join(p, docs["doc_id"].cast("long").eqNullSafe(p["doc_id"]) & (common.text_key(docs) == p["_tk"])
+                     & docs["source"].cast("string").eqNullSafe(p["source"]))
+    copy = common.fresh_name(docs, "_copy")
+    return both.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), p["copies"])).alias(copy)).drop(copy)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
