@@ -109,31 +109,76 @@ def test_base_counts(docs_of):
     assert all(by[i].kept for i in plain)
 
 
-def test_mcd_matches_numpy(spark):
-    """The concentration steps against the same steps in numpy."""
+def _normal(rng, n, pairs):
+    """Four statistics, correlated in the given pairs."""
+    import numpy as np
+    c = np.eye(4)
+    for i, j in pairs:
+        c[i, j] = c[j, i] = 0.95
+    return rng.multivariate_normal(np.zeros(4), c, n)
+
+
+def _mcd(spark, x, group=lambda i: "g"):
     import numpy as np
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 4)) @ np.diag([.3, 1, .4, .5]) + [1, 0, 0, 0]
-    x[:80] += [3, 8, 0, 2]          # a fifth are outliers on one side
-    x = x.round(9)
     common.prepare(spark)
-    df = spark.createDataFrame([(i, "en", "g", *map(float, v)) for i, v in enumerate(x)], "doc_id long, lang string, _g string, x0 double, x1 double, x2 double, x3 double")
-    got = np.array([r.d2 for r in quality_mcd.mcd_distances(df).orderBy("doc_id").collect()])
+    df = spark.createDataFrame([(i, "en", group(i), *map(float, v)) for i, v in enumerate(x)],
+                               "doc_id long, lang string, _g string, x0 double, x1 double, x2 double, x3 double")
+    return np.array([r.d2 for r in quality_mcd.mcd_distances(df).orderBy("doc_id").collect()])
+
+
+def test_mcd_finds_the_least_determinant(spark):
+    """Against random multi-start concentration in numpy, run to convergence."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = _normal(rng, 600, [(0, 1), (2, 3)]) * [.3, 1, .4, .5]
+    x[:130] = rng.normal(size=(130, 4)) * .1 + [1.8, -6, 2.4, -3]
+    got = _mcd(spark, x)
     floor = np.diag(np.square(quality_mcd.FLOOR))
-    m = np.percentile(x.round(3), 50, axis=0)
-    d = np.percentile(np.abs(x - m).round(3), 50, axis=0)
-    p = np.linalg.inv(np.diag(np.square(1.4826 * d)) + floor)
-    for _ in range(quality_mcd.STEPS):
-        d2 = np.einsum("ni,ij,nj->n", x - m, p, x - m)
-        level = np.log1p(d2).round(3)
-        near = x[level <= np.percentile(level, 75) + .0005]
-        m, p = near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) + floor)
-    d2 = np.einsum("ni,ij,nj->n", x - m, p, x - m)
-    near = x[d2 <= quality_mcd.CHI_REWEIGHT * (quality_mcd.H / .5 * 4 / quality_mcd.CHI_H)]
-    m, p = near.mean(axis=0), np.linalg.inv(1.1 * np.cov(near.T, bias=True) + floor)
-    d2 = np.einsum("ni,ij,nj->n", x - m, p, x - m)
-    assert np.allclose(got, d2, rtol=1e-6)
-    assert got[:80].min() > quality_mcd.CUT and np.mean(got[80:] > quality_mcd.CUT) < .05
+    best = (np.inf, None, None)
+    for _ in range(60):
+        near = x[rng.choice(600, 6, replace=False)]
+        old = np.inf
+        while True:
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True) + floor
+            det = np.linalg.det(c)
+            if not det < old - 1e-12:
+                break
+            old = det
+            d2 = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+            near = x[np.argsort(d2)[:450]]
+        if old < best[0]:
+            best = (old, m, c)
+    _, m, c = best
+    d2 = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+    near = x[d2 <= quality_mcd.CHI_REWEIGHT * 1.4866]
+    m, c = near.mean(axis=0), 1.0645 * np.cov(near.T, bias=True) + floor
+    d2 = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+    assert np.allclose(got, d2, rtol=.02)
+
+
+def test_planted_outliers_are_rejected(spark):
+    """A fifth of each group lies against the correlation of the rest; medians alone miss it."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    at = [np.array([6, -6, 6, -6]), np.array([8, -8, 0, 0])]
+    x = np.concatenate([_normal(rng, 1500, [(0, 1), (2, 3)]) for _ in at])
+    bad = np.zeros(3000, bool)
+    for k, centre in enumerate(at):
+        rows = slice(1500 * k, 1500 * k + 330)
+        x[rows] = centre + rng.normal(size=(330, 4)) * .3
+        bad[rows] = True
+    far = _mcd(spark, x, lambda i: f"g{i // 1500}") > quality_mcd.CUT
+    assert far[bad].all() and far[~bad].mean() < .003
+
+
+def test_clean_groups_keep_their_rows(spark):
+    import numpy as np
+    x = _normal(np.random.default_rng(3), 4000, [(0, 2)]) * 5        # the floors hardly count
+    far = _mcd(spark, x) > quality_mcd.CUT
+    assert far.mean() < .003
+    flat = np.zeros((200, 4))
+    assert not (_mcd(spark, flat) > quality_mcd.CUT).any()           # no scatter at all
+    assert quality_mcd._consistency(.75, quality_mcd.CHI_H) == pytest.approx(1.4866, abs=1e-3)
 
 
 def test_quality_uses_no_python(docs_of):
@@ -209,3 +254,27 @@ def test_pipeline_stages(spark, sf, tmp_path):
         if i == 4:
             assert docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
     assert counts[0] >= counts[1] >= counts[2] == counts[3] > 0 and counts[5] > 0
+
+
+CLASH = ("_tk", "_mi", "_ms", "_copies", "_copy", "copies", "_ni", "_nt", "_qi", "_ql", "bad", "first", "class", "rep", "n", "_id", "_key", "token", "part")
+
+
+def test_stages_with_clashing_names_nulls_and_repeats(docs_of, tmp_path):
+    """Every filtering stage on null ids, null columns, repeated rows and columns named
+    like those that operators use inside."""
+    import corpus_pipeline
+    text = "the first one of several words here " * 5
+    rows = [(1, text), (1, text), (None, text + "x"), (None, text + "x"), (3, None), (3, None), (4, ""), (5, "unlike any other words at all " * 6, None, None)]
+    docs = docs_of(rows)
+    for c in CLASH:
+        docs = docs.withColumn(c, docs["doc_id"].cast("string"))
+    docs = docs.withColumn("source", F.when(F.col("doc_id") == 5, None).otherwise(F.col("source")))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(docs.sparkSession, docs, "")
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        empty = stage(docs.sparkSession, docs.where("doc_id = -1"), "")
+        assert empty.columns == docs.columns and empty.count() == 0
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, "").collect() if r.text)
+    assert [k[1] for k in kept] == [1, 5]       # one of the class, of its repeated row one
+    assert corpus_pipeline.near_dedup(docs.sparkSession, docs, "").where("text IS NULL OR text = ''").count() == 3
