@@ -28,6 +28,7 @@ _MODULES = (
     "rankloom.plans.q_store",
     "rankloom.plans.q_ranker",
     "rankloom.plans.q_models",
+    "rankloom.plans.q_trained",
     "rankloom.plans.q_streaming",
 )
 
