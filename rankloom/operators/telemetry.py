@@ -8,8 +8,13 @@ stream (see ``rankloom.streaming``).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Histogram bucket upper edges of the four latency histograms.
 REQUEST_LATENCY_SECONDS_EDGES = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0)
@@ -271,7 +276,32 @@ def rolling_latency(requests: DataFrame, value: str = "latency_ms", window: int
     own = x.withColumn("_halo", F.lit(False))
     halo = x.filter(F.col("_p") % chunk >= chunk - (window - 1)) \
         .withColumn("_c", F.col("_c") + 1).withColumn("_halo", F.lit(True))
-    w = Window.partitionBy(part, "_c").orderBy("_p").rowsBetween(-(window - 1), 0)
-    out = own.unionByName(halo).withColumn("p50", F.percentile(value, 0.5).over(w)) \
-        .withColumn("p99", F.percentile(value, 0.99).over(w))
-    return out.filter(~F.col("_halo")).select("request_id", part, "ts", "p50", "p99")
+    piece = own.unionByName(halo).select("request_id", part, "ts", F.col(value).cast("double").alias("_v"), "_p", "_c", "_halo")
+    schema = StructType([piece.schema[c] for c in ("request_id", part, "ts")]).add("p50", "double").add("p99", "double")
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.take(pa.array(np.argsort(table.column("_p").to_numpy(), kind="stable")))
+        p = rolling_percentiles(t.column("_v"), window, (0.5, 0.99))
+        return t.select(["request_id", part, "ts"]).append_column("p50", p[0]).append_column("p99", p[1]).filter(pc.invert(t.column("_halo")))
+    return piece.groupBy(part, "_c").applyInArrow(run, schema)
+
+
+def rolling_percentiles(column: pa.ChunkedArray, window: int, shares: tuple) -> list[pa.Array]:
+    """Percentiles of the latest ``window`` rows up to each row, by linear interpolation as in
+    ``F.percentile``: nulls do not count, NaN is above all numbers. The window is kept
+    sorted while it slides (by the values' order numbers), so a row costs log(window)."""
+    null = column.is_null().to_numpy()
+    values, code = np.unique(column.fill_null(0.0).to_numpy(), return_inverse=True)
+    codes = pd.Series(np.where(null, np.nan, code.astype(np.float64)))
+    seen = np.append(0, np.cumsum(~null))
+    n = seen[1:] - seen[np.maximum(np.arange(1, len(null) + 1) - window, 0)]
+    out = []
+    for share in shares:
+        place = np.maximum(n - 1, 0) * share
+        lo, hi = (values[codes.rolling(window, min_periods=1).quantile(share, interpolation=i).fillna(0).to_numpy().astype(np.int64)]
+                  for i in ("lower", "higher"))
+        whole = np.floor(place) == np.ceil(place)
+        with np.errstate(invalid="ignore"):
+            mixed = (np.ceil(place) - place) * lo + (place - np.floor(place)) * hi
+        out.append(pa.array(np.where(whole | (lo == hi), lo, mixed), mask=n == 0))
+    return out

@@ -127,3 +127,22 @@ def test_time_steps_keep_every_row(spark):
     ev = _events(spark, [(i, i % 5, 1, 1) for i in range(50)]).unionByName(_events(spark, []))
     ev = ev.unionByName(spark.createDataFrame([(99, None, 1, "view", 1.0, None)], EVENTS))
     assert sorted(r.event_id for s in jobs.time_steps(ev, "ts", 4) for r in s.collect()) == [*range(50), 99]
+
+
+def test_rolling_latency_equals_percentile_windows(spark):
+    """With nulls, NaN, infinities and repeated values; no window function sorts each frame anew."""
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import Window
+    odd = [None, float("nan"), float("inf"), 5.0, -0.0]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i // 3), i % 2 and "/recommend" or "/health", 200,
+             odd[i % 11] if i % 11 < 5 else float((i * 37) % 50) / 7) for i in range(400)]
+    rows += [(i, datetime(2023, 1, 1) + timedelta(seconds=i), "/recommend", 200, None) for i in range(400, 420)]
+    req = spark.createDataFrame(rows, "request_id long, ts timestamp, path string, status_code int, latency_ms double") \
+        .withColumn("user_id", F.lit(1).cast("long")).withColumn("k", F.lit(5)).withColumn("cache_hit", F.lit(False))
+    got = TM.rolling_latency(req, window=20, chunk=30)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    w = Window.partitionBy("endpoint").orderBy("ts", "request_id").rowsBetween(-19, 0)
+    want = TM.labelled(req).select("request_id", "endpoint", "ts", F.percentile("latency_ms", 0.5).over(w).alias("p50"),
+                                   F.percentile("latency_ms", 0.99).over(w).alias("p99"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
