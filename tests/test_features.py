@@ -122,3 +122,20 @@ def test_dataset_summary_approx_close(spark, sf):
     assert a["n_ratings"] == b["n_ratings"]
     assert abs(a["n_users"] - b["n_users"]) <= 0.05 * a["n_users"]
     assert abs(a["n_items"] - b["n_items"]) <= 0.05 * a["n_items"]
+
+
+def test_user_sums_share_one_count(spark, sf):
+    """The averages of the liked rows, with one count in the aggregation's buffer."""
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import features as FE
+    from rankloom.sources import tables as T
+    r, m = T.ratings(spark, sf), T.movies(spark, sf)
+    got = FE.user_aggregates(r, FE.item_genre_vectors(m), 18)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("avg(") == 1 and plan.count("count(") == 2
+    j = r.join(FE.item_genre_vectors(m), "item_id", "left")
+    liked = (F.col("rating") >= 4) & F.col("genre_vector").isNotNull()
+    want = j.groupBy("user_id").agg(F.avg("rating").alias("avg_rating"), F.count(F.lit(1)).alias("rating_count"), F.max("ts").alias("last_ts"),
+                                    *[F.avg(F.when(liked, F.col("genre_vector")[i] * (F.col("rating") - 3.0))).alias(f"g{i}") for i in range(18)])
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
