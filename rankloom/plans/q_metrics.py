@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.genres import multi_hot
@@ -14,6 +13,7 @@ from rankloom.operators.towers import content_item_vectors, content_user_vectors
 from rankloom.plans import sqlfrag as Q
 from rankloom.plans.catalog import register, rounded
 from rankloom.plans.q_serving import N_CAND, N_PROBE, _eval_sql, _recommend, _serving_sql
+from rankloom.session import materialize
 from rankloom.sources import tables as T
 
 _RET20 = """(SELECT * FROM (SELECT query_id AS user_id, item_id,
@@ -22,13 +22,11 @@ _RET20 = """(SELECT * FROM (SELECT query_id AS user_id, item_id,
 
 def _retrieval_top20(spark, sf_dir):
     from rankloom.operators import features as FE
-    from rankloom.session import materialize
-    r, u, m = T.ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
+    r, u, m = materialize(T.ratings(spark, sf_dir), "ratings"), T.users(spark, sf_dir), T.movies(spark, sf_dir)
     uf = materialize(FE.user_features(r, u, m), "user_features")
     cent = R.basis_centroids(spark, 18)
-    c = serving.retrieve_candidates(content_user_vectors(uf), content_item_vectors(m), cent, 18, N_CAND, N_PROBE)
-    w = Window.partitionBy("user_id").orderBy(F.desc("retrieval_score"), "item_id")
-    return r, c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 20)
+    lists, _ = serving.retrieve_lists(content_user_vectors(uf), content_item_vectors(m), cent, 18, N_CAND, N_PROBE)
+    return r, materialize(serving.list_rows(lists).filter(F.col("rank") <= 20), "top20")
 
 
 def _per_user_sql():
@@ -43,7 +41,7 @@ SELECT user_id, has_truth, """ + ", ".join(
 def ranking_metrics_per_user(spark, sf_dir):
     """E1 + E3 + E4 + E5 + E6 per holdout user for retrieval top-20 lists."""
     r, recs = _retrieval_top20(spark, sf_dir)
-    hold = PA.last_n_holdout(r)
+    hold = materialize(PA.last_n_holdout(r).select("user_id", "item_id", "rating"), "holdout")
     truth = hold.filter(F.col("rating") >= 4).select("user_id", "item_id")
     recs = recs.join(hold.select("user_id").distinct(), "user_id", "left_semi")
     return rounded(ME.per_user_metrics(recs.select("user_id", "item_id", "rank"), truth))
@@ -64,7 +62,7 @@ FROM (SELECT DISTINCT user_id FROM rr) u LEFT JOIN dcg d ON u.user_id = d.user_i
 def graded_ndcg(spark, sf_dir):
     """NDCG@10 with held-out ratings as graded relevance (linear gain)."""
     r, recs = _retrieval_top20(spark, sf_dir)
-    hold = PA.last_n_holdout(r)
+    hold = materialize(PA.last_n_holdout(r).select("user_id", "item_id", "rating"), "holdout")
     recs = recs.join(hold.select("user_id").distinct(), "user_id", "left_semi")
     grades = hold.select("user_id", "item_id", F.col("rating").alias("grade"))
     return rounded(ME.graded_ndcg(recs.select("user_id", "item_id", "rank"), grades, 10))

@@ -160,16 +160,16 @@ def serving_n_cand():
 def _serve(spark, sf_dir):
     """Requests, the ranked lists of their users (scored once, at the largest k), and a
     store that holds the ten best of every model list."""
-    r, u, m = T.ratings(spark, sf_dir), T.users(spark, sf_dir), T.movies(spark, sf_dir)
     from rankloom.operators.towers import content_item_vectors, content_user_vectors
     from rankloom.session import materialize
+    r, u, m = materialize(T.ratings(spark, sf_dir), "ratings"), T.users(spark, sf_dir), T.movies(spark, sf_dir)
     uf, itf = materialize(FE.user_features(r, u, m), "uf"), materialize(FE.item_features(r, m), "itf")
     cent = R.basis_centroids(spark, 18)
     reqs = TM.validate_requests(T.requests(spark, sf_dir)).filter(F.col("reject_reason").isNull()) \
         .select("request_id", "user_id", F.col("k_eff").alias("k"))
     req_users = materialize(reqs.select("user_id").distinct(), "req_users")
     ufr = uf.join(req_users, "user_id", "left_semi")
-    cands = serving.retrieve_candidates(content_user_vectors(ufr), content_item_vectors(m), cent, 18, serving_n_cand(), 10)
+    cands = serving.retrieve_lists(content_user_vectors(ufr), content_item_vectors(m), cent, 18, serving_n_cand(), 10)
     lists = materialize(serving.recommend_batch(r, req_users, m, ufr, itf, cent, 100, serving_n_cand(), 10, candidates=cands), "lists")
     path = store.new_store_path(spark, "recs")
     store.cache_recs(lists.filter("source = 'model' AND rank <= 10"), path, _t(0), k_built=10)

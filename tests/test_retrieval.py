@@ -187,3 +187,49 @@ def test_saved_index_reads_probed_lists_only(spark, index, tmp_path):
     assert live.count() == post.where(F.col("list_id").isin(list(lists))).count()
     a = R.ann_search(q, live, c2, DIM, 10, 2).select("query_id", "item_id", "rank").collect()
     assert sorted(a) == sorted(R.ann_search(q, post, cent, DIM, 10, 2).select("query_id", "item_id", "rank").collect())
+
+
+def _brute(queries, items, k):
+    out = []
+    for q, v in queries:
+        v = np.array(v) / max(np.sqrt(np.square(v).sum()), 1e-8)
+        best = sorted(((-R.pair_dot(v[None], R.clamp_normalize(np.array([x])))[0], i) for i, x in items))[:k]
+        out += [(q, i, r + 1) for r, (_, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("item_block", [None, 1, 2])
+def test_equal_vectors_are_scored_once(spark, item_block):
+    """Sixty items of three vectors, and queries that cannot tell two of them apart."""
+    vecs = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 1.0]]
+    items = [(i, vecs[i % 3]) for i in range(60)]
+    queries = [(1, [1.0, 1.0, 0.0]), (2, [0.0, 0.0, 1.0]), (3, [0.0, 0.0, 0.0]), (4, [0.3, 0.2, 0.9])]
+    cent = R.basis_centroids(spark, 3)
+    post = R.assign_lists(spark.createDataFrame(items, "item_id long, vec array<double>"), cent, 3)
+    entries = R.distinct_entries(post, 25).collect()
+    assert len(entries) == 3 and all(e["ids"] == sorted(e["ids"]) and len(e["ids"]) == 20 for e in entries)
+    assert {len(e["ids"]) for e in R.distinct_entries(post, 7).collect()} == {7}
+    q = spark.createDataFrame(queries, "query_id long, vec array<double>")
+    for k in (7, 25, 100):
+        hits = R.ann_search(q, post, cent, 3, k, 3, item_block=item_block)
+        assert sorted((h["query_id"], h["item_id"], h["rank"]) for h in hits.collect()) == _brute(queries, items, k)
+        lists, reach = R.ann_lists(q, post, cent, 3, k, 3, item_block=item_block)
+        assert sorted((h["query_id"], i, r + 1) for h in lists.collect() for r, i in enumerate(h["item_ids"])) == _brute(queries, items, k)
+        assert reach.count() == 3 * min(k, 20)
+
+
+def test_expansion_in_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(0, 2, (9, 4)).astype(float), rng.integers(0, 3, (30, 4)).astype(float)
+    n = rng.integers(1, 6, 9)
+    starts, ids = np.append(0, np.cumsum(n)), rng.permutation(n.sum())
+    for a, b in zip(starts, starts[1:]):
+        ids[a:b].sort()
+    args = (q, x, starts, ids, np.array([0, 9]), np.ones((30, 1), bool), 6, np.full(30, -np.inf))
+    whole = [np.concatenate(c) for c in zip(*R.top_k_entries(*args))]
+    owner = np.repeat(np.arange(9), n)
+    want = [(u, i) for u in range(30) for _, i in sorted((-R.pair_dot(q[u:u + 1], x[o:o + 1])[0], i) for o, i in zip(owner, ids))[:6]]
+    assert list(zip(whole[0].tolist(), whole[1].tolist())) == want
+    monkeypatch.setattr(R, "EXPAND_ROWS", 5)
+    steps = list(R.top_k_entries(*args))
+    assert len(steps) == 30 and all((np.concatenate(c) == w).all() for c, w in zip(zip(*steps), whole))

@@ -113,3 +113,33 @@ def test_planted_taste_clusters(spark):
     recs = serving.recommend_batch(ratings, users, movies, uf, itf, cent, 5, 20, 18)
     assert recs.filter(((F.col("user_id") <= 10) & (F.col("item_id") > 50)) |
                        ((F.col("user_id") > 10) & (F.col("item_id") <= 50))).count() == 0
+
+
+def test_lists_fan_out_beside_their_user(spark):
+    """Candidates as lists give the same features as rows, rounded before or after the
+    fan-out, and no candidate is shuffled."""
+    pref, vec = [0.1] * 17 + [0.7654321], [1.0] + [0.0] * 16 + [1.0]
+    uf = spark.createDataFrame([(1, 3.3333333, 1.2345678, 0.5, 0.0, 0.25, 0.1, pref), (2, None, 0.0, None, 1.0, 0.5, 0.2, None)],
+                               "user_id long, avg_rating double, log_rating_count double, recency_score double, gender_encoded double, "
+                               "age_normalized double, occupation_normalized double, genre_pref array<double>")
+    itf = spark.createDataFrame([(7, 4.1111111, 0.6931472, 0.1, 0.0, 0.5, vec), (8, 2.0, 0.0, None, 0.3, None, vec[:3])],
+                                "item_id long, avg_rating double, log_rating_count double, popularity_score double, rating_stddev double, "
+                                "year_normalized double, genre_vector array<double>")
+    lists = spark.createDataFrame([(1, [7, 8, 9], [0.9, 0.8, 0.7]), (2, [8], [0.5]), (3, [7], [0.4])],
+                                  "user_id long, item_ids array<long>, scores array<double>")
+    a = serving.serving_features(lists, uf, itf)
+    cols = sorted(a.columns)
+    rows = sorted(map(tuple, a.select(cols).collect()))
+    assert len(rows) == 5
+    flat = serving.serving_features(serving.list_rows(lists).drop("rank"), uf, itf)
+    assert sorted(map(tuple, flat.select(cols).collect())) == rows
+    shown = serving.serving_features(lists, uf, itf, digits=6).select([c for c in cols if c != "retrieval_score"])
+    late = a.select([F.round(c, 6).alias(c) if c in FE.FEATURE_COLUMNS else F.col(c) for c in shown.columns])
+    assert sorted(map(tuple, shown.collect())) == sorted(map(tuple, late.collect()))
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Generate posexplode")].replace("BroadcastExchange", "")
+
+
+def test_compressed_tables_are_not_taken_for_small(spark):
+    """A file of repeated values says little about its rows."""
+    assert int(spark.conf.get("spark.sql.sources.fileCompressionFactor").split(".")[0]) >= 10
