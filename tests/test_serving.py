@@ -143,3 +143,11 @@ def test_lists_fan_out_beside_their_user(spark):
 def test_compressed_tables_are_not_taken_for_small(spark):
     """A file of repeated values says little about its rows."""
     assert int(spark.conf.get("spark.sql.sources.fileCompressionFactor").split(".")[0]) >= 10
+
+
+def test_wide_rows_run_in_methods_that_the_jvm_compiles(spark):
+    """HotSpot interprets methods of more than 8000 bytes, as those of 50 feature columns are."""
+    from rankloom.plans import catalog
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    catalog.load_all()["list_count_rule"][0](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
