@@ -139,3 +139,52 @@ def test_user_sums_share_one_count(spark, sf):
     want = j.groupBy("user_id").agg(F.avg("rating").alias("avg_rating"), F.count(F.lit(1)).alias("rating_count"), F.max("ts").alias("last_ts"),
                                     *[F.avg(F.when(liked, F.col("genre_vector")[i] * (F.col("rating") - 3.0))).alias(f"g{i}") for i in range(18)])
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def _rows(spark, rows):
+    """Ratings ``(user_id, item_id, rating, day)`` with a row key."""
+    t0 = datetime(2020, 1, 1)
+    return spark.createDataFrame(
+        [(u, i, r, t0 + timedelta(days=d), n, 1, i or 0, 1, 1.0, t0.date()) for n, (u, i, r, d) in enumerate(rows)],
+        "user_id long, item_id long, rating double, ts timestamp, l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, "
+        "l_quantity double, l_shipdate date")
+
+
+@pytest.mark.parametrize("chunk", [4, 4096])
+def test_negatives_are_the_walk_and_only_kept_draws_become_rows(spark, monkeypatch, chunk):
+    monkeypatch.setattr(PA, "DRAW_CHUNK", chunk)
+    rows = [(u, i, 5.0, 1) for u in range(1, 6) for i in range(60) if (i * 7 + u) % (u + 1) == 0] + [(9, i, 5.0, 1) for i in range(60)]
+    rows += [(1, None, 5.0, 1), (None, 3, 5.0, 1), (2, 3, 4.0, 2)]
+    r = _rows(spark, rows)
+    cat = PA.numbered_catalogue(r, 42)
+    place = {x["pos"]: x["item_id"] for x in cat.collect()}
+    n = len(place)
+    need = {u: 7 * u for u in range(1, 6)} | {9: 3}
+    starts = {x["user_id"]: x["s"] % n for x in spark.createDataFrame([(u,) for u in need], "user_id long").select(
+        "user_id", PA.portable_hash(F.lit("s"), F.col("user_id"), F.lit("-42")).alias("s")).collect()}
+    want = set()
+    for u, k in need.items():
+        rated = {i for v, i, _, _ in rows if v == u}
+        walk = [(d, place[(starts[u] + d * PA.stride_for(n)) % n]) for d in range(min(n, k + len(rated)))]
+        free = [(d, i) for d, i in walk if i is None or i not in rated]
+        want |= {(u, i, d, at + 1, -u) for at, (d, i) in enumerate(free[:k])}
+    got = PA.portable_negatives(r, spark.createDataFrame([(u, k, -u) for u, k in need.items()], "user_id long, need long, tag long"),
+                                42, cat, n, ranked=True, carry=["tag"])
+    found = [tuple(x) for x in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()     # no draw is made to be dropped
+
+
+def test_positives_keep_the_first_rating(spark):
+    rows = [(1, 1, 5.0, 2), (1, 1, 2.0, 1), (1, 2, 4.0, 1), (1, 2, 4.0, 2), (2, 1, 5.0, 5), (2, 1, None, 1), (2, 3, 3.0, 1),
+            (None, 1, 5.0, 1), (3, None, 5.0, 1)]
+    got = sorted([tuple(x) for x in PA.positives(_rows(spark, rows)).collect()], key=str)
+    assert got == sorted([(1, 1, 1, 2.0), (1, 2, 1, 4.0), (1, 2, 1, 4.0), (2, 1, 1, None)], key=str)
+
+
+def test_split_beside_the_queries_is_the_split_of_the_pairs(feats):
+    r, _, _ = feats
+    p, q = PA.training_pairs(r, 4, 42, return_queries=True)
+    want = PA.split_queries(p, 0.1, 42, q)
+    got = PA.training_pairs(r, 4, 42, test_ratio=0.1).select(*want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
