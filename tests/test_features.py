@@ -188,3 +188,10 @@ def test_split_beside_the_queries_is_the_split_of_the_pairs(feats):
     want = PA.split_queries(p, 0.1, 42, q)
     got = PA.training_pairs(r, 4, 42, test_ratio=0.1).select(*want.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_pair_features_move_the_users_vector_once(feats):
+    r, uf, itf = feats
+    plan = FE.pair_features(PA.training_pairs(r, 4, 42), uf, itf)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join LeftOuter" in x]
+    assert "user_id" in joins[0] and "item_id" in joins[1]       # the outermost join is the user's
