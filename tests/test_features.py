@@ -195,3 +195,11 @@ def test_pair_features_move_the_users_vector_once(feats):
     plan = FE.pair_features(PA.training_pairs(r, 4, 42), uf, itf)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join LeftOuter" in x]
     assert "user_id" in joins[0] and "item_id" in joins[1]       # the outermost join is the user's
+
+
+def test_small_vectors_are_the_genre_vectors(spark, sf):
+    from rankloom.plans.q_models import _small_vectors
+    m = T.movies(spark, sf)
+    small = _small_vectors(m)
+    assert small.schema["i"].dataType.simpleString() == "array<tinyint>"
+    assert small.join(FE.item_genre_vectors(m), "item_id").filter(F.col("i").cast("array<double>") != F.col("genre_vector")).count() == 0
