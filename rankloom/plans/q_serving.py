@@ -163,9 +163,12 @@ def _eval(spark, sf_dir, which: str, shared: dict | None = None):
     when several methods are evaluated on the same split."""
     from rankloom.session import materialize
     sh = shared if shared is not None else {}
-    if "feats" not in sh:
-        sh["feats"] = _feats(spark, sf_dir)
-    r, u, m, uf, itf = sh["feats"]
+    if shared is not None or which != "popularity":
+        if "feats" not in sh:
+            sh["feats"] = _feats(spark, sf_dir)
+        r, u, m, uf, itf = sh["feats"]
+    else:       # popularity alone reads no features
+        r, m = materialize(T.ratings(spark, sf_dir), "ratings"), T.movies(spark, sf_dir)
     cent = R.basis_centroids(spark, 18)
     if "hold" not in sh:
         sh["hold"] = materialize(PA.last_n_holdout(r).select("user_id", "item_id", "rating"), "holdout")

@@ -203,3 +203,13 @@ def test_small_vectors_are_the_genre_vectors(spark, sf):
     small = _small_vectors(m)
     assert small.schema["i"].dataType.simpleString() == "array<tinyint>"
     assert small.join(FE.item_genre_vectors(m), "item_id").filter(F.col("i").cast("array<double>") != F.col("genre_vector")).count() == 0
+
+
+def test_gradients_and_popularity_write_no_table_they_do_not_read(spark, sf, monkeypatch):
+    import __spark_entry__ as E
+    from rankloom import session
+    written, real = [], session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df, name: written.append((name, df.columns)) or real(df, name))
+    E.queries()["ranker_holdout_linear"](spark, sf)
+    E.queries()["evaluate_popularity"](spark, sf)
+    assert not {"pair_matrix", "user_features"} & {n for n, _ in written}
