@@ -10,10 +10,13 @@ One plan at every size:
 * Equal vectors of a list are one entry with the k smallest of their ids: no other id
   of theirs can be in a top k. A query scores each entry once.
 * Entries are packed into blocks of ``BLOCK_BYTES`` of vectors and ids: small lists share a
-  block, a large list spans several. Queries are packed by the blocks they need.
+  block, a large list spans several. Queries are packed by the blocks they need. A block
+  meets at most ``SPLIT_PACKS`` packs in one task, and is sent to as many tasks as it needs.
 * The block with a query's best list is searched first. Its k-th score is a lower
-  bound for the query, and every other block returns only rows that reach it. One
-  ``row_number() <= k`` merges a query's blocks.
+  bound for the query, and every other block returns only rows that reach it. A block
+  returns one list per query, and the lists of a query are merged by batches of queries.
+* Smaller blocks that a caller asks for are searched one after the other in the task
+  that holds them: the k-th score so far bounds the next, and k rows per query leave it.
 * A block is scored by one matrix product per list. The product may differ from the
   sum taken dimension by dimension by at most ``rounding_margin``, so rows within
   that of the k-th score are candidates, and only these are summed again.
@@ -44,6 +47,7 @@ DEFAULT_K = 500
 MAX_CENTROID_BYTES = 16 << 20
 BLOCK_BYTES = 16 << 20          # vectors of one block
 USER_BLOCK = 1024               # queries of one pack
+SPLIT_PACKS = 32                # packs that one task searches in a block
 SCORE_BUDGET_BYTES = 32 << 20   # score matrix of one step
 EXPAND_ROWS = 1 << 20           # ids of one step
 UNFILLED_SCORE = -3.4028234663852886e38  # -FLT_MAX, what an IVF search reports for empty slots
@@ -352,7 +356,7 @@ def _probe_cells(queries: DataFrame, centroids: DataFrame, dim: int, n_probe: in
 
 
 _BLOCK = "block long, lists binary, bounds binary, starts binary, ids binary, mat binary"
-_PACK = "block long, query_ids binary, floors binary, offsets binary, probed binary, qmat binary"
+_PACK = "block long, split long, query_ids binary, floors binary, offsets binary, probed binary, qmat binary"
 _HITS = "query_id long, item_ids array<long>, scores array<double>"
 
 
@@ -374,13 +378,47 @@ def _pack_items(dim: int) -> Callable:
 
 def _pack_queries(table: pa.Table) -> pa.Table:
     lists = table.column("lists").combine_chunks()
-    return pa.table({"block": table.column("block").slice(0, 1), "query_ids": [table.column("query_id").to_numpy().tobytes()],
+    return pa.table({"block": table.column("block").slice(0, 1), "split": table.column("split").slice(0, 1), "query_ids": [table.column("query_id").to_numpy().tobytes()],
                      "floors": [table.column("floor").to_numpy().tobytes()], "offsets": [lists.offsets.to_numpy().astype(np.int64).tobytes()],
                      "probed": [lists.flatten().to_numpy().tobytes()], "qmat": [b"".join(table.column("qvec").to_pylist())]},
-                    schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("query_ids", "floors", "offsets", "probed", "qmat"))]))
-
-
-def _score_blocks(dim: int, k: int) -> Callable:
+                    schema=pa.schema([("block", pa.int64()), ("split", pa.int64()), *((c, pa.binary()) for c in ("query_ids", "floors", "offsets", "probed", "qmat"))]))
+
+
+def _best(r: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each row by (score desc, id asc)."""
+    by = np.lexsort((ids, -score, r))
+    r, ids, score = r[by], ids[by], score[by]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], ids[keep], score[keep]
+
+
+def top_k_tiles(q: np.ndarray, x: np.ndarray, starts: np.ndarray, ids: np.ndarray, bounds: np.ndarray, allow: np.ndarray, k: int,
+                floor: np.ndarray, user_block: int, item_block: int) -> Iterator[tuple]:
+    """``top_k_entries`` of ``user_block`` queries with ``item_block`` entries at a time;
+    the k-th score of the tiles before is the next one's floor."""
+    near = np.argsort(np.argmax(allow, axis=1), kind="stable")      # queries of one list side by side
+    for lo in range(0, len(q), user_block):
+        who = np.sort(near[lo:lo + user_block])
+        least, found = floor[who].copy(), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for a in range(0, len(x), item_block):
+            b = min(a + item_block, len(x))
+            l0, l1 = np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, b, "left")
+            here = np.flatnonzero(allow[who, l0:l1].any(axis=1))
+            if not len(here):
+                continue
+            new = list(top_k_entries(q[who[here]], x[a:b], starts[a:b + 1], ids, np.clip(bounds[l0:l1 + 1], a, b) - a,
+                                     allow[who[here], l0:l1], k, least[here]))
+            if new:
+                r, i, s = (np.concatenate(c) for c in zip(found, *((here[r], i, s) for r, i, s in new)))
+                found = _best(r, i, s, k)
+                n = np.bincount(found[0], minlength=len(who))
+                full = n >= k
+                least[full] = found[2][np.cumsum(n) - 1][full]
+        if len(found[0]):
+            yield who[found[0]], found[1], found[2]
+
+
+def _score_blocks(dim: int, k: int, user_block: int, item_block: int | None) -> Callable:
     """Rows of one query pack and one item block each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -392,15 +430,45 @@ def _score_blocks(dim: int, k: int) -> Callable:
                 at = np.minimum(np.searchsorted(row["lists"], row["probed"]), len(row["lists"]) - 1)
                 here = row["lists"][at] == row["probed"]
                 allow[np.repeat(np.arange(len(q)), np.diff(row["offsets"]))[here], at[here]] = True
-                step = max(1, SCORE_BUDGET_BYTES // (8 * len(x)))
-                for lo in range(0, len(q), step):
-                    for r, ids, score in top_k_entries(q[lo:lo + step], x, row["starts"], row["ids"], row["bounds"], allow[lo:lo + step], k,
-                                                       row["floors"][lo:lo + step]):
-                        who, first = np.unique(r, return_index=True)
-                        at = pa.array(np.append(first, len(r)), pa.int32())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(row["query_ids"][lo + who]), pa.ListArray.from_arrays(at, pa.array(ids)),
-                             pa.ListArray.from_arrays(at, pa.array(score))], names=["query_id", "item_ids", "scores"])
+                for r, ids, score in found_rows(q, x, row["starts"], row["ids"], row["bounds"], allow, row["floors"]):
+                    yield _lists(row["query_ids"], r, ids, score)
+
+    def found_rows(q, x, starts, ids, bounds, allow, floor) -> Iterator[tuple]:
+        if item_block is not None and item_block < len(x):
+            yield from top_k_tiles(q, x, starts, ids, bounds, allow, k, floor, user_block, item_block)
+            return
+        step = max(1, SCORE_BUDGET_BYTES // (8 * len(x)))
+        for lo in range(0, len(q), step):
+            for r, i, score in top_k_entries(q[lo:lo + step], x, starts, ids, bounds, allow[lo:lo + step], k, floor[lo:lo + step]):
+                yield lo + r, i, score
+    return run
+
+
+def _lists(query_ids: np.ndarray, r: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """Hits ordered by query as one row per query."""
+    who, first = np.unique(r, return_index=True)
+    at = pa.array(np.append(first, len(r)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.ListArray.from_arrays(at, pa.array(ids)),
+                                       pa.ListArray.from_arrays(at, pa.array(score))], names=["query_id", "item_ids", "scores"])
+
+
+def _merge_lists(k: int) -> Callable:
+    """One list per query of the lists of its blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            query, lists = b.column("query_id").to_numpy(), b.column("_l")
+            lo = 0
+            while lo < b.num_rows:         # steps of whole queries with EXPAND_ROWS ids, or one query
+                part = lists.slice(lo)
+                of = part.flatten()
+                ids, scores = of.field("item_ids"), of.field("scores")
+                row_at = part.offsets.to_numpy() - part.offsets[0].as_py()
+                done = (ids.offsets.to_numpy() - ids.offsets[0].as_py())[row_at[1:]]
+                n = max(1, int(np.searchsorted(done, EXPAND_ROWS, "right")))
+                total = done[n - 1]
+                r = np.repeat(np.arange(n), np.diff(np.append(0, done[:n])))
+                yield _lists(query[lo:lo + n], *_best(r, ids.flatten().slice(0, total).to_numpy(), scores.flatten().slice(0, total).to_numpy(), k))
+                lo += n
     return run
 
 
@@ -413,12 +481,15 @@ def distinct_entries(postings: DataFrame, k: int) -> DataFrame:
 
 
 def _blocks(entries: DataFrame, dim: int, item_block: int | None) -> tuple[DataFrame, DataFrame, int]:
-    """Packed blocks of the entries, which blocks each list is in, and their number."""
+    """Packed blocks of the entries, which blocks each list is in, and their number.
+    Blocks of ``item_block`` entries are packed as many together as fit."""
     sizes = entries.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("ids")).alias("_ids"))
     # one row per list
     sizes = materialize(sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("list_id")) - F.col("_n")), "list_sizes")
     total, n_ids = (v or 0 for v in sizes.agg(F.sum("_n"), F.sum("_ids")).first())
-    block_rows = item_block or max(1, BLOCK_BYTES // (8 * (dim + math.ceil(n_ids / max(1, total)))))
+    block_rows = max(1, BLOCK_BYTES // (8 * (dim + math.ceil(n_ids / max(1, total)))))
+    if item_block is not None:
+        block_rows = max(1, block_rows // item_block) * item_block
     at = F.floor((F.col("_start") + F.pmod(portable_hash(F.col("ids")[0]), F.col("_n"))) / block_rows)
     dealt = entries.join(sizes, "list_id").select(at.cast("long").alias("block"), "list_id", "ids", "vec")
     spans = sizes.select("list_id", F.explode(F.sequence(
@@ -433,21 +504,26 @@ def _rows(lists: DataFrame) -> DataFrame:
 
 
 def _merged(hits: DataFrame, k: int) -> DataFrame:
-    """Top-k rows of the blocks' lists."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
-    return _rows(hits).drop("rank").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Top-k lists of the blocks' lists."""
+    return hits.groupBy("query_id").agg(F.collect_list(F.struct("item_ids", "scores")).alias("_l")).mapInArrow(_merge_lists(k), _HITS)
+
+
+def _top_lists(routed: DataFrame, entries: DataFrame, dim: int, k: int, user_block: int, item_block: int | None) -> DataFrame:
+    """Top-k of routed queries, one row per query that has a hit."""
+    hits, final = _block_lists(routed, entries, dim, k, user_block, item_block)
+    return hits if final else _merged(hits, k)
 
 
 def _search(routed: DataFrame, entries: DataFrame, dim: int, k: int, user_block: int, item_block: int | None) -> DataFrame:
     """Top-k of routed queries."""
-    hits, final = _block_lists(routed, entries, dim, k, user_block, item_block)
-    return (_rows(hits) if final else _merged(hits, k)).select("query_id", "item_id", "score", "rank")
+    return _rows(_top_lists(routed, entries, dim, k, user_block, item_block)).select("query_id", "item_id", "score", "rank")
 
 
 def block_hits(routed: DataFrame, postings: DataFrame, dim: int, k: int, user_block: int, item_block: int | None) -> tuple[DataFrame, bool]:
-    """Rows of each block that can be in a query's top-k, and whether their ranks are final."""
+    """Rows of each packed block that can be in a query's top-k, and whether no blocks were
+    asked for and one holds all, so that their ranks are final."""
     hits, final = _block_lists(routed, materialize(distinct_entries(postings, k), "entries"), dim, k, user_block, item_block)
-    return _rows(hits), final
+    return _rows(hits), final and item_block is None
 
 
 def _block_lists(routed: DataFrame, entries: DataFrame, dim: int, k: int, user_block: int, item_block: int | None) -> tuple[DataFrame, bool]:
@@ -459,11 +535,24 @@ def _block_lists(routed: DataFrame, entries: DataFrame, dim: int, k: int, user_b
     n = spark.sparkContext.defaultParallelism * 4
 
     def hits(part: DataFrame) -> DataFrame:
-        packs = part.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / user_block).alias("_packs"))
-        rows = part.join(packs, "block").withColumn("pack", F.pmod(F.xxhash64("query_id"), F.col("_packs")))
+        pack = user_block if item_block is None else max(user_block, USER_BLOCK // 4)
+        packs = part.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / pack).alias("_packs"))
+        # tasks of a block: few packs each, and all cores have one
+        splits = F.greatest(F.ceil(F.col("_packs") / SPLIT_PACKS), F.least("_packs", F.lit(-(-n // max(1, n_blocks))))).cast("long")
+        packs = packs.withColumn("_splits", splits)
+        if n_blocks > 1:
+            packs = materialize(packs, "packs")     # one row per block
+        rows = part.join(packs, "block").withColumn("pack", F.pmod(F.xxhash64("query_id"), F.col("_packs"))) \
+            .withColumn("split", F.floor(F.col("pack") * F.col("_splits") / F.col("_packs")).cast("long"))
         # an explicit partition count is not coalesced: scoring takes far longer than reading
-        packed = rows.select("block", "pack", "query_id", "qvec", "lists", "floor").repartition(n, "block", "pack")             .groupBy("block", "pack").applyInArrow(_pack_queries, _PACK)
-        return packed.join(items, "block").mapInArrow(_score_blocks(dim, k), _HITS)
+        packed = rows.select("block", "split", "pack", "query_id", "qvec", "lists", "floor").repartition(n, "block", "pack") \
+            .groupBy("block", "split", "pack").applyInArrow(_pack_queries, _PACK)
+        if n_blocks > 1:        # a block goes to each of its tasks, whatever the number of its queries
+            copies = items.join(F.broadcast(packs.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_splits") - 1)).alias("split"))), "block")
+            joined = packed.repartition(n, "block", "split").join(copies.repartition(n, "block", "split"), ["block", "split"])
+        else:
+            joined = packed.join(F.broadcast(items), "block")       # at most BLOCK_BYTES
+        return joined.mapInArrow(_score_blocks(dim, k, user_block, item_block), _HITS)
     routed = routed.dropDuplicates(["query_id"])
     if n_blocks <= 1:       # every list is in it
         return hits(materialize(routed.select(F.lit(0).cast("long").alias("block"), "query_id", "qvec", "lists",
@@ -513,10 +602,7 @@ def ann_lists(queries: DataFrame, postings: DataFrame, centroids: DataFrame, dim
     """R4 as one row per query that has a hit: ``(query_id, item_ids, scores)``, best first;
     and ``item_id`` of the items that can be hits at all."""
     entries = materialize(distinct_entries(postings, k), "entries")
-    hits, final = _block_lists(_route(queries, centroids, dim, n_probe), entries, dim, k, user_block, item_block)
-    if not final:
-        hits = _merged(hits, k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id", "score"))).alias("_l")) \
-            .select("query_id", F.col("_l.item_id").alias("item_ids"), F.col("_l.score").alias("scores"))
+    hits = _top_lists(_route(queries, centroids, dim, n_probe), entries, dim, k, user_block, item_block)
     return hits, entries.select(F.explode("ids").alias("item_id")).distinct()
 
 
@@ -526,12 +612,12 @@ def ann_batch_search(queries: DataFrame, postings: DataFrame, centroids: DataFra
     item -1 with score -FLT_MAX."""
     n_items = postings.count()
     slots = min(k, n_items)
-    found = ann_search(queries, postings, centroids, dim, k, n_probe, **kw)
-    grid = queries.select(F.col("query_id").cast("long"),
-                          F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("rank"))
-    j = grid.join(found, ["query_id", "rank"], "left")
-    return j.select("query_id", "rank", F.coalesce("item_id", F.lit(-1).cast("long")).alias("item_id"),
-                    F.coalesce("score", F.lit(UNFILLED_SCORE)).alias("score"))
+    found, _ = ann_lists(queries, postings, centroids, dim, k, n_probe, **kw)
+    # one row per query meets its list; the slots fan out last
+    j = queries.select(F.col("query_id").cast("long").alias("query_id")).join(found, "query_id", "left") \
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("rank"))
+    return j.select("query_id", "rank", F.coalesce(F.get("item_ids", F.col("rank") - 1), F.lit(-1).cast("long")).alias("item_id"),
+                    F.coalesce(F.get("scores", F.col("rank") - 1), F.lit(UNFILLED_SCORE)).alias("score"))
 
 
 def exact_search(queries: DataFrame, postings: DataFrame, centroids: DataFrame, dim: int,

@@ -233,3 +233,62 @@ def test_expansion_in_steps(monkeypatch):
     monkeypatch.setattr(R, "EXPAND_ROWS", 5)
     steps = list(R.top_k_entries(*args))
     assert len(steps) == 30 and all((np.concatenate(c) == w).all() for c, w in zip(zip(*steps), whole))
+
+
+def test_tiles_give_the_block_s_best():
+    """Blocks smaller than k, several lists, entries of several ids and equal scores."""
+    rng = np.random.default_rng(8)
+    x, q = rng.integers(-2, 3, (57, 3)).astype(float), rng.integers(-2, 3, (41, 3)).astype(float)
+    n = rng.integers(1, 5, 57)
+    starts, ids = np.append(0, np.cumsum(n)), rng.permutation(n.sum())
+    for a, b in zip(starts, starts[1:]):
+        ids[a:b].sort()
+    bounds, allow = np.array([0, 9, 30, 57]), rng.random((41, 3)) < 0.6
+    allow[5] = False
+    for k in (1, 12, 300):
+        for floor in (np.full(41, -np.inf), rng.integers(-3, 4, 41).astype(float)):
+            args = (q, x, starts, ids, bounds, allow, k, floor)
+            want = [np.concatenate(c) for c in zip(*R.top_k_entries(*args))]
+            got = [np.concatenate(c) for c in zip(*R.top_k_tiles(*args, 7, 4))]
+            by = np.argsort(got[0], kind="stable")
+            assert all((g[by] == w).all() for g, w in zip(got, want)) and len(got[0]) == len(want[0])
+
+
+def test_small_blocks_return_k_rows_a_query(spark):
+    """Blocks of fewer entries than k have no k-th score of their own, and still no block
+    returns all its rows."""
+    rng = np.random.default_rng(9)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(240)], "item_id long, vec array<double>")
+    cent = R.basis_centroids(spark, 4)
+    post = R.assign_lists(v, cent, 4).cache()
+    hits, _ = R.block_hits(R._routed(_q(v), R._centroid_matrix(cent, 4), 4, None), post, 4, 10, 16, 4)
+    assert hits.count() == 10 * 240
+
+
+def test_blocks_shared_by_several_tasks(spark, monkeypatch):
+    """Packed blocks beyond one, each sent to several tasks: the lists of a query are merged."""
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)]
+    v = spark.createDataFrame(rows, "item_id long, vec array<double>")
+    cent = R.basis_centroids(spark, 4)
+    post = R.assign_lists(v, cent, 4).cache()
+    want = _brute(rows[:60], rows, 9)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(R, "SPLIT_PACKS", 1)
+    monkeypatch.setattr(R, "EXPAND_ROWS", 40)
+    for item_block in (None, 5):
+        hits = R.exact_search(_q(v.where("item_id < 60")), post, cent, 4, 9, user_block=8, item_block=item_block)
+        assert sorted((h["query_id"], h["item_id"], h["rank"]) for h in hits.collect()) == want
+
+
+def test_batch_slots_fan_out_after_the_join(spark):
+    """A query's slots are not rows before its list has met it; unfilled ones hold -1."""
+    vecs = [(i, [1.0, 0.0] if i < 3 else [0.0, 1.0]) for i in range(8)]
+    post = R.assign_lists(spark.createDataFrame(vecs, "item_id long, vec array<double>"), R.basis_centroids(spark, 2), 2)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (1, [1.0, 0.0])], "query_id long, vec array<double>")
+    out = R.ann_batch_search(q, post, R.basis_centroids(spark, 2), 2, 4, 1)
+    rows = sorted((r["query_id"], r["rank"], r["item_id"], r["score"]) for r in out.collect())
+    one = [(1, 1, 0, 1.0), (1, 2, 1, 1.0), (1, 3, 2, 1.0), (1, 4, -1, R.UNFILLED_SCORE)]
+    assert rows == sorted(one * 2 + [(2, r, r + 2, 1.0) for r in (1, 2, 3, 4)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter")
