@@ -141,6 +141,22 @@ def test_user_sums_share_one_count(spark, sf):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_users_are_summed_in_few_tasks(spark):
+    """A user's rows are dealt to USER_PARTS tasks before any sum is kept of them, and move
+    with a byte a genre."""
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import features as FE
+    r = spark.createDataFrame([(u, i, 4.0, datetime(2020, 1, 1)) for u in range(3) for i in range(200)],
+                              "user_id long, item_id long, rating double, ts timestamp")
+    m = spark.createDataFrame([(i, "t", "blue|ring") for i in range(150)], "item_id long, title string, genres string")
+    got = FE.user_aggregates(r, FE.item_genre_vectors(m), 18)
+    dealt = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line]
+    assert len(dealt) == 1 and "user_id" in dealt[0] and f", {FE.USER_PARTS})" in dealt[0]
+    blue = FE.DRIVER_GENRES.index("blue")
+    assert sorted((x["user_id"], x["rating_count"], x[f"g{blue}"], x["g0"]) for x in got.collect()) == [(u, 200, 1.0, 0.0) for u in range(3)]
+
+
 def _rows(spark, rows):
     """Ratings ``(user_id, item_id, rating, day)`` with a row key."""
     t0 = datetime(2020, 1, 1)
