@@ -140,6 +140,27 @@ def test_lists_fan_out_beside_their_user(spark):
     assert "Exchange" not in plan[:plan.index("Generate posexplode")].replace("BroadcastExchange", "")
 
 
+def test_tasks_grow_with_the_users(spark, monkeypatch):
+    """A task fans out and ranks the candidates of a bounded number of users."""
+    uf = spark.range(1, 41).selectExpr("id AS user_id", *[f"0.5D AS {c}" for c in serving.USER_DEFAULTS], "array(0.5D) AS genre_pref")
+    itf = spark.createDataFrame([(7, 4.0, 0.5, 0.1, 0.0, 0.5, [1.0])],
+                                "item_id long, avg_rating double, log_rating_count double, popularity_score double, rating_stddev double, "
+                                "year_normalized double, genre_vector array<double>")
+    lists = uf.selectExpr("user_id", "array(7L) AS item_ids", "array(0.5D) AS scores")
+    monkeypatch.setattr(serving, "USERS_PER_TASK", 1)
+    f = serving.serving_features(lists, uf, itf)
+    assert ", 40), REPARTITION_BY_NUM" in f._jdf.queryExecution().executedPlan().toString() and f.count() == 40
+
+
+def test_lists_are_cut_before_they_fan_out(spark):
+    lists = spark.createDataFrame([(1, [7, 8, 9], [0.9, 0.8, 0.7]), (2, [8], [0.5]), (3, [], [])],
+                                  "user_id long, item_ids array<long>, scores array<double>")
+    cut = serving.list_rows(lists, 2)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, serving.list_rows(lists).where("rank <= 2").collect())) and cut.count() == 3
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("slice(")
+
+
 def test_compressed_tables_are_not_taken_for_small(spark):
     """A file of repeated values says little about its rows."""
     assert int(spark.conf.get("spark.sql.sources.fileCompressionFactor").split(".")[0]) >= 10
