@@ -26,7 +26,7 @@ def _retrieval_top20(spark, sf_dir):
     uf = materialize(FE.user_features(r, u, m), "user_features")
     cent = R.basis_centroids(spark, 18)
     lists, _ = serving.retrieve_lists(content_user_vectors(uf), content_item_vectors(m), cent, 18, N_CAND, N_PROBE)
-    return r, materialize(serving.list_rows(lists).filter(F.col("rank") <= 20), "top20")
+    return r, materialize(serving.list_rows(lists, 20), "top20")
 
 
 def _per_user_sql():

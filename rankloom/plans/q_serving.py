@@ -180,7 +180,7 @@ def _eval(spark, sf_dir, which: str, shared: dict | None = None):
     if which == "popularity":
         recs = serving.fallback_lists(hold.select("user_id").distinct(), r, K)
     elif which == "retrieval":
-        recs = serving.list_rows(sh["cands"][0]).filter(F.col("rank") <= K)
+        recs = serving.list_rows(sh["cands"][0], K)
     else:
         recs = serving.recommend_batch(r, u, m, uf, itf, cent, K, N_CAND, N_PROBE, candidates=sh["cands"])
     recs = recs.select("user_id", "item_id", "rank").join(hold.select("user_id").distinct(), "user_id", "left_semi")
