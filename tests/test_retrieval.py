@@ -292,3 +292,34 @@ def test_batch_slots_fan_out_after_the_join(spark):
     assert rows == sorted(one * 2 + [(2, r, r + 2, 1.0) for r in (1, 2, 3, 4)])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join LeftOuter")
+
+
+def test_lists_are_scored_for_their_own_queries_only():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    q, x = R.clamp_normalize(rng.normal(size=(200, 8))), R.clamp_normalize(rng.normal(size=(20_000, 8)))
+    bounds, owner = np.arange(0, 20_001, 400), rng.integers(0, 50, 200)
+    allow = np.zeros((200, 50), bool)
+    allow[np.arange(200), owner] = True
+    tracemalloc.start()
+    found = [np.concatenate(c) for c in zip(*R.top_k_entries(q, x, np.arange(20_001), np.arange(20_000), bounds, allow, 10, np.full(200, -np.inf)))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 20_000 * 8 / 4          # a fiftieth of the products is asked for
+    s = R.seq_dot(q, x)
+    want = [(u, i) for u in range(200) for i in np.lexsort((np.arange(400), -s[u, owner[u] * 400:][:400]))[:10] + owner[u] * 400]
+    assert list(zip(found[0].tolist(), found[1].tolist())) == [(u, int(i)) for u, i in want]
+    assert (found[2] == s[found[0], found[1]]).all()
+
+
+def test_first_products_stay_within_their_margin():
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 1e-25, 1e12, 1e20):
+        q, x = rng.normal(size=(40, 19)) * scale, rng.normal(size=(60, 19))
+        kind, margin = R.near_type(q, x)
+        assert kind == (np.float64 if scale > 1e14 else np.float32)
+        assert (np.abs(q.astype(kind) @ x.astype(kind).T - R.seq_dot(q, x)) <= margin[:, None]).all()
+        for k in (1, 7, 60, 90):
+            r, _, got, rank = R.top_k_block(q, x, np.arange(60), np.array([0, 25, 60]), np.ones((40, 2), bool), k, np.full(40, -np.inf))
+            s = R.seq_dot(q, x)
+            assert np.array_equal(got, np.concatenate([np.sort(v)[::-1][:k] for v in s]))
