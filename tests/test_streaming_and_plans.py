@@ -146,3 +146,16 @@ def test_rolling_latency_equals_percentile_windows(spark):
     want = TM.labelled(req).select("request_id", "endpoint", "ts", F.percentile("latency_ms", 0.5).over(w).alias("p50"),
                                    F.percentile("latency_ms", 0.99).over(w).alias("p99"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_session_state_is_not_counted(spark):
+    """Each write to a counted store looks its key up first; the stream's result and the session's settings stay."""
+    from datetime import timedelta
+    ev = _events(spark, [(i, 7 * i, i % 3, 1) for i in range(60)])
+    steps = [*jobs.time_steps(ev, "ts", 3), jobs.closing_rows(ev, "ts", user_id=-1, event_type="view")]
+    before = {k: spark.conf.get(k, None) for k in jobs.STATE_CONF}
+    path = jobs.run_in_steps(lambda folder: jobs.sessions_stream(spark, folder, ev.schema), steps, "uncounted")
+    assert {k: spark.conf.get(k, None) for k in jobs.STATE_CONF} == before
+    got = {(r.user_id, r.session_start, r.session_end - timedelta(minutes=30), r.n_events) for r in spark.read.parquet(path).collect()}
+    want = {(u, *(datetime(2024, 1, 1) + timedelta(minutes=7 * i) for i in (u, u + 57)), 20) for u in range(3)}
+    assert got == want
