@@ -103,7 +103,8 @@ def ann_recall(spark, sf_dir):
     """R6 + R7: recall@100 of the 3-list search against the exhaustive search."""
     e, cent, post = _index(spark, sf_dir)
     q = _queries(e)
-    return rounded(R.ann_recall(R.ann_search(q, post, cent, DIM, K, N_PROBE), R.exact_search(q, post, cent, DIM, K)))
+    return rounded(R.ann_recall(R.ann_search(q, post, cent, DIM, K, N_PROBE, as_lists=True),
+                                R.exact_search(q, post, cent, DIM, K, as_lists=True)))
 
 
 @register("index_stats", _IVF(N_PROBE, K) + f""",

@@ -323,3 +323,16 @@ def test_first_products_stay_within_their_margin():
             r, _, got, rank = R.top_k_block(q, x, np.arange(60), np.array([0, 25, 60]), np.ones((40, 2), bool), k, np.full(40, -np.inf))
             s = R.seq_dot(q, x)
             assert np.array_equal(got, np.concatenate([np.sort(v)[::-1][:k] for v in s]))
+
+
+def test_recall_of_lists_equals_recall_of_rows(spark):
+    exact = {1: [4, 5, 6], 2: [7, 8], 3: [9], 4: [1, 1, 2]}
+    approx = {1: [6, 4, 11], 2: [3], 4: [1]}
+
+    def frames(lists):
+        df = spark.createDataFrame([(q, i, [0.0] * len(i)) for q, i in lists.items()], "query_id long, item_ids array<long>, scores array<double>")
+        return df, df.select("query_id", F.explode("item_ids").alias("item_id"))
+    (el, er), (al, ar) = frames(exact), frames(approx)
+    got, want = R.ann_recall(al, el), R.ann_recall(ar, er)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} == {(1, 2 / 3), (2, 0.0), (3, 0.0), (4, 2 / 3)}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
