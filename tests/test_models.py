@@ -107,6 +107,24 @@ def test_two_tower_learns_from_every_triple(spark):
     assert model.item_emb.count() == 40 and model.user_emb.count() == 25
 
 
+def test_two_tower_shards_train_in_tasks_of_their_own(spark, monkeypatch):
+    """Shards of a small table are not put into one task."""
+    from rankloom import session
+    from rankloom.operators import twotower as TT
+    r = _ratings_frame(spark, [(u, (u * 7 + k * 3) % 30, 5.0, u * 1000 + k) for u in range(40) for k in range(10)])
+    gv = spark.range(40).select(F.col("id").alias("item_id"), F.array(*[F.lit(0.0)] * 18).alias("genre_vector"))
+    made, plain = [], session.materialize
+
+    def seen(df, name):
+        if name == "tt_result":
+            made.append(df.rdd.mapPartitions(lambda rows: [sum(r["kind"] == "loss" for r in rows)]).collect())
+        return plain(df, name)
+    monkeypatch.setattr(session, "materialize", seen)
+    TT.fit_two_tower(r, gv, epochs=1, batch=64, shard_rows=100)
+    assert sum(made[0]) == 4 and max(made[0]) == 1
+    assert all(TT._tasks(spark, n) >= n for n in (1, 7))
+
+
 def test_two_tower_without_triples(spark):
     from rankloom.operators import twotower as TT
     r = _ratings_frame(spark, [(1, 1, 1.0, 1)])
