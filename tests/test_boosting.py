@@ -187,3 +187,32 @@ def test_integer_histograms_are_exact():
         rows = (bins[0] <= 2 if r["node"] == 1 else bins[0] > 2) & (bins[r["feature"]] == r["bin"])
         assert r["c"] == rows.sum()
         assert r["g"] == sum(int(v) for v in np.rint(g[rows] * scale[0])) and r["h"] == sum(int(v) for v in np.rint(h[rows] * scale[1]))
+
+
+def test_rows_reach_their_nodes():
+    bins = np.random.default_rng(4).integers(0, 6, (3, 500)).astype(np.uint8)
+    splits = [(0, 1, 2, 1, 2), (2, 0, 3, 3, 4), (1, 2, 0, 5, 6), (4, 1, 4, 7, 8)]
+    at = B.route(bins, splits)
+    for wanted in ([0], [3, 7], [5, 6, 8], [1, 4]):
+        for w, rows in zip(wanted, B.reached(bins, splits, wanted)):
+            under, more = {w}, True
+            while more:
+                more = {c for s in splits if s[0] in under for c in s[3:]} - under
+                under |= more
+            assert np.array_equal(np.sort(rows), np.flatnonzero(np.isin(at, list(under))))
+
+
+def test_a_tree_begins_with_the_histogram_of_the_step_before(spark, monkeypatch):
+    """The root is not summed in a job of its own, and a written state read again gives the same trees."""
+    df, valid = _frame(spark, _table(60, 7)), _frame(spark, _table(12, 5))
+    calls, plain = [], B._pass
+    monkeypatch.setattr(B, "_pass", lambda rows, splits, wanted, *a: calls.append(wanted) or plain(rows, splits, wanted, *a))
+    fit = lambda: RK.fit_ranker(df, ["a", "b", "c", "d"], valid, n_rounds=5, num_leaves=6, min_child_samples=5, block_rows=200)
+    first = fit()
+    assert len(first.trees) == 5 and sum(w == [0] for w in calls) < 4
+    monkeypatch.setattr(B, "KEEP_ROUNDS", 2)
+    monkeypatch.setattr(B, "TREE_PARTS", 1)
+    again = fit()
+    assert [t.nodes for t in again.trees] == [t.nodes for t in first.trees] and [t.values for t in again.trees] == [t.values for t in first.trees]
+    assert [h[:3] for h in again.history] == [h[:3] for h in first.history]
+    assert [h[3] for h in again.history] == pytest.approx([h[3] for h in first.history])
