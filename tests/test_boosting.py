@@ -216,3 +216,29 @@ def test_a_tree_begins_with_the_histogram_of_the_step_before(spark, monkeypatch)
     assert [t.nodes for t in again.trees] == [t.nodes for t in first.trees] and [t.values for t in again.trees] == [t.values for t in first.trees]
     assert [h[:3] for h in again.history] == [h[:3] for h in first.history]
     assert [h[3] for h in again.history] == pytest.approx([h[3] for h in first.history])
+
+
+@pytest.mark.parametrize("most", [1000, 12, 1])
+def test_terms_of_blocks_equal_those_by_joins(spark, monkeypatch, most):
+    """All queries in blocks, the long ones by joins, and all by joins: the same rows, ties and labels beyond the gains included."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(q), int(rng.integers(0, 7)), float(np.round(rng.normal(), 1)), int(rng.integers(0, 5)))
+            for i, q in enumerate(np.repeat(np.arange(12), rng.integers(1, 30, 12)))]
+    rows += [(1000 + i, 50, 1, 0.5, 0) for i in range(4)] + [(2000 + i, 51, 0, 0.5, 0) for i in range(4)] + [(3000, None, 1, 0.1, 0), (3001, None, 0, 0.2, 0)]
+    df = spark.createDataFrame(rows, "row_id long, query_id long, label int, score double, item_id long")
+    for args in ({}, {"truncation": 3, "sigmoid": 2.0}, {"truncation": 2, "normalize": False}):
+        full = {"truncation": 30, "sigmoid": 1.0, "label_gain": GAINS, "normalize": True, **args}
+        want = {r["row_id"]: (r["g"], r["h"]) for r in RK._paired_gradients(df, **full, tie=("item_id", "row_id")).collect()}
+        monkeypatch.setattr(RK, "QUERY_ROWS", most)
+        got = RK.lambda_gradients(df, **args, tie=("item_id", "row_id"), carry=("label", "item_id")).collect()
+        assert {r["row_id"] for r in got} == set(want) and len(got) == len(want)
+        for r in got:
+            assert (r["g"], r["h"]) == (pytest.approx(want[r["row_id"]][0], abs=1e-12), pytest.approx(want[r["row_id"]][1], abs=1e-12))
+            row = next(x for x in rows if x[0] == r["row_id"])
+            assert (r["label"], r["item_id"]) == (row[2], row[4])
+
+
+def test_pairs_of_short_queries_are_not_joined(spark):
+    df = spark.createDataFrame([(i, i // 5, i % 2, float(i % 3)) for i in range(40)], "row_id long, query_id long, label int, score double")
+    plan = RK.lambda_gradients(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1

@@ -229,3 +229,17 @@ def test_gradients_and_popularity_write_no_table_they_do_not_read(spark, sf, mon
     E.queries()["ranker_holdout_linear"](spark, sf)
     E.queries()["evaluate_popularity"](spark, sf)
     assert not {"pair_matrix", "user_features"} & {n for n, _ in written}
+
+
+def test_dense_positions_follow_the_rows(spark):
+    """A small table is not spread over the session's partitions, and is not checkpointed."""
+    from rankloom.operators.indexing import global_index
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        df = spark.createDataFrame([(i * 7 % 23, i) for i in range(23)], "k long, v long").repartition(5)
+        got = global_index(df, ["k"], "idx")
+        assert got.rdd.getNumPartitions() < 10 and "Scan parquet" in got._jdf.queryExecution().executedPlan().toString()
+        assert [(r["k"], r["idx"]) for r in got.orderBy("idx").collect()] == [(i, i) for i in range(23)]
+        assert [r["idx"] for r in global_index(df, ["k"], "idx", 3).orderBy("k").collect()] == list(range(23))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
