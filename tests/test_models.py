@@ -150,3 +150,23 @@ def test_als_report_shape(spark, sf):
     rep = {r["metric"]: r["value"] for r in E.queries()["als_factors"](spark, sf).collect()}
     assert {"ndcg@10", "recall@20", "mrr", "n_users"} <= set(rep)
     assert all(0.0 <= rep[m] <= 1.0 for m in ("ndcg@10", "recall@20", "mrr"))
+
+
+def test_als_fit_keeps_no_shuffles_of_its_input(spark, sf, monkeypatch):
+    """The fit reads a written table and drops its iterations' shuffle files."""
+    import __spark_entry__ as E
+    from pyspark.ml import recommendation
+    from rankloom import session
+    made, plain, fits = [], session.materialize, []
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, df):
+        fits.append((df._jdf.queryExecution().executedPlan().toString(), self.getCheckpointInterval()))
+        raise Stop
+    monkeypatch.setattr(session, "materialize", lambda df, name: made.append(name) or plain(df, name))
+    monkeypatch.setattr(recommendation.ALS, "fit", fit)
+    with pytest.raises(Stop):
+        E.queries()["als_factors"](spark, sf)
+    assert "Exchange" not in fits[0][0] and fits[0][1] == 1 and "holdout" in made
